@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe_trie, packing, storage, token_orc
+from fieldloom.llm import bpe_trie, license_scan, packing, quality_rules, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), quality_rules.read_labels(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(bpe_trie.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -26,5 +34,11 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read_tokens(spark, path))
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op7_bpe_trie": op7_bpe_trie, "op8_token_orc": op8_token_orc}
+QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_license_scan": op6_license_scan,
+    "op7_bpe_trie": op7_bpe_trie,
+    "op8_token_orc": op8_token_orc,
+}
 ORACLE_SQL: dict[str, str] = {}
