@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe_trie, license_scan, packing, quality_rules, storage, token_orc
+from fieldloom.llm import bpe_trie, license_scan, minhash_dedup, packing, quality_rules, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read_tokens(spark, path))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_license_scan": op6_license_scan,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_orc": op8_token_orc,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
