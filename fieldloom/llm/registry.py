@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe_trie, license_scan, minhash_dedup, packing, quality_rules, storage, token_orc
+from fieldloom.llm import bpe_trie, html_style_tree, license_scan, minhash_dedup, packing, quality_rules, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
@@ -45,5 +49,6 @@ QUERIES = {
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_orc": op8_token_orc,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_html_style_tree": op10_html_style_tree,
 }
 ORACLE_SQL: dict[str, str] = {}
