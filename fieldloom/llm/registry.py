@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe_trie, html_style_tree, license_scan, minhash_dedup, packing, quality_rules, storage, token_orc
+from fieldloom.llm import bpe_trie, html_style_tree, language_id, license_scan, minhash_dedup, packing, quality_gam, quality_rules, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), quality_rules.read_labels(spark, sf_dir))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(documents(spark, sf_dir), quality_rules.read_labels(spark, sf_dir))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("spans")
 
@@ -43,8 +51,10 @@ def op10_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_filters": op2_language_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_gam": op5_quality_gam,
     "op6_license_scan": op6_license_scan,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_token_orc": op8_token_orc,
