@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe_trie, html_style_tree, language_id, license_scan, minhash_dedup, packing, quality_gam, quality_rules, storage, token_orc
+from fieldloom.llm import bpe_trie, cover_tree, html_style_tree, language_id, license_scan, minhash_dedup, packing, quality_gam, quality_rules, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(documents(spark, sf_dir))
 
@@ -51,6 +56,7 @@ def op10_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_language_filters": op2_language_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
