@@ -20,6 +20,8 @@ CACHED_LENGTH = 48
 JOINED = 4000
 
 _PLAIN = re.compile(r"[!-~À-ɏ]+")
+_LOWERED = re.compile(r"[\x00-ɏ]*")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
@@ -38,6 +40,7 @@ class _Cached:
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.chunks: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [_raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,18 +72,33 @@ class _Cached:
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)])]
 
     def filled(self, wanted: set[str]):
-        """A lookup that has all of `wanted`."""
-        missing = [p for p in wanted if p not in self.chunks]
-        if len(self.chunks) + len(missing) > CACHE_ENTRIES:
-            self.chunks.clear()
+        """A lookup that has all of `wanted`. A word and the signs after it are pre-tokens of their own, so they are
+        encoded apart and each of them once."""
+        chunks = self.chunks
+        missing = [p for p in wanted if p not in chunks]
+        if len(chunks) + len(missing) > CACHE_ENTRIES:
+            chunks.clear()
             missing = list(wanted)
-        short = [p for p in missing if len(p) <= CACHED_LENGTH]
-        self.chunks.update(zip(short, self.pieces(short, self.lead)))
-        if len(short) == len(missing):
-            return self.chunks.__getitem__
-        long = [p for p in missing if len(p) > CACHED_LENGTH]
+        short, long, signed = [], [], []
+        for p in missing:
+            if len(p) > CACHED_LENGTH:
+                long.append(p)
+            elif (word := p.rstrip(_SIGNS)) is not p and word.isalpha() and _PLAIN.fullmatch(p):
+                signed.append((p, word, p[len(word) :]))
+            else:
+                short.append(p)
+        words = {word for _, word, _ in signed}.difference(chunks, short)
+        if len(self.tails) > CACHE_ENTRIES // 10:
+            self.tails.clear()
+        tails = [t for t in {tail for _, _, tail in signed} if t not in self.tails]
+        self.tails.update(zip(tails, self.pieces(tails, "")))
+        short += words
+        chunks.update(zip(short, self.pieces(short, self.lead)))
+        chunks.update([(p, chunks[word] + self.tails[tail]) for p, word, tail in signed])
+        if not long:
+            return chunks.__getitem__
         once = dict(zip(long, self.pieces(long, self.lead)))
-        return lambda p: once[p] if p in once else self.chunks[p]
+        return lambda p: once[p] if p in once else chunks[p]
 
 
 class WordVocabulary(_Cached):
@@ -95,9 +113,14 @@ class WordVocabulary(_Cached):
         sign, ids = next(((s, i) for s, i in one if len(i) == 1 and not _PLAIN.fullmatch(s)), (" ", [-1]))
         self.separator, self.separator_id = f" {sign} ", ids[0]
 
+    def lowered(self, text: str) -> str:
+        """The text in lower case, as the vocabulary's normalizer has it, where that is plain."""
+        lower = text.lower()
+        return lower if _LOWERED.fullmatch(text) and not self.special.search(lower) else text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [None if _CONTROL_SPACE.search(t) else t.split() for t in texts]
+        cut = [None if _CONTROL_SPACE.search(t) else self.lowered(t).split() for t in texts]
         get = self.filled(set().union(*(c for c in cut if c)))
         return [self.library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
