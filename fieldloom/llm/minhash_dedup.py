@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
@@ -123,7 +123,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, sketch, bands): a 128-bit print of the set, the low bytes of its sketch, band keys."""
+    """(doc_id, tag, n_shingles, print, sketch, bands): a hash of the text, a 128-bit print of the set, the low bytes of
+    its sketch, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +138,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 low = (table & 0xFF).astype(np.uint8)
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                columns = [batch.column(0)[row:stop], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "sketch", "bands"])
+                columns = [batch.column(0)[row:stop], batch.column(2)[row:stop], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "n_shingles", "print", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, tag long, n_shingles long, print binary, sketch binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -296,6 +297,19 @@ def cluster_links(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    return classes(docs).drop("tag")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each class of near duplicates; rows without words stay, as do their copies."""
+    found = classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("n_shingles").alias("_n")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"))
+    once = rows.join(found, ["_id", "_tag"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tag").orderBy(F.lit(0))))
+    return once.where("_nth = 1 or _n = 0").select("_row.*")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """near_duplicates with a hash of each row's text."""
     signed = materialize(signatures(docs), "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     prints = filled.groupBy("print").agg(F.min("doc_id").alias("node"))
@@ -329,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = components(lifted(lifted(more, "a"), "b")).toDF("component", "top")
     whole = first.join(second, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("top", "component").alias("component"))
     classes = prints.join(whole, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    out = signed.select("doc_id", "tag", "n_shingles", "print").join(classes, "print", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     own = F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "tag", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))

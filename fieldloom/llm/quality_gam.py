@@ -174,11 +174,17 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
+def sampled(labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """(doc_id, quality) of about `training_rows` labels at most, chosen by a hash of their id."""
+    marked = labels.where("quality in (0, 1)").select("doc_id", "quality")
+    share = min(1.0, training_rows / max(1, marked.count()))
+    return marked.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
 def fit(rows: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
     """A model of quality from `rows` (doc_id, features) that `labels` (doc_id, quality) marks; None if one kind lacks."""
-    marked = rows.join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id").select("doc_id", "features", "quality")
-    share = min(1.0, training_rows / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("doc_id", "features").toPandas()
+    marked = rows.join(F.broadcast(sampled(labels, training_rows)), "doc_id").select("doc_id", "features", "quality")
+    chosen = marked.orderBy("doc_id", "features").toPandas()
     if chosen["quality"].nunique() < 2:
         return None
     return Model(np.array(chosen["features"].tolist()), chosen["quality"].to_numpy(float))
@@ -208,3 +214,20 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: float =
     model = fit(rows.where(remainder("doc_id", folds) > 0), labels)
     scored = score(rows, model)
     return scored.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "score", F.when(F.col("score") >= limit, 1).otherwise(0).alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: float = 0.3) -> DataFrame:
+    """The rows of docs that the classifier predicts as good, with all their columns; they are scored where they stand."""
+    learned = labels.where(remainder("doc_id", folds) > 0)
+    model = fit(measured(docs.join(F.broadcast(sampled(learned).select("doc_id")), "doc_id", "left_semi")), learned)
+    if model is None:
+        return docs
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(place)] * 2, names=["doc_id", "text"])
+            for row, stop, data, ends in _chunks(texts):
+                yield batch.slice(row, stop - row).filter(pa.array(shared.value.score(measure(data, ends)) >= limit))
+
+    return docs.mapInArrow(run, docs.schema)

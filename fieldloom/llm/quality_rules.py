@@ -108,7 +108,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang") -> D
 
 def verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """failed_rules and kept for documents that `measures` has measured, with cutoffs from `labels`."""
-    cutoffs = calibrate(measured, labels)
+    return decided(measured, calibrate(measured, labels))
+
+
+def decided(measured: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
     fails = []
     for rule in RULES:
         limit = F.lit(None).cast("double")
@@ -120,5 +123,16 @@ def verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return measured.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def keep(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang") -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns.
+
+    Rows are judged where they stand: a second pass over the texts costs less than a shuffle of them.
+    """
+    stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit("und")).alias("stratum")
+    measured = materialize(measures(docs.select("doc_id", "text", stratum)).drop("text"), "measures")
+    rows = docs.select("text", stratum, F.struct("*").alias("_row"))
+    return decided(measures(rows), calibrate(measured, labels)).where("kept").select("_row.*")
+
+
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
