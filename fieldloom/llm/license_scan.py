@@ -88,6 +88,10 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + [(k, f"(?<= ){r}(?= )", label, p) for k, r, label, p in OTHERS]
 
 
+#: Every rule's match has one of these in it, besides the short forms of Creative Commons.
+SIGNS = ["licen", "gpl", "mpl", "creative", "wtfpl", "reserved", "domain", "permission", "redistribut", "copyleft", "proprietary"]
+
+
 def _lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -104,14 +108,17 @@ def scan(docs: DataFrame) -> DataFrame:
     highest priority among the detections over 4, and at least 0.5 for base phrases.
     """
     table = rules()
-    gate = "(?i)" + "|".join(sorted({k for k, *_ in table} | {"cc" + BETWEEN + "by"}))
+    lower = F.lower("text")
+    gate = lower.rlike("cc0|cc" + BETWEEN + "by")
+    for sign in SIGNS:
+        gate = gate | F.contains(lower, F.lit(sign))
     literal = F.array(*[F.struct(F.lit(f" {k} ").alias("k"), F.lit(r).alias("r"), F.lit(label).alias("label"), F.lit(p).alias("p")) for k, r, label, p in table])
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN), "")
     out = docs.select("doc_id", "text").withColumn("_words", words)
     out = out.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
-        F.when(F.col("text").rlike(gate), F.concat(F.lit(" "), _lower(F.array_join("_words", " ")), F.lit(" "))).alias("_run"),
+        F.when(gate, F.concat(F.lit(" "), _lower(F.array_join("_words", " ")), F.lit(" "))).alias("_run"),
     )
     phrases = "|".join(BASE)
     out = out.withColumn("_cut", F.split("_run", rf"(?<= )(?=(?:{phrases}) )")).withColumn("_rules", F.when(F.col("_run").isNotNull(), literal))
