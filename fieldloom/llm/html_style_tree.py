@@ -206,6 +206,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h or "", {(x["path"], x["feature"]) for x in low or []}) for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    g = gone.withColumnsRenamed({"page_id": "_page", "url": "_url"})
+    # Written first, so that its size is known: Spark then shuffles the pages only if it is too large to broadcast.
+    g = materialize(gone.withColumnsRenamed({"page_id": "_page", "url": "_url"}), "low")
     wide = pages.select("page_id", "url", "html").join(g, F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")), "left")
     return wide.select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
