@@ -317,7 +317,8 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = filled.join(prints, "print").where("doc_id = node").select("node", "n_shingles", "sketch", "bands")
     nodes = materialize(nodes, "nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join's sides are plain shuffles, of which Spark can split a partition with a hot bucket.
+    buckets = materialize(bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     shared = materialize(bands.join(buckets, "key"), "buckets")
 
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -327,6 +328,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     held = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    several = materialize(several, "several")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = held.join(several, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
