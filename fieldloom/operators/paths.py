@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +10,24 @@ from fieldloom.functions.types import detect_type, numbered_name
 MOST_LEVELS = 6
 
 
-def children(level: DataFrame) -> DataFrame:
-    """(record_key, path, value, type) one level below rows of the same columns."""
-    nested = level.where(F.col("type").isin("dict", "list"))
-    parts = nested.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "item"))
-    path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-    return parts.select("record_key", path.alias("path"), F.col("item").alias("value"), detect_type(F.col("item")).alias("type"))
-
-
 def walk(records: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     """(record_key, path, value, type): one row for every node of records (record_key, v VARIANT), each once a record.
 
     Dictionary keys are joined by dots and list places stand in brackets. Nodes deeper than `levels` are not visited.
+    Each level puts a node's children beside the node in one pass, so that a record is parsed once and never shuffled.
     """
-    top = records.select("record_key", F.lit("").alias("path"), F.col("v").alias("value"), detect_type(F.col("v")).alias("type"))
-    found = [children(top)]
-    for _ in range(levels - 1):
-        found.append(children(found[-1]))
-    return reduce(DataFrame.unionByName, found)
+    open_, value, path = F.col("open"), F.col("value"), F.col("path")
+    child = lambda p, x: F.struct(p.alias("path"), x.alias("value"), F.lit(True).alias("open"))
+    below = F.concat(path, F.when(path != "", ".").otherwise(""))
+    of_dict = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: child(F.concat(below, e["key"]), e["value"]))
+    of_list = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
+    own = F.array(F.struct(path, value, F.lit(False).alias("open")))
+    kind = F.schema_of_variant(value)
+    expanded = F.when(open_ & kind.startswith("OBJECT"), F.concat(own, of_dict)).when(open_ & kind.startswith("ARRAY"), F.concat(own, of_list)).otherwise(own)
+    nodes = records.select("record_key", F.lit("").alias("path"), F.col("v").alias("value"), F.lit(True).alias("open"))
+    for _ in range(levels):
+        nodes = nodes.select("record_key", F.explode(expanded).alias("node")).select("record_key", "node.*")
+    return nodes.where("path <> ''").select("record_key", "path", "value", detect_type(value).alias("type"))
 
 
 def repeating(nodes: DataFrame) -> DataFrame:
