@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import predicate
 from fieldloom.functions.types import detect_type, identifier, numbered_name, sql_type, string_type
-from fieldloom.operators import nesting, paths, placement, profile, reports
+from fieldloom.operators import catalog, nesting, paths, placement, profile, reports
 from fieldloom.plans import requests
+from fieldloom.sources import events
+from fieldloom.sources.store import scratch_store
+from fieldloom.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,8 +237,6 @@ def entity_catalog(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 def update_copy_on_write(spark, sf_dir):
-    from fieldloom.sources.store import scratch_store
-
     store = scratch_store(spark)
     change = store.begin()
     change.insert("customer", table(spark, sf_dir, "customer"), "c_custkey")
@@ -248,8 +249,6 @@ def update_copy_on_write(spark, sf_dir):
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines FROM orders WHERE o_orderstatus <> 'F'")
 def delete_copy_on_write(spark, sf_dir):
-    from fieldloom.sources.store import scratch_store
-
     store = scratch_store(spark)
     change = store.begin()
     change.insert("orders", table(spark, sf_dir, "orders"), "o_orderkey")
@@ -265,10 +264,8 @@ def delete_copy_on_write(spark, sf_dir):
 @query("SELECT backend, count(*) AS n FROM (SELECT CASE path WHEN 'user_id' THEN 'MongoDB' WHEN 'event_type' THEN 'SQL' WHEN 'value' THEN 'SQL' WHEN 'props.k' THEN 'SQL' WHEN 'tags[0]' THEN 'SQL' WHEN 'tags[1]' THEN 'SQL' END AS backend FROM (" + NODES + ") WHERE type NOT IN ('dict', 'list')) GROUP BY 1")
 def buffer_drain(spark, sf_dir):
     """Buffered scalars move to the backend of their field once it is placed."""
-    from fieldloom.streaming.ingest import drain
-
     nodes = paths.walk(event_records(spark, sf_dir), 2).where(~F.col("type").isin("dict", "list"))
-    routed, _ = drain(nodes.select("record_key", "path"), placement.place(event_stats(spark, sf_dir)))
+    routed, _ = ingest.drain(nodes.select("record_key", "path"), placement.place(event_stats(spark, sf_dir)))
     return routed.groupBy("backend").agg(F.count("*").alias("n"))
 
 
@@ -297,3 +294,78 @@ def names_and_types(spark, sf_dir):
 def detect_type_json(spark, sf_dir):
     texts = F.array(*map(F.lit, ["null", "true", "12345678901234567890", "1.0", "[1, 2]", '{"a": 1}']))
     return table(spark, sf_dir, "events").select(detect_type(F.parse_json(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")))).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_entries(spark, sf_dir):
+    return catalog.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT 6::BIGINT AS version, '{\"entities\": {}}' AS schema_json")
+def schema_versions(spark, sf_dir):
+    known = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).cast("long").alias("version"), F.lit("{}").alias("schema_json"))
+    return catalog.active_schema(catalog.register_schema(known, '{"entities": {}}'))
+
+
+@query("SELECT n_name AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'whole' WHEN n_regionkey = 1 THEN 'part' END AS hint FROM nation")
+def schema_hints(spark, sf_dir):
+    """Hints by whole path for every second nation, by last segment for one region."""
+    nations = table(spark, sf_dir, "nation")
+    named = nations.select(F.concat(F.lit("a."), "n_name").alias("path"), "n_name", "n_nationkey", "n_regionkey")
+    hints = named.where("n_nationkey % 2 = 0").select("path", F.lit("whole").alias("hint")).union(named.where("n_regionkey = 1").select("n_name", F.lit("part")))
+    return catalog.with_hints(named.select("path"), hints).select(F.substring("path", 3, 100).alias("path"), "hint")
+
+
+@query("SELECT l_returnflag AS name, count(DISTINCT l_linestatus) AS parents FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1")
+def shared_entities(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", F.lit("["), "l_linenumber", F.lit("]."), "l_returnflag").alias("path"))
+    return catalog.shared_entities(rows)
+
+
+@query("SELECT 'c' || c_custkey AS path, CASE WHEN c_custkey % 4 = 0 THEN 'SQL' ELSE 'MongoDB' END AS backend, CASE WHEN c_custkey % 4 = 0 THEN 'final' ELSE 'auto_finalized' END AS status FROM customer")
+def finalize_unmapped(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), "c_custkey")
+    mapped = rows.where("c_custkey % 4 = 0").select("path", F.lit("SQL").alias("backend"), F.lit("final").alias("status"))
+    return catalog.finalize_unmapped(rows, mapped)
+
+
+@query("SELECT 'props' AS entity, 'k' AS column, count(*) AS appearances FROM events UNION ALL SELECT 'root', 'value', count(*) FILTER (event_id % 5 <> 0) FROM events UNION ALL SELECT 'root', 'nope', NULL")
+def column_stats(spark, sf_dir):
+    columns = spark.createDataFrame([("props", "k"), ("root", "value"), ("root", "nope")], "entity string, column string")
+    return catalog.column_stats(columns, event_stats(spark, sf_dir))
+
+
+@query("SELECT r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey), '') AS children FROM region UNION ALL SELECT n_name, '' FROM nation")
+def linked_entities(spark, sf_dir):
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    below = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
+    return catalog.linked_entities(regions.select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent")).union(below))
+
+
+@query("SELECT c_custkey AS key, 'table' AS part FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'document' FROM customer WHERE c_custkey % 2 <> 0")
+def union_new_names(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    return catalog.union_by_name(keys.where("key % 2 = 0").withColumn("part", F.lit("table")), keys.withColumn("part", F.lit("document")), "key")
+
+
+@query("SELECT user_id, count(*) AS records, date_diff('microsecond', min(ts), max(ts)) // 1000000 AS seconds FROM events GROUP BY 1")
+def session_activity(spark, sf_dir):
+    return catalog.sessions(table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@query("SELECT (SELECT count(*) FROM events) AS accepted, (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS rejected")
+def parse_event_lines(spark, sf_dir):
+    """Event lines: JSON after `data: ` is taken, broken JSON is rejected, other lines are no events."""
+    e = table(spark, sf_dir, "events")
+    lines = e.select(F.concat(F.lit("data: "), "props").alias("value")).union(e.where("event_id % 7 = 0").select(F.lit("data: {broken"))).union(e.select(F.lit(": keep-alive")))
+    return events.parse_events(lines).agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected"))
+
+
+@query("SELECT count(*) AS records, sum((NOT b)::INT)::BIGINT AS accepted FROM (SELECT event_id % 10 = 3 AS b FROM events)")
+def stream_ingest_total(spark, sf_dir):
+    """Events as landing lines, ingested by a stream until none is left; every tenth is broken."""
+    store = scratch_store(spark)
+    e = table(spark, sf_dir, "events")
+    e.select(F.when(F.col("event_id") % 10 == 3, "data: {").otherwise(F.concat(F.lit("data: "), "props")).alias("value")).write.text(f"{store.root}/landing")
+    ingest.start(store, events.stream_landing(spark, f"{store.root}/landing"), f"{store.root}/checkpoint").awaitTermination()
+    return store.read("batches").agg((F.sum("accepted") + F.sum("rejected")).alias("records"), F.sum("accepted").alias("accepted"))
