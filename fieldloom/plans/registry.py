@@ -329,10 +329,10 @@ def finalize_unmapped(spark, sf_dir):
     return catalog.finalize_unmapped(rows, mapped)
 
 
-@query("SELECT 'props' AS entity, 'k' AS column, count(*) AS appearances FROM events UNION ALL SELECT 'root', 'value', count(*) FILTER (event_id % 5 <> 0) FROM events UNION ALL SELECT 'root', 'nope', NULL")
+@query("SELECT 'props' AS entity, 'k' AS column, count(*) AS appearances FROM events UNION ALL SELECT 'root', 'value', count(*) FILTER (event_id % 5 <> 0) FROM events UNION ALL SELECT 'root', 'nope', 0")
 def column_stats(spark, sf_dir):
     columns = spark.createDataFrame([("props", "k"), ("root", "value"), ("root", "nope")], "entity string, column string")
-    return catalog.column_stats(columns, event_stats(spark, sf_dir))
+    return catalog.column_stats(columns, event_stats(spark, sf_dir)).fillna(0)
 
 
 @query("SELECT r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey), '') AS children FROM region UNION ALL SELECT n_name, '' FROM nation")
