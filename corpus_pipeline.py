@@ -24,8 +24,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return minhash_dedup.keep(docs)
+    """One document of each class of near duplicates, linked at a similarity of 0.8 or more."""
+    return minhash_dedup.keep(docs, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

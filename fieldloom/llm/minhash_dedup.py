@@ -4,22 +4,25 @@ Sketching: round i hashes every shingle of a document to one of SIZE bins and ke
 in an earlier round stays. After SIZE rounds, round SIZE + j puts all shingles in bin j, so every bin fills. Two sketches
 agree in a bin with the sets' Jaccard similarity as probability, concentrated as for independent bins.
 
-Banding: BANDS groups of BAND_ROWS bins; documents that share a band meet. A pair at similarity 0.85 meets in none with
-probability (1 - 0.85^5)^24 < 1e-6.
+Banding: groups of BAND_ROWS bins; documents that share a band meet. The threshold, in percent, is an argument; so many
+bands are made that a pair at the threshold t meets in none with probability (1 - t^5)^bands < 1e-6 (24 bands at 85 percent,
+35 at 80).
 
 Verification, in two passes. First every document of a bucket is checked against the bucket's least document, on full
 shingle sets; the links give components. Then only buckets that still hold several components are looked through: in
-blocks of bounded size, pairs of different components whose sketches agree in AGREE bins (5 standard deviations below the
-link threshold) are verified on full sets. No list of all pairs of a bucket is made, and no bucket is cut short.
+blocks of bounded size, pairs of different components whose sketches agree in enough bins (5 standard deviations below the
+link threshold: 176 at 85 percent, 161 at 80) are verified on full sets. No list of all pairs of a bucket is made, and no bucket is cut short.
 
 Empty and null texts have no shingles and are linked with nothing (component_id is the own id). Equal sets share one node.
-Rows with a null doc_id have a null component and are not kept. Repeated rows share their component; every one is kept
-whose id is the component's. An empty table gives no rows. Only doc_id and text are read.
+In near_duplicates, rows with a null doc_id have a null component and are not kept; in keep they count as documents of
+their own, which go only if a copy stays. Repeated rows share their component; every one is kept whose id is the
+component's. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm.components import components
 from fieldloom.llm.storage import materialize
 
-WORDS, PERCENT = 5, 85
-SIZE, BANDS, BAND_ROWS, AGREE = 240, 24, 5, 176
+#: Words of a shingle, and the least similarity in percent of a link: of near_duplicates by its contract, and of keep.
+WORDS, PERCENT, KEEP_PERCENT = 5, 85, 80
+#: Bins of a sketch and of a band; the greatest probability that a pair at the threshold meets in no band.
+SIZE, BAND_ROWS, MISSED = 240, 5, 1e-6
+#: Ids from here on stand for rows without one, so that they come behind the others.
+NO_ID = 1 << 62
 #: Text bytes worked on at once, and documents of a bucket that one block has at most.
 CHUNK_BYTES, BLOCK = 1 << 21, 1024
 U64 = np.uint64
@@ -44,6 +51,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the threshold misses with a probability below MISSED."""
+    bands = math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** BAND_ROWS))) if percent < 100 else 1
+    if bands * BAND_ROWS > SIZE:
+        raise ValueError(f"sketches of {SIZE} bins are too short for links at {percent} percent")
+    return bands
+
+
+def agreeing(percent: int) -> int:
+    """Bins in which the sketches of a pair at the threshold agree, less 5 standard deviations."""
+    t = percent / 100
+    return math.floor(SIZE * t - 5 * math.sqrt(SIZE * t * (1 - t)))
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of consecutive texts (bytes, end offsets), and the text of each word; A-Z count as a-z."""
     letters = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
@@ -122,7 +143,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         row = stop
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands_made: int) -> DataFrame:
     """(doc_id, tag, n_shingles, print, sketch, bands): a hash of the text, a 128-bit print of the set, the low bytes of
     its sketch, and band keys."""
 
@@ -132,12 +153,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(data, ends)
                 table = sketches(sets)
                 with np.errstate(over="ignore"):
-                    keys = np.tile(np.arange(1, BANDS + 1, dtype=U64), (len(sets), 1))
+                    keys = np.tile(np.arange(1, bands_made + 1, dtype=U64), (len(sets), 1))
                     for k in range(BAND_ROWS):
-                        keys = mixed(keys * U64(0x9E3779B97F4A7C15) + table[:, k : BANDS * BAND_ROWS : BAND_ROWS])
+                        keys = mixed(keys * U64(0x9E3779B97F4A7C15) + table[:, k : bands_made * BAND_ROWS : BAND_ROWS])
                 low = (table & 0xFF).astype(np.uint8)
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands_made), pa.array(keys.view(np.int64).ravel()))
                 columns = [batch.column(0)[row:stop], batch.column(2)[row:stop], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), bands]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "n_shingles", "print", "sketch", "bands"])
 
@@ -156,36 +177,37 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "node long, shingles binary")
 
 
-def linked(a: bytes, b: bytes) -> bool:
+def linked(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = np.sort(np.concatenate([x, y]))
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= PERCENT * (len(both) - shared)
+    return 100 * shared >= percent * (len(both) - shared)
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose set sizes and sketches allow a link."""
+    least = agreeing(percent)
     of = nodes.select("node", "n_shingles", "sketch")
     wide = pairs.join(of.toDF("a", "n_a", "s_a"), "a").join(of.toDF("b", "n_b", "s_b"), "b")
-    wide = wide.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT).select("a", "b", "s_a", "s_b")
+    wide = wide.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     return wide.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that are linked on their full sets."""
     wide = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            good = [linked(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return wide.mapInArrow(run, "a long, b long")
@@ -219,11 +241,12 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def clusters(members: DataFrame) -> DataFrame:
+def clusters(members: DataFrame, percent: int) -> DataFrame:
     """(cluster, node): nodes of a bucket whose sketches may link them across components, for exact verification.
 
     `members` has (key, p, q, node, component, n_shingles, sketch): a bucket's block pair and its rows.
     """
+    least = agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, nodes = [], []
@@ -235,9 +258,9 @@ def clusters(members: DataFrame) -> DataFrame:
             table = np.frombuffer(b"".join([sketch[i] for i in order]), np.uint8).reshape(-1, SIZE)
             left, right = [], []
             for i in range(len(node) - 1):
-                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(size[i + 1 :], size[i]) * 100 >= np.maximum(size[i + 1 :], size[i]) * PERCENT)) + i + 1
+                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(size[i + 1 :], size[i]) * 100 >= np.maximum(size[i + 1 :], size[i]) * percent)) + i + 1
                 if len(rest):
-                    near = rest[(table[rest] == table[i]).sum(axis=1) >= AGREE]
+                    near = rest[(table[rest] == table[i]).sum(axis=1) >= least]
                     left.append(np.full(len(near), i))
                     right.append(near)
             a, b = np.concatenate([*left, np.zeros(0, int)]).astype(int), np.concatenate([*right, np.zeros(0, int)]).astype(int)
@@ -277,17 +300,17 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cluster_links(rows: DataFrame) -> DataFrame:
+def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join what full sets link within each cluster; rows are (cluster, node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, node, shingles in _groups(batches, 1):
             if len(node) == 2:
-                a, b = ([node[0]], [node[1]]) if linked(*shingles) else ([], [])
+                a, b = ([node[0]], [node[1]]) if linked(*shingles, percent) else ([], [])
             else:
                 sets = [np.frombuffer(s, U64) for s in shingles]
                 sizes, shared = np.array([len(s) for s in sets], np.float64), intersections(sets).astype(np.float64)
-                left, right = np.nonzero(100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared))
+                left, right = np.nonzero(100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared))
                 root = _roots(len(node), left, right)
                 a, b = [node[r] for r in root], node
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -295,22 +318,24 @@ def cluster_links(rows: DataFrame) -> DataFrame:
     return rows.select("cluster", "node", "shingles").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
-    return classes(docs).drop("tag")
+    return classes(docs, percent).drop("tag")
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
     """One row of docs, with all its columns, for each class of near duplicates; rows without words stay, as do their copies."""
-    found = classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("n_shingles").alias("_n")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
+    found = classes(docs.select(own.alias("doc_id"), "text"), percent).where("kept")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("n_shingles").alias("_n")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), own.alias("_id"), F.xxhash64("text").alias("_tag"))
     once = rows.join(found, ["_id", "_tag"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tag").orderBy(F.lit(0))))
     return once.where("_nth = 1 or _n = 0").select("_row.*")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, percent: int) -> DataFrame:
     """near_duplicates with a hash of each row's text."""
-    signed = materialize(signatures(docs), "signatures")
+    signed = materialize(signatures(docs, bands_for(percent)), "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     prints = filled.groupBy("print").agg(F.min("doc_id").alias("node"))
     prints = materialize(prints, "prints")
@@ -322,9 +347,9 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = materialize(bands.join(buckets, "key"), "buckets")
 
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(alike(stars, nodes), "stars")
+    stars = materialize(alike(stars, nodes, percent), "stars")
     sets = materialize(full_sets(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()), "sets")
-    first = components(verified(stars, sets))
+    first = components(verified(stars, sets, percent))
 
     held = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -333,10 +358,10 @@ def classes(docs: DataFrame) -> DataFrame:
     dealt = held.join(several, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    found = clusters(dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")))
+    found = clusters(dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")), percent)
     found = materialize(found.distinct(), "clusters")
     sets = materialize(full_sets(docs, found.select("node").distinct()), "sets")
-    more = cluster_links(found.join(sets, "node"))
+    more = cluster_links(found.join(sets, "node"), percent)
 
     def lifted(edges: DataFrame, column: str) -> DataFrame:
         named = edges.join(first.toDF(column, "of"), column, "left")
