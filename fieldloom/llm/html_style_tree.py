@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of element paths (tag and class). A
 the entropy of its children's styles over the pages that have it, and a content's importance is one minus the entropy of
 the pages that hold it: what stands on all pages alike counts nothing. An element's composite importance weighs both.
 From each page, contents and elements of low importance go, and so do the kinds that are never main text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments). Prose inside <article> or <main> stays, even where
-many pages carry the same article.
+footers, sidebars, adverts, forms, scripts, styles, comments). Prose inside <article> or <main> stays, even where many
+pages carry the same article. Names are matched as whole class tokens or ids, never on what holds an article or <main>; under
+names that a text's own sections have too (related, search, discussion) only the importance decides.
 
 The statistics are counts by (host, path, feature), so a large host is spread over all tasks. A null or empty html has
 the text ''; a page with a null or odd url belongs to the host ''; repeated rows are extracted alike, each for itself; an
@@ -34,10 +35,14 @@ BLOCKS = set("address article aside blockquote body center dd details dialog dir
 RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 NEVER = set("head nav header footer aside form button select option label input menu dialog object audio video canvas script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+# Whole class tokens and ids that name what is never main text, and those that a text's own parts may have as well.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|foot\w*|side\w*|widget\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|disqus|repl(?:y|ies)|respond|responses?|feedback|discussion|share\w*|social|related|recommend\w*|pagination|pager|toolbar|search\w*|legal|copyright|disclaimer|alert\w*)(?=$|[\s_-])",
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[-_])?(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|masthead|footer|side(?:bar|nav)|widgets?|cookies?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|disqus|share|pagination|pager|toolbar|copyright)"
+    r"(?:[-_](?:ads?|area|banner|bar|block|body|box|buttons?|consent|container|form|inner|items?|links?|lists?|menu|notice|popup|section|widget|wrap(?:per)?))?",
     re.I,
 )
+DOUBTFUL = re.compile(r"(?:.*[-_])?(?:header|foot\w*|side\w*|consent|notice\w*|repl(?:y|ies)|respond|responses?|feedback|discussion|social|related|recommend\w*|search\w*|legal|disclaimer|alert\w*)(?:[-_].*)?", re.I)
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html"}
@@ -55,19 +60,39 @@ def text_key(text: str) -> int:
 
 
 class _Element:
-    __slots__ = ("children", "main", "noise", "parent", "path", "prose", "tag")
+    __slots__ = ("article", "children", "doubtful", "holds", "main", "named", "never", "parent", "path", "prose", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         style = re.sub(r"\d+", "0", " ".join([found.get("class", ""), found.get("id", "")])).strip()
         self.tag, self.parent, self.children = tag, parent, []
         self.path = path_key(parent.path if parent else 0, tag, style)
-        self.main = bool(parent and parent.main) or tag in ("article", "main") or found.get("role") == "main"
-        self.prose = tag in PROSE or bool(parent and parent.prose)
-        own = tag in NEVER or found.get("role", "").lower() in ROLES or (bool(style) and tag not in ("body", "html", "main") and NOISE.search(style) is not None)
         inside = parent is not None and parent.main
-        heading = tag == "header" and inside and not style
-        self.noise = bool(parent and parent.noise) or (own and not heading)
+        self.main = inside or tag in ("article", "main") or found.get("role") == "main"
+        self.article = tag == "article" or bool(parent and parent.article)
+        self.prose = tag in PROSE or bool(parent and parent.prose)
+        heading = tag == "header" and inside
+        self.never = (tag in NEVER and not heading) or found.get("role", "").lower() in ROLES
+        # Names count neither on the outermost article nor on whatever holds it, nor for a heading's id.
+        names = found.get("class", "").split() + ([] if tag in HEADINGS else [found.get("id", "").strip()])
+        names = [] if tag in ("body", "html", "main") or heading or (tag == "article" and not inside) else names
+        self.named = any(NOISE.fullmatch(n) for n in names)
+        self.doubtful = bool(parent and parent.doubtful) or (tag != "article" and any(DOUBTFUL.fullmatch(n) for n in names))
+        self.holds = False
+        if self.main and not (parent and parent.article) and not self.named and (tag in ("article", "main") or found.get("role") == "main"):
+            while parent is not None and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
+
+    @property
+    def noise(self) -> bool:
+        """Whether the element, or one that it is in, is never main text; to be asked when the page has been read."""
+        element: _Element | None = self
+        while element is not None:
+            if element.never or (element.named and not element.holds):
+                return True
+            element = element.parent
+        return False
 
 
 def blocks(html: str) -> list[tuple[_Element, str]]:
@@ -190,7 +215,7 @@ def main_text(html: str, low: set[tuple[int, int]]) -> str:
     found = [(e, t) for e, t in blocks(html) if not e.noise]
     if any(e.main for e, _ in found):
         found = [(e, t) for e, t in found if e.main]
-    return "\n".join(t for e, t in found if (e.main and e.prose) or (e.path, text_key(t)) not in low)
+    return "\n".join(t for e, t in found if (e.main and e.prose and not e.doubtful) or (e.path, text_key(t)) not in low)
 
 
 def extract(pages: DataFrame) -> DataFrame:
