@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.types import detect_type, numbered_name
 
-MOST_LEVELS = 6
+_STRING, _BRACKET = r'"(?:[^"\\]++|\\.)*+"', r"[^\[\]{}]+"
 
 
-def walk(records: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def depth(records: DataFrame) -> int:
+    """The greatest number of dictionaries and lists within one another in records (v VARIANT)."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json("v"), _STRING, ""), _BRACKET, "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["most"], s["at"] + x).alias("most")), lambda s: s["most"])
+    return records.agg(F.max(deepest)).first()[0] or 0
+
+
+def walk(records: DataFrame, levels: int | None = None) -> DataFrame:
     """(record_key, path, value, type): one row for every node of records (record_key, v VARIANT), each once a record.
 
-    Dictionary keys are joined by dots and list places stand in brackets. Nodes deeper than `levels` are not visited.
+    Dictionary keys are joined by dots and list places stand in brackets. All levels are visited,
+    or `levels` of them.
     Each level puts a node's children beside the node in one pass, so that a record is parsed once and never shuffled.
     """
     open_, value, path = F.col("open"), F.col("value"), F.col("path")
@@ -25,7 +34,7 @@ def walk(records: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     kind = F.schema_of_variant(value)
     expanded = F.when(open_ & kind.startswith("OBJECT"), F.concat(own, of_dict)).when(open_ & kind.startswith("ARRAY"), F.concat(own, of_list)).otherwise(own)
     nodes = records.select("record_key", F.lit("").alias("path"), F.col("v").alias("value"), F.lit(True).alias("open"))
-    for _ in range(levels):
+    for _ in range(depth(records) if levels is None else levels):
         nodes = nodes.select("record_key", F.explode(expanded).alias("node")).select("record_key", "node.*")
     return nodes.where("path <> ''").select("record_key", "path", "value", detect_type(value).alias("type"))
 
