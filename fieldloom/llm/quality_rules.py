@@ -48,7 +48,7 @@ def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Windows of words are compared by 64-bit hashes within one document.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    lines = F.expr(r"filter(split(_text, '\n'), x -> btrim(x, ' \t\u000b\f\r') != '')")
+    lines = F.expr(r"filter(split(_text, '\n'), x -> btrim(x, ' \t\u000b\u000c\r') != '')")
     out = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", SPACE), "")).withColumn("_lines", lines)
     out = out.withColumns(
         {
