@@ -5,8 +5,11 @@ feature's lookup table. The strongest pairs then get tables of their own in the
 for each feature and pair. Features are counts and ratios of the whole text; labels, language, source and id are not
 among them.
 
-Null and empty texts have zero words and a score like any other. Repeated rows are scored alike. Without labelled rows
-of both kinds the score is 0.5 for all. An empty table gives no rows. Only doc_id and text are read.
+Null and empty texts have zero words and a score like any other; very long texts are measured whole. A text's score does
+not depend on the rows around it, so repeated rows are scored alike. An id teaches once: of repeated labels the least
+counts, and of repeated documents the least features. Without labelled rows of both kinds the score is 0.5 for all, and
+`keep` keeps all. Ties between cuts go to the first, ties between pairs to the last features. An empty table gives no rows.
+Only doc_id and text are read, so other columns may have any names; `keep` passes them through.
 """
 
 from __future__ import annotations
@@ -60,12 +63,10 @@ def measure(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         triples = mixed(words[:-2] + words[1:-1] * U64(0x9E3779B97F4A7C15) + words[2:] * U64(0xD6E8FEB86659FD93)) if len(words) > 2 else words[:0]
     some, threes = np.maximum(counts, 1), np.maximum(counts - 2, 0)
     solid = (ends - starts) - n[7]
+    # A text of g white-space bytes has g + 1 runs between them, one after the other; a run is a word or empty.
     gaps = np.flatnonzero(kind == 7)
-    edges = np.concatenate([[-1], gaps, ends - 1 + (len(ends) > 0)])
-    longest = np.zeros(texts)
-    lengths = np.diff(np.sort(edges)) - 1
-    at = np.minimum(np.searchsorted(ends, np.sort(edges)[1:] - 1, "right"), texts - 1) if texts else np.zeros(0, int)
-    np.maximum.at(longest, at, lengths)
+    runs = np.sort(np.concatenate([gaps, ends])) - np.sort(np.concatenate([starts, gaps + 1]))
+    longest = np.maximum.reduceat(runs, np.cumsum(n[7] + 1).astype(int) - n[7].astype(int) - 1) if texts else np.zeros(0)
     columns = [
         np.log1p(counts), solid / some, n[1] / np.maximum(n[1] + n[6], 1), n[2] / np.maximum(solid, 1), n[3] / some, n[4] / some, n[5] / some,
         n[8] / np.maximum(solid, 1), repeats / some, _distinct(words, stops, counts) / some,
@@ -175,16 +176,18 @@ class Model:
 
 
 def sampled(labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, quality) of about `training_rows` labels at most, chosen by a hash of their id."""
-    marked = labels.where("quality in (0, 1)").select("doc_id", "quality")
-    share = min(1.0, training_rows / max(1, marked.count()))
-    return marked.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """(doc_id, quality), one row an id, of the `training_rows` labelled ids that come first by a hash."""
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return marked.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(training_rows)
 
 
 def fit(rows: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
-    """A model of quality from `rows` (doc_id, features) that `labels` (doc_id, quality) marks; None if one kind lacks."""
-    marked = rows.join(F.broadcast(sampled(labels, training_rows)), "doc_id").select("doc_id", "features", "quality")
-    chosen = marked.orderBy("doc_id", "features").toPandas()
+    """A model of quality from `rows` (doc_id, features) that `labels` (doc_id, quality) marks; None if one kind lacks.
+
+    At most `training_rows` rows reach the driver.
+    """
+    marked = rows.join(F.broadcast(sampled(labels, training_rows)), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("quality").alias("quality"))
+    chosen = marked.orderBy("doc_id").toPandas()
     if chosen["quality"].nunique() < 2:
         return None
     return Model(np.array(chosen["features"].tolist()), chosen["quality"].to_numpy(float))
