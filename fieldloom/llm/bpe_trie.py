@@ -4,7 +4,9 @@ The last token of a prefix's encoding follows from the last tokens of its shorte
 t is a suffix of p and the last token of what stands before it may be followed by t. Sorted distinct words are the trie
 in depth-first order, so one stack of last tokens is the walk's state and a shared prefix is worked out once.
 
-Nulls and empty texts have no tokens; repeated rows are encoded alike; other columns do not matter.
+Nulls and empty texts have no tokens; very long texts and pieces are encoded whole; repeated rows are encoded alike; an
+empty table gives no rows; other columns are not read, so their names may be any. Of two merges of one rank the left one
+goes first, as in the library.
 """
 
 from __future__ import annotations
@@ -65,8 +67,7 @@ class TrieEncoder:
         self.inner = {t: i for t, i in ids.items() if not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end): i for t, i in ids.items() if t.endswith(self.end)}
         self.follows: dict[int, bool] = {}
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of `token` as it is built, each with the rank of the merge that uses it up."""
@@ -131,28 +132,28 @@ class TrieEncoder:
                 out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.signs) for w in self.pattern.findall(text)]
         return out
 
-    def learn(self, pieces: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Lookups of ids and of decoded text that have all pieces."""
-        missing = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(missing) > CACHE_ENTRIES:
-            self.ids.clear()
-            self.decoded.clear()
+    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Makes all pieces known, by their ids and their decoded text; what is too long to be kept is returned."""
+        missing = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_ENTRIES:
+            self.known.clear()
             missing = list(pieces)
         parts = [self.words(p) for p in missing]
         encoded = self.encode_words({w for ws in parts for w in ws if isinstance(w, str)})
-        ids, decoded = {}, {}
+        once: dict[str, tuple[bytes, bytes]] = {}
         for piece, ws in zip(missing, parts):
             found = [t for w in ws for t in ([w] if isinstance(w, int) else encoded[w])]
-            into = (self.ids, self.decoded) if len(piece) <= CACHED_LENGTH else (ids, decoded)
-            into[0][piece] = np.asarray(found, "<u4").tobytes()
-            into[1][piece] = " ".join([self.text_of[t] for t in found]).encode()
-        return ({**self.ids, **ids}, {**self.decoded, **decoded}) if ids else (self.ids, self.decoded)
+            (self.known if len(piece) <= CACHED_LENGTH else once)[piece] = np.asarray(found, "<u4").tobytes(), " ".join([self.text_of[t] for t in found]).encode()
+        return once
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
         cut = [[p for p in _SPACE.split(t) if p] if _CONTROL_SPACE.search(t) else t.split() for t in texts]
-        ids, decoded = self.learn(set().union(*cut))
-        return [(b"".join([ids[p] for p in c]), b" ".join([d for d in [decoded[p] for p in c] if d])) for c in cut]
+        once, known, out = self.learn(set().union(*cut)), self.known, []
+        for pieces in cut:
+            found = [once[p] if p in once else known[p] for p in pieces] if once else [known[p] for p in pieces]
+            out.append((b"".join([ids for ids, _ in found]), b" ".join([text for _, text in found if text])))
+        return out
 
 
 @lru_cache(maxsize=2)
