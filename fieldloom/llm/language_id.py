@@ -6,14 +6,17 @@ filter of its fill accepts by chance, decide. An n-gram belongs to a language if
 the language in which it is most frequent.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the first name. Rows without a language teach
-nothing; without any, every text is `und`. Repeated rows are judged alike; an empty table gives no rows. Only doc_id and
-text are inputs of a prediction.
+nothing; without any, every text is `und`. Any number of languages may be learned: a slot has one 64-bit word for every 63
+of them, so a filter takes 8 MB for each such word. Very long texts are counted in parts and judged whole. Repeated rows are
+judged alike; an empty table gives no rows. Only doc_id and text are inputs of a prediction, so other columns may have any
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +29,39 @@ from fieldloom.llm.quality_gam import remainder
 #: The filter learns from about this many documents of each language at most, chosen by a hash of their id.
 TRAINING_DOCUMENTS = 2_000
 SLOTS, PROBES, LEAST_COUNT, LEAST_RATIO = 1 << 20, 3, 3, 0.25
-TEXTS_TOGETHER = 512
+#: Languages of a mask word, and signs whose n-grams are looked up together.
+WORD_BITS, SIGNS_TOGETHER = 63, 1 << 20
 U64 = np.uint64
 
 
+@lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x32000)] + [False])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-_LETTERS = letter_table()
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The n-grams around each letter of the texts, as 64-bit values, and the text of each: 3 signs, and 4 of which the
-    middle two are letters. What is no letter counts as one and the same sign."""
-    lower = [t.lower() for t in texts]
-    signs = np.frombuffer("".join(f"\n{t}\n\n" for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 3 for t in lower])
-    signs = np.where(_LETTERS[np.minimum(signs, len(_LETTERS) - 1)], signs, 0).astype(U64)
-    at = np.flatnonzero(signs)
-    if not len(at):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    three = signs[at - 1] << U64(42) | signs[at] << U64(21) | signs[at + 1]
-    two = at[signs[at + 1] > 0]
-    with np.errstate(over="ignore"):
-        four = mixed((signs[two - 1] << U64(42) | signs[two] << U64(21) | signs[two + 1]) * U64(0x9E3779B97F4A7C15) + signs[two + 2] + U64(1))
-    return np.concatenate([mixed(three), four]), np.concatenate([owner[at], owner[two]])
+    middle two are letters. What is no letter counts as one and the same sign. They come in parts of bounded size."""
+    at = 0
+    while at < len(texts):
+        size, stop = 0, at
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SIGNS_TOGETHER):
+            size += len(texts[stop])
+            stop += 1
+        lower = [t.lower() for t in texts[at:stop]]
+        signs = np.frombuffer("".join(f"\n{t}\n\n" for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(at, stop), [len(t) + 3 for t in lower])
+        signs = np.where(letter_table()[signs], signs, 0).astype(U64)
+        for low in range(0, len(signs), SIGNS_TOGETHER):
+            middle = np.flatnonzero(signs[low : low + SIGNS_TOGETHER]) + low
+            if not len(middle):
+                continue
+            three = signs[middle - 1] << U64(42) | signs[middle] << U64(21) | signs[middle + 1]
+            two = middle[signs[middle + 1] > 0]
+            with np.errstate(over="ignore"):
+                four = mixed((signs[two - 1] << U64(42) | signs[two] << U64(21) | signs[two + 1]) * U64(0x9E3779B97F4A7C15) + signs[two + 2] + U64(1))
+            yield np.concatenate([mixed(three), four]), np.concatenate([owner[middle], owner[two]])
+        at = stop
 
 
 def probes(values: np.ndarray) -> list[np.ndarray]:
@@ -60,22 +70,28 @@ def probes(values: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filter:
+    """Bit-sliced filters of `languages`: slots[w] has the mask of the languages 63 w to 63 w + 62 for each slot."""
+
     languages: list[str]
     slots: np.ndarray
 
     def __post_init__(self) -> None:
-        self.chance = [float((self.slots >> U64(k) & U64(1)).mean()) ** PROBES for k in range(len(self.languages))]
+        self.chance = [float((self.slots[k // WORD_BITS] >> U64(k % WORD_BITS) & U64(1)).mean()) ** PROBES for k in range(len(self.languages))]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        values, owner = grams(texts)
-        total = np.bincount(owner, minlength=len(texts)).astype(float)
-        masks = np.full(len(values), np.iinfo(np.uint64).max, U64)
-        for place in probes(values):
-            masks &= self.slots[place]
-        counts = np.zeros((len(self.languages), len(texts)))
+        total, hits = np.zeros(len(texts)), np.zeros((len(self.languages), len(texts)))
+        for values, owner in grams(texts):
+            total += np.bincount(owner, minlength=len(texts))
+            places = probes(values)
+            for w, slots in enumerate(self.slots):
+                masks = slots[places[0]]
+                for place in places[1:]:
+                    masks = masks & slots[place]
+                for k in range(w * WORD_BITS, min((w + 1) * WORD_BITS, len(self.languages))):
+                    hits[k] += np.bincount(owner[(masks >> U64(k % WORD_BITS) & U64(1)) == 1], minlength=len(texts))
+        counts = np.zeros_like(hits)
         for k, chance in enumerate(self.chance):
-            hits = np.bincount(owner[(masks >> U64(k) & U64(1)) == 1], minlength=len(texts))
-            counts[k] = np.clip((hits - total * chance) / (1 - chance) if chance < 1 else 0, 0, total)
+            counts[k] = np.clip((hits[k] - total * chance) / (1 - chance) if chance < 1 else 0, 0, total)
         known = (total > 0) & (len(self.languages) > 0)
         best = counts.argmax(axis=0) if len(self.languages) else np.zeros(len(texts), int)
         names = [self.languages[b] if k else "und" for b, k in zip(best, known)]
@@ -83,43 +99,35 @@ class Filter:
 
 
 def learn(docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS) -> Filter:
-    """A filter from the text and lang of docs (doc_id, text, lang); at most 63 languages."""
-    docs = docs.where("lang is not null and text is not null")
+    """A filter from the text and lang of docs (doc_id, text, lang)."""
+    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     languages = sorted(sizes)
-    if len(languages) > 63:
-        raise ValueError("a slot's bitmask has room for 63 languages")
     if not languages:
-        return Filter([], np.zeros(SLOTS, U64))
-    share = F.lit(0.0)
-    number = F.lit(0)
-    for k, name in enumerate(languages):
-        share = F.when(F.col("lang") == name, min(1.0, training_documents / sizes[name])).otherwise(share)
-        number = F.when(F.col("lang") == name, k).otherwise(number)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).select(number.cast("int").alias("language"), "text")
+        return Filter([], np.zeros((0, SLOTS), U64))
+    table = [(name, k, int(min(1.0, training_documents / sizes[name]) * 1_000_000)) for k, name in enumerate(languages)]
+    known = docs.sparkSession.createDataFrame(table, "lang string, language int, share int")
+    chosen = docs.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1_000_000)) < F.col("share")).select("language", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_TOGETHER):
-                part = batch.slice(at, TEXTS_TOGETHER)
-                values, owner = grams(part.column(1).to_pylist())
-                of = part.column(0).to_numpy()[owner]
+            languages_of = batch.column(0).to_numpy()
+            for values, owner in grams(batch.column(1).to_pylist()):
+                of = languages_of[owner]
                 for language in np.unique(of):
                     found, n = np.unique(values[of == language], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), language, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], names=["language", "gram", "n"])
 
     counted = chosen.mapInArrow(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    totals = {r["language"]: r["n"] for r in counted.groupBy("language").agg(F.sum("n").alias("n")).collect()}
-    rates = [F.sum(F.when(F.col("language") == k, F.col("n") / totals.get(k, 1)).otherwise(0.0)) for k in range(len(languages))]
-    bits = [F.when((F.max(F.when(F.col("language") == k, F.col("n"))) >= LEAST_COUNT) & (rates[k] >= LEAST_RATIO * F.greatest(*rates, F.lit(0.0))), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(len(languages))]
-    mask = bits[0].cast("long")
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit.cast("long"))
-    masks = counted.groupBy("gram").agg(mask.alias("mask")).where("mask <> 0")
+    totals = counted.groupBy("language").agg(F.sum("n").alias("total"))
+    # One bounded list a gram: a number for each language that has it.
+    rated = counted.join(F.broadcast(totals), "language").groupBy("gram").agg(F.max(F.col("n") / F.col("total")).alias("most"), F.collect_list(F.struct("language", "n", (F.col("n") / F.col("total")).alias("rate"))).alias("of"))
+    held = rated.select("gram", "most", F.explode("of").alias("x")).where((F.col("x.n") >= LEAST_COUNT) & (F.col("x.rate") >= LEAST_RATIO * F.col("most")))
     places = F.array(*[F.shiftright("gram", 20 * k).bitwiseAND(F.lit(SLOTS - 1)) for k in range(PROBES)])
-    held = masks.select("mask", F.explode(places).alias("slot")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    slots = np.zeros(SLOTS, U64)
-    slots[held["slot"].to_numpy()] = held["mask"].to_numpy(np.int64).astype(U64)
+    bits = held.select(F.explode(places).alias("slot"), F.floor(F.col("x.language") / WORD_BITS).alias("word"), F.expr(f"shiftleft(1L, x.language % {WORD_BITS})").alias("mask"))
+    masks = bits.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    slots = np.zeros((-(-len(languages) // WORD_BITS), SLOTS), U64)
+    slots[masks["word"].to_numpy(int), masks["slot"].to_numpy(int)] = masks["mask"].to_numpy(np.int64).astype(U64)
     return Filter(languages, slots)
 
 
@@ -129,10 +137,8 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_TOGETHER):
-                part = batch.slice(at, TEXTS_TOGETHER)
-                names, scores = shared.value.predict([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            names, scores = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
