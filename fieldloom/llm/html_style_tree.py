@@ -1,16 +1,25 @@
 """Main-text extraction with site style trees.
 
-The pages of a host are merged into one tree of element paths (tag and class). An element's presentation importance is
-the entropy of its children's styles over the pages that have it, and a content's importance is one minus the entropy of
-the pages that hold it: what stands on all pages alike counts nothing. An element's composite importance weighs both.
-From each page, contents and elements of low importance go, and so do the kinds that are never main text (menus, headers,
-footers, sidebars, adverts, forms, scripts, styles, comments). Prose inside <article> or <main> stays, even where many
-pages carry the same article. Names are matched as whole class tokens or ids, never on what holds an article or <main>; under
-names that a text's own sections have too (related, search, discussion) only the importance decides.
+The pages of a host are merged into one tree of element nodes (paths of tag, class and id), each with the styles (sequences
+of children) and the contents (texts) that pages have there. Pages count by their originality, the share of their text that
+other pages of the host lack, so that copies and near copies of one page weigh as one.
+
+- A node's presentation importance is the entropy of its styles over the pages that have it.
+- A content's importance is one minus the entropy of the pages that hold it: what stands on all pages alike counts nothing.
+- A node's content importance is the mean over its contents. Outside <article> and <main>, where adverts and menus rotate
+  through many variants, a content's share of it is one over the perplexity of its pages instead.
+- A branch's composite importance weighs the presentation and the contents of all its nodes; it is no less than the content
+  importance of any one node below, so that what holds an important node stays.
+
+From each page go the contents and whole branches of low importance. A heading, list item or cell inside <article> or <main>
+goes only with what it is in. What a tree can't see is left to lists: kinds of elements that are never main text, whole class
+tokens and ids (not on what holds an article or <main>; under names that a text's own sections have too only the importance
+decides), and, where a page has <article> or <main>, all that is outside.
 
 The statistics are counts by (host, path, feature), so a large host is spread over all tasks. A null or empty html has
-the text ''; a page with a null or odd url belongs to the host ''; repeated rows are extracted alike, each for itself; an
-empty table gives no rows; columns other than page_id, url and html are not read.
+the text ''; a page with a null or odd url belongs to the host ''; repeated rows are extracted alike, each for itself, and
+count once; very long pages are parsed whole; on a host with few pages nothing is of low importance; an importance just at
+the limit stays; an empty table gives no rows; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -26,15 +36,17 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.storage import materialize
 
-#: Contents below this importance go, on paths that this many pages share at least; weight of presentation in a node.
-LEAST_IMPORTANCE, LEAST_PAGES, PRESENTATION = 0.3, 8, 0.5
+#: Branches and single contents below this importance go (a content at 0.1 is on about half of a large host's pages); pages
+#: that are added to those seen, so that a few prove little; weight of presentation in a branch.
+LEAST_BRANCH, LEAST_CONTENT, UNSEEN_PAGES, PRESENTATION = 0.3, 0.1, 2, 0.3
 
 # HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-NEVER = set("head nav header footer aside form button select option label input menu dialog object audio video canvas script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+TEXTLESS = set("head form button select option label input object audio video canvas script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+NEVER = TEXTLESS | set("nav header footer aside menu dialog".split())
+HEADINGS, ITEMS = set("h1 h2 h3 h4 h5 h6".split()), set("h1 h2 h3 h4 h5 h6 li dt dd td th caption".split())
 # Whole class tokens and ids that name what is never main text, and those that a text's own parts may have as well.
 NOISE = re.compile(
     r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[-_])?(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|masthead|footer|side(?:bar|nav)|widgets?|cookies?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|disqus|share|pagination|pager|toolbar|copyright)"
@@ -42,106 +54,130 @@ NOISE = re.compile(
     re.I,
 )
 DOUBTFUL = re.compile(r"(?:.*[-_])?(?:header|foot\w*|side\w*|consent|notice\w*|repl(?:y|ies)|respond|responses?|feedback|discussion|social|related|recommend\w*|search\w*|legal|disclaimer|alert\w*)(?:[-_].*)?", re.I)
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html"}
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# A quote opens a value only after an equals sign; elsewhere it is a sign like others.
+_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|[^>])*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
+@lru_cache(maxsize=1 << 16)
 def path_key(parent: int, tag: str, style: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{parent}/{tag}.{style}".encode(), digest_size=8).digest(), "little", signed=True)
+    return text_key(f"{parent}/{tag}.{style}")
 
 
 def text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class _Element:
-    __slots__ = ("article", "children", "doubtful", "holds", "main", "named", "never", "parent", "path", "prose", "tag")
+@lru_cache(maxsize=1 << 16)
+def traits(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """What a start tag says by itself: style, whether its role is main text or never such, and whether its names are noise or
+    doubtful. A heading's id doesn't count."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    role, classes, name = found.get("role", "").lower(), found.get("class", ""), found.get("id", "").strip()
+    names = classes.split() + ([] if tag in HEADINGS else [name])
+    style = re.sub(r"\d+", "0", f"{classes} {name}").strip()
+    return style, tag in ("article", "main") or role == "main", tag in NEVER or role in ROLES, any(map(NOISE.fullmatch, names)), any(map(DOUBTFUL.fullmatch, names))
 
-    def __init__(self, tag: str, attributes: str, parent: _Element | None):
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-        style = re.sub(r"\d+", "0", " ".join([found.get("class", ""), found.get("id", "")])).strip()
-        self.tag, self.parent, self.children = tag, parent, []
+
+class Element:
+    __slots__ = ("article", "children", "doubtful", "holds", "main", "mute", "named", "never", "parent", "path", "tag", "textless")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None):
+        style, main, never, named, doubtful = traits(tag, attributes)
+        inside, article = (parent.main, parent.article) if parent else (False, False)
+        self.tag, self.parent, self.children, self.holds = tag, parent, [], False
         self.path = path_key(parent.path if parent else 0, tag, style)
-        inside = parent is not None and parent.main
-        self.main = inside or tag in ("article", "main") or found.get("role") == "main"
-        self.article = tag == "article" or bool(parent and parent.article)
-        self.prose = tag in PROSE or bool(parent and parent.prose)
+        self.main, self.article = inside or main, article or tag == "article"
+        self.textless = tag in TEXTLESS
+        self.mute = self.textless and tag not in BLOCKS
         heading = tag == "header" and inside
-        self.never = (tag in NEVER and not heading) or found.get("role", "").lower() in ROLES
-        # Names count neither on the outermost article nor on whatever holds it, nor for a heading's id.
-        names = found.get("class", "").split() + ([] if tag in HEADINGS else [found.get("id", "").strip()])
-        names = [] if tag in ("body", "html", "main") or heading or (tag == "article" and not inside) else names
-        self.named = any(NOISE.fullmatch(n) for n in names)
-        self.doubtful = bool(parent and parent.doubtful) or (tag != "article" and any(DOUBTFUL.fullmatch(n) for n in names))
-        self.holds = False
-        if self.main and not (parent and parent.article) and not self.named and (tag in ("article", "main") or found.get("role") == "main"):
+        self.never = never and not heading
+        # Names count neither on the outermost article nor on whatever holds it.
+        unnamed = heading or tag in ("body", "html", "main") or (tag == "article" and not inside)
+        self.named = named and not unnamed
+        self.doubtful = (doubtful and not unnamed and tag != "article") or (parent is not None and parent.doubtful)
+        if main and not article and not self.named:
             while parent is not None and not parent.holds:
                 parent.holds = True
                 parent = parent.parent
 
-    @property
-    def noise(self) -> bool:
-        """Whether the element, or one that it is in, is never main text; to be asked when the page has been read."""
-        element: _Element | None = self
+    def line(self) -> Iterator[Element]:
+        """The element and all that it is in, innermost first."""
+        element: Element | None = self
         while element is not None:
-            if element.never or (element.named and not element.holds):
-                return True
+            yield element
             element = element.parent
-        return False
 
+    @property
+    def noise(self) -> bool:
+        """Whether the lists take the element, or one that it is in; to be asked when the page has been read."""
+        return any(e.never or (e.named and not e.holds) for e in self.line())
+
+    @property
+    def bound(self) -> bool:
+        """Whether the element and its contents go only with a branch around them."""
+        return self.main and not self.doubtful and self.tag in ITEMS
 
-def blocks(html: str) -> list[tuple[_Element, str]]:
+
+def blocks(html: str) -> list[tuple[Element, str]]:
     """The page's text blocks in order, each with its innermost block element."""
-    root = _Element("", "", None)
-    stack, out, words, at, skipped = [root], [], [], 0, ""
+    root = Element("", "", None)
+    stack, out, words, at, skipped, muted = [root], [], [], 0, "", 0
 
     def close() -> None:
-        text = " ".join(unescape("".join(words)).split())
-        if text:
-            out.append((next(e for e in reversed(stack) if e.tag in BLOCKS or e is root), text))
-        words.clear()
+        if words:
+            text = " ".join("".join(words).split())
+            if text:
+                out.append((next(e for e in reversed(stack) if e.tag in BLOCKS or e is root), text))
+            words.clear()
 
     for m in _MARKUP.finditer(html):
-        tag = (m[2] or "").lower()
+        ending, tag, attributes = m.groups()
         if skipped:
-            if not (m[1] and tag == skipped):
+            if not (ending and tag.lower() == skipped):
                 continue
             skipped, at = "", m.start()
-        words.append(html[at : m.start()])
+        if m.start() > at and not muted:
+            text = html[at : m.start()]
+            words.append(unescape(text) if "&" in text else text)
         at = m.end()
         if not tag:
             continue
+        tag = tag.lower()
         if tag == "br":
             words.append(" ")
-        elif m[1]:
+        elif ending:
             if tag == "p" and not any(e.tag == "p" for e in stack):
                 close()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if any(e.tag in BLOCKS or e.tag in NEVER for e in stack[k:]):
+                    if any(e.tag in BLOCKS for e in stack[k:]):
                         close()
+                    muted -= sum(e.mute for e in stack[k:]) if muted else 0
                     del stack[k:]
                     break
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break
         else:
-            if tag in BLOCKS or tag in NEVER:
+            if tag in BLOCKS:
                 close()
-                if tag in BLOCKS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == "p" or stack[k].tag in CLOSED_BY.get(tag, ()):
-                            del stack[k:]
-                            break
-                        if stack[k].tag in SCOPES:
-                            break
-            element = _Element(tag, m[3], stack[-1])
+                ends = CLOSED_BY.get(tag, ())
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p" or stack[k].tag in ends:
+                        muted -= sum(e.mute for e in stack[k:]) if muted else 0
+                        del stack[k:]
+                        break
+                    if stack[k].tag in SCOPES:
+                        break
+            element = Element(tag, attributes, stack[-1])
             stack[-1].children.append(element.path)
-            if tag not in VOID and not (m[3] or "").endswith("/"):
+            if tag not in VOID and not attributes.endswith("/"):
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
                     if end is None:
@@ -150,10 +186,11 @@ def blocks(html: str) -> list[tuple[_Element, str]]:
                     skipped = tag
                 else:
                     stack.append(element)
-    if not skipped:
-        words.append(html[at:])
+                    muted += element.mute
+    if not skipped and not muted:
+        words.append(unescape(html[at:]))
     close()
-    return out
+    return [(e, t) for e, t in out if not any(x.textless for x in e.line())]
 
 
 def host_of(url: str | None) -> str:
@@ -162,76 +199,104 @@ def host_of(url: str | None) -> str:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, page, contents, styles): the path and key of each content, and of each element's children."""
+    """(page_id, url, tag, host, size, contents, nodes): hashes of the page and its host, the letters of its text, its contents
+    with their path, and the elements around them with the hash of their style, the contents of their own and the paths of
+    all that they are in."""
     kind = pages.schema["page_id"].dataType.simpleString()
+    content = pa.list_(pa.struct([("path", pa.int64()), ("feature", pa.int64()), ("size", pa.int32())]))
+    node = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("own", pa.int32()), ("main", pa.bool_()), ("bound", pa.bool_()), ("up", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, page, contents, styles = [], [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found, of, elements = blocks(html or ""), [], {}
-                for element, text in found:
-                    of.append({"path": element.path, "feature": text_key(text)})
-                    while element is not None and id(element) not in elements:
-                        elements[id(element)] = element
-                        element = element.parent
-                host.append(host_of(url))
-                page.append(text_key("\n".join(t for e, t in found if e.main) or html or ""))
-                contents.append(of)
-                styles.append([{"path": e.path, "feature": text_key(str(list(dict.fromkeys(e.children))))} for e in elements.values()])
-            pair = pa.list_(pa.struct([("path", pa.int64()), ("feature", pa.int64())]))
+            host, size, contents, nodes = [], [], [], []
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                found, elements, own = blocks(html or ""), {}, {}
+                for element, _ in found:
+                    own[element.path] = own.get(element.path, 0) + 1
+                    elements.update((e.path, e) for e in element.line())
+                host.append(text_key(host_of(url)))
+                size.append(sum(len(t) for _, t in found))
+                contents.append([{"path": e.path, "feature": text_key(t), "size": len(t)} for e, t in found])
+                nodes.append([{"path": p, "style": text_key(str(list(dict.fromkeys(e.children)))), "own": own.get(p, 0), "main": e.main and not e.doubtful, "bound": e.bound, "up": [x.path for x in e.line()]} for p, e in elements.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(contents, pair), pa.array(styles, pair)],
-                names=["page_id", "url", "host", "page", "contents", "styles"],
+                [*batch.columns[:3], pa.array(host, pa.int64()), pa.array(size, pa.int64()), pa.array(contents, content), pa.array(nodes, node)],
+                names=["page_id", "url", "tag", "host", "size", "contents", "nodes"],
             )
 
-    pair = "array<struct<path: bigint, feature: bigint>>"
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, page long, contents {pair}, styles {pair}")
-
-
-def importance(featured: DataFrame) -> DataFrame:
-    """(host, path, feature, importance) of the contents that are shared by pages with different main texts."""
-
-    def counted(column: str) -> DataFrame:
-        rows = featured.select("host", "page", F.explode(F.array_distinct(column)).alias("x")).select("host", "page", "x.path", "x.feature")
-        return rows.distinct().groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
-
-    def pages(counts: DataFrame) -> DataFrame:
-        m = F.sum("n")
-        entropy = F.when(m > 1, (F.log(m) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / m) / F.log(m)).otherwise(1.0)
-        return counts.groupBy("host", "path").agg(m.alias("m"), entropy.alias("spread"))
-
-    contents = counted("contents")
-    style = pages(counted("styles")).select("host", "path", F.col("spread").alias("presentation"))
-    nodes = pages(contents).join(style, ["host", "path"], "left").where(F.col("m") >= LEAST_PAGES)
-    shared = contents.where("n > 1").join(nodes, ["host", "path"])
-    own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))
-    composite = F.when(F.col("spread") < LEAST_IMPORTANCE, F.least(own, PRESENTATION * F.coalesce("presentation", F.lit(0.0)) + (1 - PRESENTATION) * F.col("spread"))).otherwise(own)
-    return shared.select("host", "path", "feature", composite.alias("importance"))
-
-
-def main_text(html: str, low: set[tuple[int, int]]) -> str:
-    """The page's main text without the contents (path, feature) in `low`."""
-    found = [(e, t) for e, t in blocks(html) if not e.noise]
-    if any(e.main for e, _ in found):
+    schema = f"page_id {kind}, url string, tag long, host long, size long, contents array<struct<path: bigint, feature: bigint, size: int>>, nodes array<struct<path: bigint, style: bigint, own: int, main: boolean, bound: boolean, up: array<bigint>>>"
+    return tagged(pages).select("page_id", "url", "tag", "html").mapInArrow(run, schema)
+
+
+def tagged(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with a hash of the row."""
+    return pages.select("page_id", "url", "html").withColumn("tag", F.xxhash64("page_id", "url", "html"))
+
+
+def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Importance of the contents that several pages of a host have, (host, path, feature, bound, importance), and of all
+    branches, (host, path, bound, importance). `featured` is read several times and should be a written table."""
+    held = featured.select("tag", "host", F.explode(F.array_distinct("contents")).alias("x")).select("tag", "host", "x.*")
+    several = featured.select("host", F.explode(F.array_distinct("contents.feature")).alias("feature")).groupBy("host", "feature").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(held.join(several, ["host", "feature"]), "repeated")
+    # A page's originality: each text counts for one page in as many as have it; so do repeated rows, which share a tag.
+    spent = repeated.groupBy("tag", "feature").agg((F.max("size") * (1 - 1 / F.max("n"))).alias("less")).groupBy("tag").agg(F.sum("less").alias("less"))
+    weights = featured.select("tag", "size").distinct().join(spent, "tag", "left")
+    weights = weights.select("tag", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), 1 - F.coalesce("less", F.lit(0.0)) / F.col("size"))).otherwise(0.0).alias("weight"))
+    weights = materialize(weights, "weights")
+
+    rows = featured.select("tag", "host", F.explode("nodes").alias("x")).join(weights, "tag").select("host", "weight", "x.*")
+    marks = [F.max("main").alias("main"), F.max("bound").alias("bound"), F.first("up").alias("up")]
+    styles = rows.groupBy("host", "path", "style").agg(F.sum("weight").alias("part"), F.sum(F.col("weight") * F.col("own")).alias("own"), *marks)
+    # The entropy of shares p / m is log m - sum(p log p) / m.
+    m, logs = F.sum("part"), F.sum(F.when(F.col("part") > 0, F.col("part") * F.log("part")).otherwise(0.0))
+    looks = F.when(m > 1.0001, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) - logs / m) / F.log(m)))).otherwise(1.0)
+    nodes = materialize(styles.groupBy("host", "path").agg(m.alias("pages"), looks.alias("presentation"), F.sum("own").alias("own"), *marks), "nodes")
+
+    counts = repeated.join(weights, "tag").groupBy("host", "path", "feature").agg(F.sum("weight").alias("n"))
+    own = 1 - F.log(F.greatest(F.lit(1.0), F.col("n"))) / F.log(F.col("pages") + UNSEEN_PAGES)
+    rated = counts.join(nodes.select("host", "path", "pages", "main", "bound"), ["host", "path"]).withColumn("importance", own)
+    rated = materialize(rated, "contents")
+
+    share = F.when(F.col("main"), F.col("importance")).otherwise(1 / F.greatest(F.lit(1.0), F.col("n")))
+    lost = rated.groupBy("host", "path").agg(F.sum(F.col("n") * (1 - share)).alias("lost"))
+    below = nodes.join(lost, ["host", "path"], "left").withColumn("lost", F.coalesce("lost", F.lit(0.0)))
+    below = below.select("host", F.explode("up").alias("path"), "presentation", "own", "lost", F.when(F.col("own") > 0, 1 - F.col("lost") / F.col("own")).alias("alone"))
+    composite = PRESENTATION * F.avg("presentation") + (1 - PRESENTATION) * (1 - F.sum("lost") / F.sum("own"))
+    branches = below.groupBy("host", "path").agg(F.when(F.sum("own") > 0, F.greatest(composite, F.max("alone"))).otherwise(1.0).alias("importance"))
+    branches = branches.join(nodes.select("host", "path", "bound"), ["host", "path"])
+    return rated.select("host", "path", "feature", "bound", "importance"), branches
+
+
+def main_text(html: str, low: set[tuple[int, int]], branches: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> str:
+    """The page's main text without the contents (path, feature) in `low` and the branches at the paths in `branches`;
+    without `lists`, what these leave is all that goes."""
+    found = [(e, t) for e, t in blocks(html) if not (lists and e.noise)]
+    if lists and any(e.main for e, _ in found):
         found = [(e, t) for e, t in found if e.main]
-    return "\n".join(t for e, t in found if (e.main and e.prose and not e.doubtful) or (e.path, text_key(t)) not in low)
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    featured = materialize(features(pages).withColumn("host", F.coalesce("host", F.lit(""))), "features")
-    low = importance(featured).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path", "feature")
-    held = featured.select("page_id", "url", "host", F.explode("contents").alias("x")).select("page_id", "url", "host", "x.path", "x.feature")
-    gone = held.join(low, ["host", "path", "feature"], "left_semi").groupBy("page_id", "url").agg(F.collect_set(F.struct("path", "feature")).alias("low"))
+    return "\n".join(t for e, t in found if (e.path, text_key(t)) not in low and not any(x.path in branches for x in e.line()))
+
+
+def extract(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); without `lists`, by the tree alone."""
+    featured = materialize(features(pages), "features")
+    contents, branches = importance(featured)
+    low = contents.where((F.col("importance") < LEAST_CONTENT) & ~F.col("bound")).select("host", "path", "feature")
+    high = branches.where((F.col("importance") < LEAST_BRANCH) & ~F.col("bound")).select("host", "path")
+    held = featured.select("tag", "host", F.explode("contents").alias("x")).select("tag", "host", "x.path", "x.feature")
+    within = featured.select("tag", "host", F.explode("nodes.path").alias("path"))
+    gone = held.join(low, ["host", "path", "feature"], "left_semi").select("tag", "path", "feature")
+    gone = gone.union(within.join(high, ["host", "path"], "left_semi").select("tag", "path", F.lit(None).cast("long")))
+    gone = gone.groupBy("tag").agg(F.collect_set(F.struct("path", "feature")).alias("low"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", {(x["path"], x["feature"]) for x in low or []}) for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                marks = low or []
+                texts.append(main_text(html or "", {(x["path"], x["feature"]) for x in marks}, {x["path"] for x in marks if x["feature"] is None}, lists))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     # Written first, so that its size is known: Spark then shuffles the pages only if it is too large to broadcast.
-    g = materialize(gone.withColumnsRenamed({"page_id": "_page", "url": "_url"}), "low")
-    wide = pages.select("page_id", "url", "html").join(g, F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")), "left")
-    return wide.select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    gone = materialize(gone, "low")
+    return tagged(pages).join(gone, "tag", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -29,5 +29,24 @@ def test_names_that_still_go():
 
 def test_importance_decides_doubtful_names():
     page = '<article><p>text</p><section class="related"><p>more</p></section></article>'
-    found = {(e.path, html_style_tree.text_key(t)) for e, t in html_style_tree.blocks(page)}
-    assert html_style_tree.main_text(page, set()) == "text\nmore" and html_style_tree.main_text(page, found) == "text"
+    found = [e for e, t in html_style_tree.blocks(page) if t == "more"]
+    assert html_style_tree.main_text(page, set()) == "text\nmore"
+    assert html_style_tree.main_text(page, {(found[0].path, html_style_tree.text_key("more"))}) == "text"
+    assert html_style_tree.main_text(page, set(), {found[0].parent.path}) == "text"
+
+
+ODD = [
+    ("<article><p title=it's>One two</p><p>it's three</p></article>", "One two\nit's three"),
+    ("<article><p it's>One</p><p data-id=\"sidebar\" title='class=\"ad\"'>two</p></article>", "One\ntwo"),
+    ('<article><p title="a > b" class = kept>One</p><p x=a"b>two</p></article>', "One\ntwo"),
+    ('<article><div class="related-work">One</div><p class="share-price">two</p><section id="discussion"><p>three</p></section></article>', "One\ntwo\nthree"),
+    ("<article><p>one <template><b>x</b></template>run <select><option>no</select>of <button>no</button>text</p></article>", "one run of text"),
+    ("<article><p>&am<b></b>p; &amp;lt; &#x41;&nbsp;b</p></article>", "&amp; &lt; A b"),
+    ("<article><p>" + "very long " * 200_000 + "</p></article>", "very long " * 199_999 + "very long"),
+    ("<p " * 3000 + "<article><p>end</p></article>", "end"),
+]
+
+
+@pytest.mark.parametrize("html, text", ODD, ids=range(len(ODD)))
+def test_markup_by_the_rules(html, text):
+    assert html_style_tree.main_text(html, set()) == text
