@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import cover_tree, registry
@@ -38,15 +41,79 @@ def test_op1_edges(spark, monkeypatch):
     assert got(cover_tree.top_k(df.where("vec_id < 3"), F.lit(True))) == brute(rows[:3], dict(rows[:3]))
 
 
+def exact(data, queries, k=5):
+    products = [[sum(a * b for a, b in zip(q, d)) for d in data.tolist()] for q in queries.tolist()]
+    return [sorted((-p, i) for i, p in enumerate(line))[:k] for line in products]
+
+
+def clustered(rng, n, dims=16, centres=20):
+    middle = rng.normal(0, 300, (centres, dims))
+    return np.rint(middle[rng.integers(0, centres, n)] + rng.normal(0, 5, (n, dims))).astype(np.int64)
+
+
 def test_tree_prunes_and_is_exact():
     rng = np.random.default_rng(6)
-    centres = rng.normal(0, 300, (20, 16))
-    data = np.rint(centres[rng.integers(0, 20, 3000)] + rng.normal(0, 5, (3000, 16)))
-    queries = np.rint(centres[rng.integers(0, 20, 100)] + rng.normal(0, 5, (100, 16)))
-    tree = cover_tree.build(data, np.arange(3000), 0)
-    assert len(tree.children) > 4
-    scores, rows = cover_tree.search(data, np.arange(3000), queries, np.full(100, -1), np.full(100, cover_tree.LOWEST), 5, tree)
-    exact = queries @ data.T
-    for q in range(100):
-        want = sorted((-exact[q, i], i) for i in range(3000))[:5]
-        assert [(-s, i) for s, i in zip(scores[q], rows[q])] == want
+    data, queries = np.split(clustered(rng, 3100), [3000])
+    scores, rows, seen = cover_tree.search(data, np.arange(3000), queries, np.full(100, -1), np.full(100, cover_tree.LOWEST), 5)
+    assert [[(-s, i) for s, i in zip(*line)] for line in zip(scores.tolist(), rows.tolist())] == exact(data, queries)
+    assert seen.total == 300_000 and seen.scored < 0.25 * seen.total and seen.bounds < 0.25 * seen.total
+    again = cover_tree.search(data, np.arange(3000), queries, np.full(100, -1), scores[:, -1], 5)
+    assert (again[0] == scores).all() and (again[1] == rows).all() and again[2].scored + again[2].bounds < 0.15 * seen.total
+
+
+def test_pruning_on_embeddings(spark):
+    """The given vectors have no clusters, yet under half of all pairs are scored; their single rows bound themselves."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(cover_tree.usable("embedding")).orderBy("vec_id").collect()
+    data, ids = np.array([np.floor(256 * np.array(r.embedding, float)) for r in rows]).astype(np.int64), np.array([r.vec_id for r in rows])
+    asks = ids % 50 == 0
+    scores, found, seen = cover_tree.search(data, ids, data[asks], ids[asks], np.full(asks.sum(), cover_tree.LOWEST), 5)
+    assert seen.total == len(data) * asks.sum() and seen.scored < 0.5 * seen.total
+    want = exact(data, data[asks], 6)
+    for line, got, i in zip(want, found.tolist(), np.flatnonzero(asks).tolist()):
+        assert [r for _, r in line if r != i][:5] == got
+
+
+@pytest.mark.parametrize("points", [clustered(np.random.default_rng(1), 700), np.random.default_rng(2).integers(-300, 300, (700, 64)), np.zeros((40, 3), int), np.arange(90).reshape(-1, 1) ** 3])
+def test_levels_separate_and_cover(points):
+    """Centres of a level's children are farther apart than the next level's radius, which covers what is below them."""
+    tree = cover_tree.build(points.astype(float))
+    assert sorted(tree.order.tolist()) == list(range(len(points)))
+    below = {}
+    for x in reversed(range(len(tree.centre))):
+        held = tree.order[tree.low[x] : tree.high[x]].tolist() + [r for c in range(tree.first[x], tree.last[x]) for r in below[c]]
+        below[x] = held
+        far = np.sqrt(((points[held] - points[tree.centre[x]]) ** 2).sum(1))
+        assert np.isclose(far.max(), tree.radius[x]) and tree.radius[x] <= cover_tree.BASE ** float(max(tree.level[x], -1000)) * 1.0001 + (tree.radius[x] == 0)
+        children = range(tree.first[x], tree.last[x])
+        for i in children:
+            assert tree.radius[i] <= cover_tree.BASE ** float(tree.level[x] - 1) * 1.0001
+            for j in children:
+                assert i == j or np.sqrt(((points[tree.centre[i]] - points[tree.centre[j]]) ** 2).sum()) > cover_tree.BASE ** float(tree.level[x] - 1) * 0.9999
+        assert len(children) or len(held) <= cover_tree.LEAF or tree.radius[x] == 0
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 19, 1 << 30, (1 << 62) - 1])
+def test_scores_are_exact_at_any_size(scale):
+    rng = np.random.default_rng(9)
+    data, queries = rng.integers(-scale, scale + 1, (60, 3)), rng.integers(-scale, scale + 1, (7, 3))
+    scores, rows, _ = cover_tree.search(data, np.arange(60), queries, np.full(7, -1), np.full(7, cover_tree.LOWEST), 5)
+    want = [sorted((max(min(s, 2**63), -(2**63 - 1)), i) for s, i in line)[:5] for line in exact(data, queries, 60)]
+    assert [[(-s, i) for s, i in zip(*line)] for line in zip(scores.tolist(), rows.tolist())] == want
+
+
+def test_start_and_own_id_are_held_back():
+    data = np.array([[3], [3], [2], [1], [-4]])
+    scores, rows, _ = cover_tree.search(data, np.array([5, 6, 7, 8, 9]), np.array([[1], [1]]), np.array([5, 0]), np.array([2, cover_tree.LOWEST]), 3)
+    assert rows.tolist() == [[1, 2, -1], [0, 1, 2]] and scores[0, :2].tolist() == [3, 2]
+
+
+def test_groups_of_queries_and_huge_components(spark, monkeypatch):
+    for name, value in {"ROWS_PER_PIVOT": 60, "BLOCK_ROWS": 40, "GROUP_QUERIES": 7, "QUERY_BATCH": 5}.items():
+        monkeypatch.setattr(cover_tree, name, value)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(0, 1e9 if i % 3 else 1, 6).tolist()) for i in range(250)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {q: sorted((-held(sum(a * b for a, b in zip(v, w))), i) for i, w in whole if i != q)[:5] for q, v in whole if q % 5 == 0}
+    assert got(cover_tree.top_k(df, F.col("vec_id") % 5 == 0)) == {q: [(r, i, -s) for r, (s, i) in enumerate(line, 1)] for q, line in want.items()}
