@@ -1,12 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule rejects documents whose ratio is above a cutoff. Per stratum (language) and rule, the labelled holdout gives
-how many good documents a cutoff would reject; a cutoff is admissible if the exact binomial test, Bonferroni-corrected
-over all strata, rules and cutoffs, shows that it rejects at most `rule_risk` of the good ones. Of the admissible cutoffs
-the one with the best labelled benefit holds; a stratum with too few labels gets none, and only its base rule counts.
-
-Null and empty texts have no words and fail the base rule. Repeated rows are judged alike. Null languages are a stratum of
-their own. An empty table or one without labels gives the base verdicts. Other columns pass through untouched.
+Each rule rejects documents whose ratio is above a cutoff. Per stratum (language) the rules are tightened along one path of
+(rule, cutoff) steps, from nothing rejected to the strictest. The path is laid out by documents that no label calls good:
+the next step is the one that adds most labelled bad documents for each document it adds. The labelled good documents, each
+id once, then test the path in its order: the exact binomial test must show that all rules together reject at most `risk` of
+the good ones, and the first step that fails ends it (fixed-sequence testing needs no correction within a stratum). Strata
+share `error_rate` by Bonferroni. So with a probability of 1 - error_rate no stratum loses more than `risk` of its good
+documents to the cutoffs. Among the steps that pass, the one with the best labelled benefit holds; a stratum with too few
+good labels to show anything (some 220) gets no cutoff, and only its base rule counts.
+
+Null and empty texts have no words and fail the base rule; very long texts are measured whole. A ratio at a cutoff passes,
+so do ratios of nothing (0). Repeated rows are judged alike; of a labelled id's rows the least counts, of its labels the
+worst. A null language is a stratum of its own, apart from `und`. An empty table or one without labels gives the base
+verdicts. judge reads doc_id, text and the stratum only, and keep passes whole rows through, so other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ RULES = {
     "repeated_words": ("n_repeat_words", "n_words", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25]),
     "long_words": ("word_chars", "n_words", [7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0]),
 }
-RULE_RISK, ERROR_RATE, COST_OF_GOOD = 0.02, 0.05, 20
+#: Greatest share of a stratum's good documents that its cutoffs may reject, and the probability of any error.
+RISK, ERROR_RATE, COST_OF_GOOD = 0.02, 0.05, 20
 
 
 def _n_repeated(words: str) -> list[tuple[str, Column]]:
@@ -45,7 +53,8 @@ def _n_repeated(words: str) -> list[tuple[str, Column]]:
 def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words, base_failed.
 
-    Windows of words are compared by 64-bit hashes within one document.
+    Windows of words are compared by 64-bit hashes within one document. Write the result before filtering by it: a filter is
+    pushed below the steps and would have them worked out anew.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     lines = F.expr(r"filter(split(_text, '\n'), x -> btrim(x, ' \t\u000b\u000c\r') != '')")
@@ -78,31 +87,84 @@ def _ratio(rule: str) -> Column:
     return F.coalesce(F.try_divide(F.col(above).cast("double"), F.col(below).cast("double")), F.lit(0.0))
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, rule_risk: float = RULE_RISK, error_rate: float = ERROR_RATE) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from `measured` (doc_id, stratum, measures) and `labels` (doc_id, quality)."""
-    marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    counts = [F.sum((F.col("_quality") == q).cast("long")).alias(f"n{q}") for q in (0, 1)]
-    for rule, (_, _, cutoffs) in RULES.items():
-        counts += [F.sum(((F.col("_quality") == q) & (_ratio(rule) > c)).cast("long")).alias(f"{rule}_{k}_{q}") for k, c in enumerate(cutoffs) for q in (0, 1)]
-    tables = measured.where("not base_failed").join(marked, "doc_id").groupBy("stratum").agg(*counts).collect()
-    tests = len(tables) * sum(len(c) for _, _, c in RULES.values())
-    chosen: dict[str, dict[str, float]] = {}
-    for row in tables:
-        for rule, (_, _, cutoffs) in RULES.items():
-            gains = []
-            for k, cutoff in enumerate(cutoffs):
-                good, bad = row[f"{rule}_{k}_1"], row[f"{rule}_{k}_0"]
-                if row["n1"] and bad and binomial_tail(good, row["n1"], rule_risk) <= error_rate / tests:
-                    gains.append((bad / row["n0"] - COST_OF_GOOD * good / row["n1"], cutoff))
-            if gains and max(gains)[0] > 0:
-                chosen.setdefault(row["stratum"], {})[rule] = max(gains)[1]
+def steps(bad: dict[str, list[int]], rest: dict[str, list[int]]) -> list[tuple[str, float]]:
+    """The path of (rule, cutoff): `bad` and `rest` have the documents that each cutoff of a rule rejects, as in RULES.
+
+    The next step has the most bad documents for each of the rest (one more, so that few prove little); ties go to more bad
+    documents and then to the first rule. Cutoffs that add no bad document are passed over.
+    """
+    at, path = {rule: (0, 0, len(of[2])) for rule, of in RULES.items()}, []
+    while True:
+        ahead = []
+        for n, (rule, (b, r, k)) in enumerate(at.items()):
+            more = next((j for j in range(k - 1, -1, -1) if bad[rule][j] > b), None)
+            if more is not None:
+                ahead.append(((bad[rule][more] - b) / (rest[rule][more] - r + 1), bad[rule][more] - b, -n, rule, more))
+        if not ahead:
+            return path
+        *_, rule, k = max(ahead)
+        at[rule] = (bad[rule][k], rest[rule][k], k)
+        path.append((rule, RULES[rule][2][k]))
+
+
+def passed(rejected: list[int], n_good: int, risk: float, level: float) -> int:
+    """Steps of a path that the tests admit; `rejected` has the good documents rejected by each step first."""
+    hits = 0
+    for k, more in enumerate(rejected):
+        hits += more
+        if not n_good or binomial_tail(hits, n_good, risk) > level:
+            return k
+    return len(rejected)
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error_rate: float = ERROR_RATE) -> list[tuple[str | None, dict[str, float]]]:
+    """(stratum, cutoffs by rule), from `measured` (doc_id, stratum, measures) and `labels` (doc_id, quality).
+
+    What reaches the driver is one row for each stratum that has good labels enough, and one for each step of its path.
+    """
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    ratios = F.array(*map(_ratio, RULES)).alias("_ratios")
+    rows = measured.where("not base_failed").select("doc_id", "stratum", ratios).join(marked, "doc_id", "left")
+    once = rows.where("_quality is not null").groupBy("doc_id").agg(F.min(F.struct("_quality", "stratum", "_ratios")).alias("x")).select("x.*")
+    once = materialize(once, "labelled")
+    sizes = once.groupBy("stratum").agg(F.count_if(F.col("_quality") == 1).alias("n_good"), F.count_if(F.col("_quality") == 0).alias("n_bad"))
+    strata = sizes.where(F.col("n_good") >= math.log(error_rate) / math.log1p(-risk)).collect()
+    if not strata:
+        return []
+    known = measured.sparkSession.createDataFrame([(row["stratum"],) for row in strata], "of string")
+    # How many cutoffs each rule's ratio is above; the counts of these lay out the path.
+    levels = F.array(*[F.struct(F.lit(rule).alias("rule"), sum((F.col("_ratios")[n] > c).cast("int") for c in cutoffs).alias("above")) for n, (rule, (_, _, cutoffs)) in enumerate(RULES.items())])
+    others = rows.where("_quality is null or _quality <> 1").join(known, F.col("stratum").eqNullSafe(F.col("of")), "left_semi")
+    counted = others.select("stratum", (F.coalesce("_quality", F.lit(1)) == 0).alias("bad"), F.explode(levels).alias("x")).groupBy("stratum", "bad", "x.rule", "x.above").count().collect()
+    bad, rest = ({row["stratum"]: {rule: [0] * len(of[2]) for rule, of in RULES.items()} for row in strata} for _ in range(2))
+    for r in counted:
+        for table in (bad, rest) if r["bad"] else (rest,):
+            for k in range(r["above"]):  # cutoffs ascend
+                table[r["stratum"]][r["rule"]][k] += r["count"]
+    paths = [steps(bad[row["stratum"]], rest[row["stratum"]]) for row in strata]
+    number = {rule: n for n, rule in enumerate(RULES)}
+    walked = [(row["stratum"], [(k, number[rule], cutoff) for k, (rule, cutoff) in enumerate(path)]) for row, path in zip(strata, paths) if path]
+    if not walked:
+        return []
+    table = measured.sparkSession.createDataFrame(walked, "of string, path array<struct<step: int, rule: int, cutoff: double>>")
+    first = F.expr("array_min(transform(filter(path, p -> _ratios[p.rule] > p.cutoff), p -> p.step))")
+    reached = once.join(table, F.col("stratum").eqNullSafe(F.col("of"))).select("of", "_quality", first.alias("step"))
+    hits = {(r["of"], r["step"], r["_quality"]): r["count"] for r in reached.groupBy("of", "step", "_quality").count().collect()}
+    chosen = []
+    for row, path in zip(strata, paths):
+        count = lambda quality: [hits.get((row["stratum"], k, quality), 0) for k in range(len(path))]  # noqa: E731, B023
+        lost, caught = count(1), count(0)
+        admitted = passed(lost, row["n_good"], risk, error_rate / len(strata))
+        gains = [sum(caught[:k]) / max(1, row["n_bad"]) - COST_OF_GOOD * sum(lost[:k]) / row["n_good"] for k in range(admitted + 1)]
+        best = max(range(admitted + 1), key=lambda k: (gains[k], -k))
+        if best:
+            chosen.append((row["stratum"], dict(path[:best])))
     return chosen
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang") -> DataFrame:
     """Measures of every document with stratum, base_failed, failed_rules and kept: (doc_id, ..., kept)."""
-    stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit("und"))
-    measured = measures(docs.select("doc_id", "text", stratum.alias("stratum"))).drop("text")
+    measured = measures(docs.select("doc_id", "text", F.col(stratum_column).cast("string").alias("stratum"))).drop("text")
     return verdicts(materialize(measured, "measures"), labels)
 
 
@@ -111,30 +173,24 @@ def verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return decided(measured, calibrate(measured, labels))
 
 
-def decided(measured: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
-    fails = []
-    for rule in RULES:
-        limit = F.lit(None).cast("double")
-        for name, of in sorted(cutoffs.items()):
-            if rule in of:
-                limit = F.when(F.col("stratum") == name, F.lit(of[rule])).otherwise(limit)
-        fails.append(F.when(_ratio(rule) > limit, F.lit(rule)))
-    failed = F.array_compact(F.array(*fails))
-    return measured.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+def decided(measured: DataFrame, cutoffs: list[tuple[str | None, dict[str, float]]]) -> DataFrame:
+    """measured with failed_rules and kept, by a small table of cutoffs."""
+    schema = "_of string, " + ", ".join(f"_{rule}_limit double" for rule in RULES)
+    table = measured.sparkSession.createDataFrame([(stratum, *(of.get(rule) for rule in RULES)) for stratum, of in cutoffs], schema)
+    wide = measured.join(table, F.col("stratum").eqNullSafe(F.col("_of")), "left")
+    failed = F.array_compact(F.array(*[F.when(_ratio(rule) > F.col(f"_{rule}_limit"), F.lit(rule)) for rule in RULES]))
+    wide = wide.select(*[F.col(c) for c in measured.columns], failed.alias("failed_rules"))
+    return wide.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang") -> DataFrame:
     """The rows of docs that `judge` keeps, with all their columns.
 
-    Rows are judged where they stand: a second pass over the texts costs less than a shuffle of them.
+    Rows and their measures are written together, once; the verdict then reads no text but that of the kept rows.
     """
-    stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit("und")).alias("stratum")
-    measured = materialize(measures(docs.select("doc_id", "text", stratum)).drop("text"), "measures")
-    rows = docs.select("text", stratum, F.struct("*").alias("_row"))
-    judged = decided(measures(rows), calibrate(measured, labels))
-    # A filter would be pushed below the projections and work their columns out again for each use; one that also needs
-    # a random column, and so stays above them, does not. Its other half holds for every row.
-    return judged.withColumn("_any", F.rand()).where((F.col("_any") >= 0) & F.col("kept")).select("_row.*")
+    rows = docs.select("doc_id", "text", F.col(stratum_column).cast("string").alias("stratum"), F.struct("*").alias("_row"))
+    measured = materialize(measures(rows).drop("text"), "measured")
+    return decided(measured, calibrate(measured.drop("_row"), labels)).where("kept").select("_row.*")
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import license_scan, quality_rules, registry
+from fieldloom.llm import license_scan, quality_rules, registry, storage
 
 TEXTS = [None, "", "  \n\t", "a b c d e f g h " * 3, "one line here\none line here\n\n \none line here ", "x" * 5000, "# $ | <> ÀÉ b\x0bc\x0cd", "w " * 200, " ".join(f"w{i % 50}" for i in range(120))]
 
@@ -48,6 +48,95 @@ def test_cutoffs_keep_good_and_reject_bad(spark):
     assert all(r.kept for r in rare), "too few labels give no cutoff"
 
 
+def brute_calibration(rows, labels, risk, error_rate):
+    """Cutoffs by plain loops over (doc_id, stratum, ratios) and {doc_id: quality}."""
+    from math import comb, log
+
+    names, out = list(quality_rules.RULES), {}
+    strata = {s for _, s, _ in rows}
+    good = {s: {d for d, t, _ in rows if t == s and labels.get(d) == 1} for s in strata}
+    tested = [s for s in strata if len(good[s]) >= log(error_rate) / log(1 - risk)]
+    for s in tested:
+        bad = [x for d, t, x in rows if t == s and labels.get(d) == 0]
+        rest = [x for d, t, x in rows if t == s and labels.get(d) != 1]
+        limit, path = {r: float("inf") for r in names}, []
+        while True:
+            options = []
+            for n, r in enumerate(names):
+                count = lambda of, c: sum(x[n] > c for x in of)  # noqa: B023, E731
+                for c in sorted((c for c in quality_rules.RULES[r][2] if c < limit[r]), reverse=True):
+                    if count(bad, c) > count(bad, limit[r]):
+                        more = count(bad, c) - count(bad, limit[r])
+                        options.append((more / (count(rest, c) - count(rest, limit[r]) + 1), more, -n, r, c))
+                        break
+            if not options:
+                break
+            *_, r, c = max(options)
+            limit[r] = c
+            path.append((r, c))
+        best, held = (0.0, 0), len(good[s])
+        for k in range(1, len(path) + 1):
+            fails = lambda x: any(x[names.index(r)] > c for r, c in path[:k])  # noqa: B023, E731
+            hits = sum(fails(min(x for d2, t, x in rows if d2 == d)) for d in good[s])
+            if sum(comb(held, h) * risk**h * (1 - risk) ** (held - h) for h in range(hits + 1)) > error_rate / len(tested):
+                break
+            gain = sum(map(fails, bad)) / max(1, len(bad)) - quality_rules.COST_OF_GOOD * hits / held
+            best = max(best, (gain, k), key=lambda g: (g[0], -g[1]))
+        if best[1]:
+            out[s] = dict(path[: best[1]])
+    return out
+
+
+def test_cutoffs_by_brute_force(spark):
+    import random
+
+    rng, docs, labels = random.Random(5), [], []
+    for i in range(2600):
+        stratum, bad = rng.choice(["en", "de", None, "und", "xx"] if i % 9 else ["xx"]), rng.random() < 0.2
+        words = [f"{'word' if not bad or rng.random() < 0.6 else 'W%%'}{rng.randrange(400)}" for _ in range(30)]
+        if rng.random() < (0.3 if bad else 0.002):
+            words = words[:24] + ["#"] * rng.randrange(60)
+        docs.append((i, " ".join(words) + ("\nline\nline" if rng.random() < (0.3 if bad else 0.002) else ""), stratum))
+        if rng.random() < 0.8 and stratum != "xx":
+            labels.append((i, 0 if bad else 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, stratum string")
+    measured = storage.materialize(quality_rules.measures(frame).drop("text"), "measured")
+    rows = [(r.doc_id, r.stratum, [r[a] / r[b] if r[b] else 0.0 for a, b, _ in quality_rules.RULES.values()]) for r in measured.where("not base_failed").collect()]
+    got = quality_rules.calibrate(measured, spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = brute_calibration(rows, dict(labels), quality_rules.RISK, quality_rules.ERROR_RATE)
+    assert dict(got) == want and len(want) >= 3 and None in want
+    kept = {r.doc_id: r.kept for r in quality_rules.decided(measured, got).collect()}
+    for d, s, x in rows:
+        assert kept[d] == all(x[n] <= want.get(s, {}).get(rule, float("inf")) for n, rule in enumerate(quality_rules.RULES))
+
+
+def test_false_rejection_is_bounded():
+    """Over many draws of labels the admitted step exceeds the risk no more often than the level."""
+    import numpy as np
+
+    rng, risk, level, wrong = np.random.default_rng(1), 0.02, 0.05, 0
+    shares = np.array([0.0, 0.004, 0.008, 0.0079, 0.0002, 0.004, 0.02, 0.05])
+    for _ in range(3000):
+        draws = rng.multinomial(400, [*shares, 1 - shares.sum()])
+        k = quality_rules.passed(draws[:-1].tolist(), 400, risk, level)
+        wrong += shares[:k].sum() > risk
+    assert wrong / 3000 <= level + 0.01 and quality_rules.passed([0, 0], 149, risk, level) == 2 and quality_rules.passed([0], 148, risk, level) == 0
+
+
+def test_some_200_good_labels_are_enough(spark):
+    good = [(i, " ".join(f"word{(i * 7 + k) % 997}" for k in range(40)), s) for i in range(260 * 4) for s in [("en", "de", "fr", "es")[i % 4]]]
+    bad = [(10_000 + i, " ".join(f"w{(i * 3 + k) % 911}%%%" for k in range(40)), ("en", "de", "fr", "es")[i % 4]) for i in range(40)]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 10_000, 1).otherwise(0).alias("quality"))
+    assert [r.doc_id for r in quality_rules.judge(docs, labels.union(labels)).where("not kept").orderBy("doc_id").collect()] == [10_000 + i for i in range(40)]
+
+
+def test_null_language_is_no_und(spark):
+    docs = spark.createDataFrame([(1, "a " * 30, None), (2, "b " * 30, "und")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.doc_id: r.stratum for r in quality_rules.judge(docs, labels).collect()} == {1: None, 2: "und"}
+
+
 def test_op4_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "x"), (1, "a", "en", "y")], "doc_id long, text string, lang string, n_words string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
