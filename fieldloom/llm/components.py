@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.storage import materialize
+from fieldloom.llm.storage import materialize, remove, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component is called after its least node.
 
     Each round takes the least label among the neighbours and then the label of that label, so that chains shrink
-    by half or more; labels are written to the shared folder after each round.
+    by half or more; labels are written to the shared folder after each round, and those of the round before are removed.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    labels, path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         above = labels.select(F.col("node").alias("component"), F.col("component").alias("top"))
         jumped = least.join(above, "component", "left").select("node", "old", F.least("component", "top").alias("component"))
-        labels = materialize(jumped, "labels")
+        before = path
+        labels, path = written(jumped, "labels")
+        remove(labels.sparkSession, before)
         if labels.where("old <> component").isEmpty():
             return labels.select("node", "component")

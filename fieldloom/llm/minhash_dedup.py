@@ -8,15 +8,19 @@ Banding: groups of BAND_ROWS bins; documents that share a band meet. The thresho
 bands are made that a pair at the threshold t meets in none with probability (1 - t^5)^bands < 1e-6 (24 bands at 85 percent,
 35 at 80).
 
-Verification, in two passes. First every document of a bucket is checked against the bucket's least document, on full
-shingle sets; the links give components. Then only buckets that still hold several components are looked through: in
-blocks of bounded size, pairs of different components whose sketches agree in enough bins (5 standard deviations below the
-link threshold: 176 at 85 percent, 161 at 80) are verified on full sets. No list of all pairs of a bucket is made, and no bucket is cut short.
+Verification, in passes. First every document of a bucket is checked against the bucket's least document, on full shingle
+sets; the links give components. In buckets that still hold several components, a document outside the largest one, chosen
+by a hash so that a few strangers with small ids do not lead again, is then checked against all others. What is left of a bucket are its documents outside the largest
+component, and only these are held against all others: in blocks of bounded size, pairs of different components whose
+sketches agree in enough bins (5 standard deviations below the link threshold: 176 at 85 percent, 161 at 80) are verified on
+full sets. A bucket of n documents with r outside its largest component costs n (r / BLOCK + 1) rows; no list of all pairs of
+a bucket is made, and no bucket is cut short.
 
 Empty and null texts have no shingles and are linked with nothing (component_id is the own id). Equal sets share one node.
 In near_duplicates, rows with a null doc_id have a null component and are not kept; in keep they count as documents of
 their own, which go only if a copy stays. Repeated rows share their component; every one is kept whose id is the
-component's. An empty table gives no rows. Only doc_id and text are read.
+component's. Very long texts are taken whole; a similarity just at the threshold links. An empty table gives no rows. Only
+doc_id and text are read, so other columns may have any names; keep passes them through.
 """
 
 from __future__ import annotations
@@ -39,8 +43,9 @@ WORDS, PERCENT, KEEP_PERCENT = 5, 85, 80
 SIZE, BAND_ROWS, MISSED = 240, 5, 1e-6
 #: Ids from here on stand for rows without one, so that they come behind the others.
 NO_ID = 1 << 62
-#: Text bytes worked on at once, and documents of a bucket that one block has at most.
-CHUNK_BYTES, BLOCK = 1 << 21, 1024
+#: Text bytes worked on at once, documents of a bucket in each side of a block, passes by a leader, and shingles that one
+#: group of documents may have to be verified together.
+CHUNK_BYTES, BLOCK, LEADERS, GROUP_SHINGLES = 1 << 21, 256, 2, 1 << 21
 U64 = np.uint64
 
 
@@ -244,31 +249,38 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def clusters(members: DataFrame, percent: int) -> DataFrame:
     """(cluster, node): nodes of a bucket whose sketches may link them across components, for exact verification.
 
-    `members` has (key, p, q, node, component, n_shingles, sketch): a bucket's block pair and its rows.
+    `members` has (key, p, q, rest, node, component, n_shingles, sketch): a bucket's block and its rows, of which those with
+    `rest` are held against the others.
     """
     least = agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, nodes = [], []
-        for _, _, _, node, component, size, sketch in _groups(batches, 3):
-            if len(node) < 2:
+        for _, _, _, rest, node, component, size, sketch in _groups(batches, 3):
+            rest, node, component, size = np.array(rest), np.array(node), np.array(component), np.array(size)
+            table = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SIZE)
+            others = np.flatnonzero(~rest)
+            if not len(others):
                 continue
-            order = np.argsort(node, kind="stable")
-            node, component, size = np.array(node)[order], np.array(component)[order], np.array(size)[order]
-            table = np.frombuffer(b"".join([sketch[i] for i in order]), np.uint8).reshape(-1, SIZE)
+            sizes, parts, sketches_of = size[others], component[others], table[others]
             left, right = [], []
-            for i in range(len(node) - 1):
-                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(size[i + 1 :], size[i]) * 100 >= np.maximum(size[i + 1 :], size[i]) * percent)) + i + 1
-                if len(rest):
-                    near = rest[(table[rest] == table[i]).sum(axis=1) >= least]
+            for i in np.flatnonzero(rest).tolist():
+                near = np.flatnonzero((parts != component[i]) & (np.minimum(sizes, size[i]) * 100 >= np.maximum(sizes, size[i]) * percent))
+                if len(near):
+                    near = near[(sketches_of[near] == table[i]).sum(axis=1) >= least]
                     left.append(np.full(len(near), i))
-                    right.append(near)
-            a, b = np.concatenate([*left, np.zeros(0, int)]).astype(int), np.concatenate([*right, np.zeros(0, int)]).astype(int)
-            if len(a) <= 2 * len(node):
-                found = [node[[i, j]] for i, j in zip(a.tolist(), b.tolist())]
+                    right.append(others[near])
+            a, b = (node[np.concatenate([*x, np.zeros(0, int)]).astype(int)] for x in (left, right))
+            if not len(a):
+                continue
+            members_of, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+            size_of = dict(zip(node.tolist(), size.tolist()))
+            together = sum(size_of[x] for x in members_of.tolist())
+            if len(a) <= 2 * len(members_of) or together > GROUP_SHINGLES:
+                found = [np.unique([x, y]) for x, y in zip(a.tolist(), b.tolist())]
             else:
-                root = _roots(len(node), a, b)
-                found = [node[root == r] for r, n in zip(*np.unique(root, return_counts=True)) if n > 1]
+                root = _roots(len(members_of), places[: len(a)], places[len(a) :])
+                found = [members_of[root == r] for r in np.unique(root)]
             for group in found:
                 name = int.from_bytes(hashlib.blake2b(group.tobytes(), digest_size=8).digest(), "little", signed=True)
                 names += [name] * len(group)
@@ -279,7 +291,7 @@ def clusters(members: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(nodes, pa.int64())], names=["cluster", "node"])
 
     dealt = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.select("key", "p", "q", "node", "component", "n_shingles", "sketch").mapInArrow(run, "cluster long, node long")
+    return dealt.select("key", "p", "q", "rest", "node", "component", "n_shingles", "sketch").mapInArrow(run, "cluster long, node long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -318,6 +330,34 @@ def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("cluster", "node", "shingles").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def looked_through(within: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between what is outside a bucket's largest component and the rest of the bucket; `within` has
+    (key, node, component, big, n, n_big)."""
+    wide = within.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    blocks, rests = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("n_big")) / BLOCK).cast("int")
+    place = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "node"), of).cast("int")
+    columns = ["key", "p", "q", "rest", "node", "component", "n_shingles", "sketch"]
+    every = wide.withColumns({"rest": F.lit(False), "p": place("p", blocks), "q": F.explode(F.sequence(F.lit(0), rests - 1))})
+    outside = wide.where("component <> big").withColumns({"rest": F.lit(True), "q": place("q", rests), "p": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    found = materialize(clusters(every.select(columns).union(outside.select(columns)), percent).distinct(), "clusters")
+    sets = materialize(full_sets(docs, found.select("node").distinct()), "sets")
+    return cluster_links(found.join(sets, "node"), percent)
+
+
+def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of `whole` with more links (a, b) between nodes."""
+
+    def lifted(edges: DataFrame, column: str) -> DataFrame:
+        named = edges.join(whole.toDF(column, "of"), column, "left")
+        return named.withColumn(column, F.coalesce("of", column)).drop("of")
+
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return whole
+    above = components(lifted(lifted(links, "a"), "b")).toDF("component", "top")
+    return whole.join(above, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("top", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     return classes(docs, percent).drop("tag")
@@ -346,29 +386,28 @@ def classes(docs: DataFrame, percent: int) -> DataFrame:
     buckets = materialize(bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     shared = materialize(bands.join(buckets, "key"), "buckets")
 
-    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(alike(stars, nodes, percent), "stars")
-    sets = materialize(full_sets(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()), "sets")
-    first = components(verified(stars, sets, percent))
-
-    held = shared.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    several = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    several = materialize(several, "several")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = held.join(several, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    found = clusters(dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")), percent)
-    found = materialize(found.distinct(), "clusters")
-    sets = materialize(full_sets(docs, found.select("node").distinct()), "sets")
-    more = cluster_links(found.join(sets, "node"), percent)
-
-    def lifted(edges: DataFrame, column: str) -> DataFrame:
-        named = edges.join(first.toDF(column, "of"), column, "left")
-        return named.withColumn(column, F.coalesce("of", column)).drop("of")
-
-    second = components(lifted(lifted(more, "a"), "b")).toDF("component", "top")
-    whole = first.join(second, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("top", "component").alias("component"))
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        close = materialize(alike(pairs.distinct(), nodes, percent), "stars")
+        sets = full_sets(docs, close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
+        return verified(close, materialize(sets, "sets"), percent)
+
+    whole = components(linked_by(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
+    for turn in range(LEADERS):
+        held = shared.select("key", "node").join(whole, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        held = materialize(held, "held")
+        parts = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("low"))
+        split = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("big"), F.sum("n").alias("n"), F.max("n").alias("n_big"), F.count("*").alias("parts"))
+        split = materialize(split.where("parts > 1"), "split")
+        if split.isEmpty():
+            break
+        within = materialize(held.join(split, "key"), "within")
+        if turn < LEADERS - 1:
+            leads = within.where("component <> big").groupBy("key").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node"), "node")).alias("lead"))
+            pairs = within.join(materialize(leads, "leads"), "key").where(F.col("component") != F.col("lead.component"))
+            found = linked_by(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+        else:
+            found = looked_through(within, docs, nodes, percent)
+        whole = merged(whole, found)
     classes = prints.join(whole, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "tag", "n_shingles", "print").join(classes, "print", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -8,7 +8,7 @@ from fieldloom.llm import minhash_dedup, registry
 from fieldloom.llm.components import components
 
 
-def brute(texts):
+def brute(texts, percent=85):
     sets = {}
     for doc, text in texts.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
@@ -31,7 +31,7 @@ def brute(texts):
                 if other < doc:
                     seen[other] = seen.get(other, 0) + 1
         for other, n in seen.items():
-            if 100 * n >= 85 * (len(items) + len(sets[other]) - n):
+            if 100 * n >= percent * (len(items) + len(sets[other]) - n):
                 a, b = sorted((find(doc), find(other)))
                 root[b] = a
     return {d: (len(sets[d]), find(d)) for d in sets}
@@ -83,3 +83,37 @@ def test_sketch_estimates_similarity():
     assert abs((a == b).mean() - 0.8) < 0.1
     one = minhash_dedup.sketches([np.array([7], np.uint64), np.array([7], np.uint64)])
     assert (one[0] == one[1]).all()
+
+
+def test_strangers_among_near_copies_stay_linear(spark, monkeypatch):
+    """A bucket of near copies with a few strangers in it is looked through in far fewer rows than its square."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    rows = []
+    inner = minhash_dedup.clusters
+    monkeypatch.setattr(minhash_dedup, "clusters", lambda members, percent: rows.append(members.count()) or inner(members, percent))
+    rng, texts = random.Random(7), {}
+    base = [f"w{i}" for i in range(200)]
+    for i in range(3, 900):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        texts[i] = " ".join(words)
+    for i in range(3):  # halves of the text share bands with the copies, and are linked with none
+        texts[i] = " ".join(base[:150] + [f"y{i}{k}" for k in range(60)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(minhash_dedup.near_duplicates(docs).collect(), texts)
+    assert sum(rows) < 24 * 900 * 4
+
+
+def test_large_groups_are_verified_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "GROUP_SHINGLES", 100)
+    monkeypatch.setattr(minhash_dedup, "LEADERS", 1)
+    rng = random.Random(9)
+    texts = {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(25):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(60)] = f"z{rng.randrange(9)}"
+            texts[g * 100 + k] = " ".join(words)
+    check(minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)

@@ -19,7 +19,7 @@ def test_stages_against_their_operators(spark, sf_dir):
     want = {r.doc_id for r in quality_gam.classify(good, labels).where("predicted = 1").collect()}
     assert better.columns == columns and sorted(r.doc_id for r in better.collect()) == sorted(want)
     texts = {r.doc_id: r.text for r in better.collect()}
-    want = sorted(d for d, (_, component) in brute(texts).items() if d == component)
+    want = sorted(d for d, (_, component) in brute(texts, 80).items() if d == component)
     single = storage.materialize(stages["near duplicates"](spark, better, sf_dir), "single")
     assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == want
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
