@@ -1,150 +1,106 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A text's words (ASCII letters and digits and all other signs beyond ASCII, lower-cased) are matched by signature rules: a
-keyword gates a rule, its regular expression finds word spans, and a span inside another span of the same or a higher
-priority is suppressed. All rules run inside the row, so nothing is shuffled and every document has one result.
-
-Null and empty texts have no words; repeated rows are scanned alike; an empty table gives no rows.
+A text's words (ASCII letters and digits and all other signs beyond ASCII, lower-cased) are matched by hand-written signature
+rules (license_rules). Keywords gate a text before any rule runs, and the rules of a priority once more. The rules of one
+priority are one pattern whose alternatives stand in their order, so their detections don't overlap; a detection inside
+another of the same or a higher priority is suppressed. Each word of a gated text carries its place, so a match gives its
+span at once, and no rule matches more than MOST_WORDS words, so only the spans before a span can hold it: time grows with
+the text, however many matches it has. All rules run inside the row: nothing is shuffled and every document has one result.
+
+Null and empty texts have no words; very long texts are scanned whole; of equal spans the first label in the alphabet stays;
+repeated rows are scanned alike; an empty table gives no rows; only doc_id and text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.license_rules import MOST_WORDS, SIGNS, rules
+
 #: What stands between words, and the base phrases with their labels.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Names of licenses in words, with the keyword that gates them, their label and known versions.
-NAMES = [
-    ("gnu", r"gnu general public licen[cs]e", "gpl", ["1", "2", "3"]),
-    ("gpl", r"(?:gnu )?gpl", "gpl", ["1", "2", "3"]),
-    ("lesser", r"(?:gnu )?lesser general public licen[cs]e", "lgpl", ["2", "2 1", "3"]),
-    ("lgpl", r"(?:gnu )?lgpl", "lgpl", ["2", "2 1", "3"]),
-    ("affero", r"(?:gnu )?affero general public licen[cs]e", "agpl", ["1", "3"]),
-    ("agpl", r"(?:gnu )?agpl", "agpl", ["1", "3"]),
-    ("documentation", r"(?:gnu )?free documentation licen[cs]e", "gfdl", ["1 1", "1 2", "1 3"]),
-    ("apache", r"apache(?: software)? licen[cs]e", "apache", ["1", "1 1", "2"]),
-    ("mit", r"mit(?: x11)? licen[cs]e", "mit", []),
-    ("expat", r"expat licen[cs]e", "mit", []),
-    ("bsd", r"(?:simplified |modified |new |revised )?(?:[234] clause )?bsd(?: [234] clause)? licen[cs]e", "bsd", []),
-    ("isc", r"isc licen[cs]e", "isc", []),
-    ("mozilla", r"mozilla public licen[cs]e", "mpl", ["1", "1 1", "2"]),
-    ("mpl", r"mpl", "mpl", ["1", "1 1", "2"]),
-    ("eclipse", r"eclipse public licen[cs]e", "epl", ["1", "2"]),
-    ("common", r"common development and distribution licen[cs]e", "cddl", ["1", "1 1"]),
-    ("boost", r"boost software licen[cs]e", "bsl", ["1"]),
-    ("artistic", r"artistic licen[cs]e", "artistic", ["1", "2"]),
-    ("zlib", r"zlib(?: libpng)? licen[cs]e", "zlib", []),
-    ("unlicense", r"unlicense", "unlicense", []),
-    ("academic", r"academic free licen[cs]e", "afl", ["2 1", "3"]),
-    ("open", r"open software licen[cs]e", "osl", ["2 1", "3"]),
-    ("european", r"european union public licen[cs]e", "eupl", ["1 1", "1 2"]),
-    ("python", r"python software foundation licen[cs]e", "psf", ["2"]),
-    ("cc0", r"cc0", "cc0", ["1"]),
-    ("zero", r"creative commons zero", "cc0", ["1"]),
-    ("wtfpl", r"wtfpl", "wtfpl", ["2"]),
-    ("sil", r"sil open font licen[cs]e", "ofl", ["1 1"]),
-    ("microsoft", r"microsoft (?:public|reciprocal) licen[cs]e", "ms-pl", []),
-    ("database", r"open database licen[cs]e", "odbl", ["1"]),
-]
-#: Creative Commons conditions in words and in labels.
-CONDITIONS = [("by", "by"), ("by sa", "by-sa"), ("by nc", "by-nc"), ("by nd", "by-nd"), ("by nc sa", "by-nc-sa"), ("by nc nd", "by-nc-nd")]
-CC_VERSIONS = ["1", "2", "2 5", "3", "4"]
-#: Wordings around a name, with their priority.
-WORDINGS = [
-    (2, "{name}"),
-    (3, r"(?:licensed|released|distributed|published|available|provided)(?: \S+){0,2}? under(?: the)?(?: terms of(?: the)?)? {name}"),
-    (4, r"spdx license identifier {name}"),
-]
-OTHERS = [
-    ("reserved", r"all rights reserved", "proprietary", 1),
-    ("domain", r"(?:in|into|to) the public domain", "public-domain", 2),
-    ("domain", r"public domain dedication", "public-domain", 2),
-    ("permission", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 4),
-    ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 4),
-    ("permission", r"permission to use copy modify and or distribute this software for any purpose", "isc", 4),
-    ("redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "gpl", 4),
-    ("copyleft", r"copyleft", "copyleft", 1),
-    ("proprietary", r"proprietary and confidential", "proprietary", 3),
-]
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, regular expression over words, label, priority 1 to 4), hundreds of them, in a fixed order."""
-    named = [(k, n, label, v) for k, n, label, versions in NAMES for v in [None, *versions]]
-    for words, label in CONDITIONS:
-        named += [("cc", f"cc {words}", f"cc-{label}", v) for v in [None, *CC_VERSIONS]]
-        long = " ".join({"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?derivatives"}[w] for w in words.split())
-        named += [("creative", f"creative commons {long}", f"cc-{label}", v) for v in [None, *CC_VERSIONS]]
-    out = []
-    for keyword, name, label, version in named:
-        if version is not None:
-            number = version if " " in version else f"{version}(?: 0)?"
-            name = rf"{name}(?: licen[cs]e)?(?: v(?:ersion)?)? v?{number}(?! \d)"
-            label += "-" + (version.replace(" ", ".") if " " in version else f"{version}.0")
-        out += [(keyword, rf"(?<= ){wording.format(name=name) if priority == 2 else wording.replace('{name}', name)}(?= )", label, priority) for priority, wording in WORDINGS]
-    return out + [(k, f"(?<= ){r}(?= )", label, p) for k, r, label, p in OTHERS]
-
-
-#: Every rule's match has one of these in it, besides the short forms of Creative Commons.
-SIGNS = ["licen", "gpl", "mpl", "creative", "wtfpl", "reserved", "domain", "permission", "redistribut", "copyleft", "proprietary"]
-
 
 def _lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _words_in(text: str) -> str:
-    """The number of words in a run of words that are held apart and surrounded by single spaces."""
+    """The number of words in a run of words that are held apart by single spaces."""
     return f"size(array_remove(split({text}, ' '), ''))"
 
 
+def placed(pattern: str) -> str:
+    """A rule's pattern for words that carry their place: `word#7 next#8`."""
+    return pattern.replace(r"\S+", "[^ #]+").replace(" ", r"#\d+ ")
+
+
+def signature(priority: int) -> str:
+    """One pattern for all rules of a priority, in their order."""
+    return rf"(?<= )(?:{'|'.join(placed(rule) for _, rule in rules()[priority])})#\d+(?= )"
+
+
+def label_of(words: Column, priority: int) -> Column:
+    """The label of the first rule of a priority that matches words without their places."""
+    first, *rest = rules()[priority]
+    out = F.when(words.rlike(f"^(?:{first[1]})$"), first[0])
+    for label, rule in rest:
+        out = out.when(words.rlike(f"^(?:{rule})$"), label)
+    return out
+
+
+def gated(lower: Column) -> Column:
+    """Whether a text in lower case may have a detection."""
+    return reduce(Column.__or__, [F.contains(lower, F.lit(sign)) for sign in SIGNS], lower.rlike("cc0|cc" + BETWEEN + "by"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every row.
 
     `spans` has the detections that stay: start and end in words, label, priority. `score` is 0 without labels, else the
     highest priority among the detections over 4, and at least 0.5 for base phrases.
     """
-    table = rules()
-    lower = F.lower("text")
-    gate = lower.rlike("cc0|cc" + BETWEEN + "by")
-    for sign in SIGNS:
-        gate = gate | F.contains(lower, F.lit(sign))
-    literal = F.array(*[F.struct(F.lit(f" {k} ").alias("k"), F.lit(r).alias("r"), F.lit(label).alias("label"), F.lit(p).alias("p")) for k, r, label, p in table])
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN), "")
     out = docs.select("doc_id", "text").withColumn("_words", words)
     out = out.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
-        F.when(gate, F.concat(F.lit(" "), _lower(F.array_join("_words", " ")), F.lit(" "))).alias("_run"),
+        F.when(gated(F.lower("text")), F.concat(F.lit(" "), _lower(F.array_join("_words", " ")), F.lit(" "))).alias("_run"),
     )
     phrases = "|".join(BASE)
-    out = out.withColumn("_cut", F.split("_run", rf"(?<= )(?=(?:{phrases}) )")).withColumn("_rules", F.when(F.col("_run").isNotNull(), literal))
+    out = out.withColumn("_cut", F.split("_run", rf"(?<= )(?=(?:{phrases}) )"))
+    out = out.withColumn("_placed", F.expr("concat(' ', array_join(transform(split(trim(_run), ' '), (w, i) -> concat(w, '#', i)), ' '), ' ')"))
     base = [F.when(F.contains("_run", F.lit(f" {phrase} ")), F.lit(label)) for phrase, label in BASE.items()]
     out = out.withColumns(
         {
             "n_base": F.when(F.col("_run").isNull(), 0).otherwise(F.size("_cut") - 1).cast("long"),
             "_base": F.array_sort(F.array_compact(F.array(*base))),
-            "_active": F.expr("filter(_rules, r -> contains(_run, r.k) and _run rlike r.r)"),
+            **{f"_hits{p}": F.regexp_extract_all("_placed", F.lit(signature(p)), F.lit(0)) for p in rules()},
         }
-    ).withColumns(
+    )
+
+    def span(priority: int):
+        def of(hit: Column) -> Column:
+            start, end = F.regexp_extract(hit, r"#(\d+)", 1).cast("long"), F.regexp_extract(hit, r"#(\d+)$", 1).cast("long") + 1
+            return F.struct(start.alias("start"), (-end).alias("minus_end"), F.lit(-priority).alias("minus_p"), label_of(F.regexp_replace(hit, r"#\d+", ""), priority).alias("label"))
+
+        return F.transform(f"_hits{priority}", of)
+
+    spans = F.array_sort(F.concat(*[F.coalesce(span(p), F.array().cast("array<struct<start: bigint, minus_end: bigint, minus_p: int, label: string>>")) for p in rules()]))
+    reach = MOST_WORDS * len(rules())  # no more spans than these start within the longest one
+    inside = f"exists(slice(_spans, greatest(1, i + 1 - {reach}), least(i, {reach})), y -> y.minus_end <= x.minus_end and y.minus_p <= x.minus_p)"
+    out = out.withColumns(
         {
             "first_word": F.when(F.col("n_base") > 0, F.expr(_words_in("_cut[0]"))).cast("long"),
             "last_word": F.when(F.col("n_base") > 0, F.col("n_words") - F.expr(_words_in("element_at(_cut, -1)"))).cast("long"),
-            "_found": F.expr("transform(_active, r -> struct(r.label as label, r.p as p, split(_run, r.r, -1) as gaps, regexp_extract_all(_run, r.r, 0) as hits))"),
+            "_spans": spans,
         }
-    )
-    empty = "cast(array() as array<struct<start: bigint, minus_end: bigint, minus_p: int, label: string>>)"
-    start, end = f"s.at + {_words_in('f.gaps[j]')}", f"s.at + {_words_in('f.gaps[j]')} + {_words_in('f.hits[j]')}"
-    span = f"struct(cast({start} as bigint) as start, -cast({end} as bigint) as minus_end, -f.p as minus_p, f.label as label)"
-    step = f"struct({end} as at, array_append(s.spans, {span}) as spans)"
-    spans = f"flatten(transform(_found, f -> aggregate(sequence(0, size(f.hits) - 1), struct(0 as at, {empty} as spans), (s, j) -> {step}, s -> s.spans)))"
-    keep = "case x.minus_p when -1 then s.e1 when -2 then s.e2 when -3 then s.e3 else s.e4 end < -x.minus_end"
-    reach = ", ".join(f"if(-x.minus_p >= {p}, greatest(s.e{p}, -x.minus_end), s.e{p}) as e{p}" for p in range(1, 5))
-    sweep = f"aggregate(_spans, struct(0L as e1, 0L as e2, 0L as e3, 0L as e4, {empty} as kept), (s, x) -> struct({reach}, if({keep}, array_append(s.kept, x), s.kept) as kept), s -> s.kept)"
-    out = out.withColumn("_spans", F.coalesce(F.array_sort(F.expr(spans)), F.expr(empty))).withColumn("_kept", F.expr(sweep))
+    ).withColumn("_kept", F.expr(f"filter(_spans, (x, i) -> not {inside})"))
     labels = F.array_sort(F.array_union("_base", F.expr("transform(_kept, x -> x.label)")))
     score = F.greatest(F.expr("coalesce(array_max(transform(_kept, x -> -x.minus_p)), 0) / 4D"), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0))
     return out.select(
