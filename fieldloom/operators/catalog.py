@@ -43,8 +43,8 @@ def finalize_unmapped(observed: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def column_stats(columns: DataFrame, stats: DataFrame) -> DataFrame:
-    """columns (entity, column) with the statistics of `column`, else of `entity.column`."""
-    of = stats.select("path", "appearances")
+    """columns (entity, column) with the statistics of `column`, else of `entity.column`, whether or not that is a list's."""
+    of = stats.select(F.replace("path", F.lit("[]"), F.lit("")).alias("path"), "appearances").groupBy("path").agg(F.max("appearances").alias("appearances"))
     dotted = F.concat_ws(".", "entity", "column")
     own, full = of.toDF("_own", "_own_n"), of.toDF("_full", "_full_n")
     joined = columns.join(own, F.col("column") == F.col("_own"), "left").join(full, dotted == F.col("_full"), "left")

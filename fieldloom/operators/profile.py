@@ -9,8 +9,16 @@ SAMPLES, SAMPLE_LENGTH = 8, 120
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
-    """(path, type, n, first_seen, last_seen) from nodes (path, type, seq); mergeable by sum, min and max."""
-    return nodes.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
+    """(path, type, n, first_seen, last_seen) from nodes (path, type, seq); mergeable by sum, min and max.
+
+    List places are stripped (`tags[0]` counts for `tags[]`), and each path counts once a record: items of one type have
+    that type, others are `mixed`.
+    """
+    general = F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("path")
+    items = nodes.where(F.contains("path", F.lit("["))).groupBy("seq", general).agg(F.min("type").alias("low"), F.max("type").alias("high"))
+    once = items.select("path", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed").alias("type"), "seq")
+    rows = nodes.where(~F.contains("path", F.lit("["))).select("path", "type", "seq").unionByName(once)
+    return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
 
 
 def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -47,7 +55,20 @@ def samples(nodes: DataFrame, most: int = SAMPLES) -> DataFrame:
     return cut.withColumn("place", place).where(F.col("place") <= most).select("path", "place", "text")
 
 
+#: Records of a block in which appearances are counted one by one.
+RECORDS_PER_BLOCK = 100_000
+
+
 def running(nodes: DataFrame) -> DataFrame:
-    """Appearances and share of records so far at each node, for nodes (path, seq) with seq counting records from 1."""
-    seen = F.count("*").over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.withColumn("so_far", seen).withColumn("share", F.col("so_far") / F.col("seq") * 100)
+    """Appearances and share of records so far at each node, for nodes (path, seq) with seq counting records from 1.
+
+    Counts of blocks of records are added up first, so that a frequent path is no single task.
+    """
+    block = F.floor(F.col("seq") / RECORDS_PER_BLOCK)
+    sums = nodes.groupBy("path", block.alias("block")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("path", "block", before.alias("base"))
+    seen = F.count("*").over(Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    counted = nodes.withColumn("block", block).withColumn("within", seen).join(bases, ["path", "block"])
+    counted = counted.withColumn("so_far", F.col("base") + F.col("within")).drop("block", "base", "within")
+    return counted.select(*nodes.columns, "so_far").withColumn("share", F.col("so_far") / F.col("seq") * 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,35 @@ def coverage(stats: DataFrame) -> DataFrame:
     return stats.select("path", share.alias("coverage"), F.when(share < 100, "optional").otherwise("required").alias("cardinality"))
 
 
-def p95(value: Column) -> Column:
-    """The value at 1-based rank max(1, int(0.95 n)) of a group's sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(value)), F.greatest(F.lit(1), F.floor(F.count(value) * 0.95).cast("int")))
+#: A value's place is worked out within ranges of about this many distinct values of a group.
+VALUES_PER_RANGE = 50_000
+
+
+def at_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
+    """(by, at): the value at 1-based rank max(1, int(share n)) of each group's sorted values.
+
+    Values are counted first; their counts are added up by ranges of values, and only then within the one range that holds
+    the rank. So no task has all values of a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    spread = counts.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total"), F.count("*").alias("distinct"))
+    place = (F.col(value) - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1)
+    ranges = F.ceil(F.col("distinct") / VALUES_PER_RANGE)
+    dealt = counts.join(spread, by).withColumn("range", F.least(F.floor(place * ranges), ranges - 1))
+    sums = dealt.groupBy(by, "range").agg(F.sum("n").alias("of"), F.first("total").alias("total"))
+    before = F.coalesce(F.sum("of").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.greatest(F.lit(1), F.floor(F.col("total") * share))
+    held = sums.withColumns({"before": before, "rank": rank}).where((F.col("before") < F.col("rank")) & (F.col("before") + F.col("of") >= F.col("rank")))
+    inside = dealt.join(held.select(by, "range", "before", "rank"), [by, "range"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    return inside.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(by).agg(F.min(value).alias("at"))
 
 
 def timings(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Count, mean, least, greatest and 95th-percentile value by group."""
     v = F.col(value)
-    return rows.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("greatest"), p95(v).alias("p95"))
+    sums = rows.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+    return sums.join(at_rank(rows, by, value, 0.95).withColumnRenamed("at", "p95"), by, "left")
 
 
 def history(rows: DataFrame, by: str, failed: Column, latency: str) -> DataFrame:
@@ -32,9 +52,16 @@ def top(rows: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), tie).limit(k)
 
 
-def page(rows: DataFrame, key: list[str], limit: int, offset: int) -> DataFrame:
-    """A page of rows in key order with has_more; the limit is held to 1..1000 and the offset to 0 or more."""
+def page(rows: DataFrame, key: list[str], limit: int, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """A page of rows in key order with has_more; the limit is held to 1..1000 and the offset to 0 or more.
+
+    `after`, the key of the last row seen, goes on from there without sorting what was seen: use it for far pages. The page
+    itself has one row more than shown, and tells by its number whether there are others.
+    """
     limit, offset = min(max(int(limit), 1), 1000), max(int(offset), 0)
+    if after is not None:
+        rows = rows.where(F.struct(*key) > F.struct(*[F.lit(x).cast(rows.schema[k].dataType) for k, x in zip(key, after)]))
     ahead = rows.orderBy(*key).offset(offset).limit(limit + 1)
-    more = ahead.agg((F.count("*") > limit).alias("has_more"))
-    return ahead.orderBy(*key).limit(limit).join(F.broadcast(more))
+    nth, last = Window.orderBy(*key), Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = ahead.withColumn("_nth", F.row_number().over(nth)).withColumn("has_more", F.count("*").over(last) > limit)
+    return marked.where(F.col("_nth") <= limit).drop("_nth")

@@ -160,7 +160,8 @@ def path_walk(spark, sf_dir):
     return paths.walk(event_records(spark, sf_dir), 2).groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
-STATS = f"""WITH c AS (SELECT path, type, count(*) AS n FROM ({NODES}) GROUP BY ALL), t AS (SELECT count(*) AS total FROM events),
+PROFILED = NODES.replace("SELECT event_id, 'tags[0]', 'integer'", "SELECT event_id, 'tags[]', 'mixed'").replace(" UNION ALL SELECT event_id, 'tags[1]', 'string' FROM events", "")
+STATS = f"""WITH c AS (SELECT path, type, count(*) AS n FROM ({PROFILED}) GROUP BY ALL), t AS (SELECT count(*) AS total FROM events),
  s AS (SELECT path, sum(n)::BIGINT AS appearances, max(n) AS top, arg_max(type, n) AS dominant_type FROM c GROUP BY 1),
  f AS (SELECT path, appearances, dominant_type, 100.0 * appearances / total AS frequency, 100.0 * top / appearances AS stability, 1 - 1.0 * top / appearances AS drift, 1 - 1.0 * appearances / total AS null_ratio FROM s, t)"""
 
@@ -261,11 +262,12 @@ def delete_copy_on_write(spark, sf_dir):
     return store.read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@query("SELECT backend, count(*) AS n FROM (SELECT CASE path WHEN 'user_id' THEN 'MongoDB' WHEN 'event_type' THEN 'SQL' WHEN 'value' THEN 'SQL' WHEN 'props.k' THEN 'SQL' WHEN 'tags[0]' THEN 'SQL' WHEN 'tags[1]' THEN 'SQL' END AS backend FROM (" + NODES + ") WHERE type NOT IN ('dict', 'list')) GROUP BY 1")
+@query("SELECT backend, count(*) AS n FROM (SELECT CASE path WHEN 'user_id' THEN 'MongoDB' WHEN 'event_type' THEN 'SQL' WHEN 'value' THEN 'SQL' WHEN 'props.k' THEN 'SQL' WHEN 'tags[]' THEN 'SQL' END AS backend FROM (" + PROFILED + ") WHERE type NOT IN ('dict', 'list')) GROUP BY 1")
 def buffer_drain(spark, sf_dir):
     """Buffered scalars move to the backend of their field once it is placed."""
     nodes = paths.walk(event_records(spark, sf_dir), 2).where(~F.col("type").isin("dict", "list"))
-    routed, _ = ingest.drain(nodes.select("record_key", "path"), placement.place(event_stats(spark, sf_dir)))
+    nodes = nodes.select("record_key", F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("path")).distinct()
+    routed, _ = ingest.drain(nodes, placement.place(event_stats(spark, sf_dir)))
     return routed.groupBy("backend").agg(F.count("*").alias("n"))
 
 
@@ -369,3 +371,73 @@ def stream_ingest_total(spark, sf_dir):
     e.select(F.when(F.col("event_id") % 10 == 3, "data: {").otherwise(F.concat(F.lit("data: "), "props")).alias("value")).write.text(f"{store.root}/landing")
     ingest.start(store, events.stream_landing(spark, f"{store.root}/landing"), f"{store.root}/checkpoint").awaitTermination()
     return store.read("batches").agg((F.sum("accepted") + F.sum("rejected")).alias("records"), F.sum("accepted").alias("accepted"))
+
+
+def ingested(spark: SparkSession, records: DataFrame, batches: int = 2):
+    """A new store with records (id, v VARIANT), ingested in batches by the remainder of their id."""
+    store = scratch_store(spark)
+    for k in range(batches):
+        mine = records.where(F.pmod("id", F.lit(batches)) == k).select(F.to_json("v").alias("raw"), "v", F.lit(False).alias("rejected"))
+        ingest.ingest_batch(store, mine, k)
+    return store
+
+
+def ingested_events(spark: SparkSession, sf_dir: str):
+    return ingested(spark, event_records(spark, sf_dir).withColumnRenamed("record_key", "id"))
+
+
+@query("SELECT path, CASE WHEN path = 'user_id' THEN 'MongoDB' ELSE 'SQL' END AS backend, count(*) AS n FROM (" + NODES + ") WHERE path IN ('event_type', 'user_id', 'value') GROUP BY ALL")
+def ingest_values(spark, sf_dir):
+    """Scalars of ingested records, routed by the place of their field."""
+    return ingested_events(spark, sf_dir).read("values").groupBy("path", "backend").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'norm_tags' AS entity, i AS item_index, CASE i WHEN 0 THEN '{\"value\":1}' ELSE '{\"value\":\"a\"}' END AS item, count(*) AS n FROM events, (VALUES (0), (1)) t(i) GROUP BY ALL")
+def ingest_children(spark, sf_dir):
+    """Child rows of the repeating groups of ingested records."""
+    return ingested_events(spark, sf_dir).read("children").groupBy("entity", "item_index", "item").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT metric, value FROM (SELECT 'records' AS metric, count(*) AS value FROM events UNION ALL SELECT 'fields_sql', 4 UNION ALL SELECT 'fields_both', 0 UNION ALL SELECT 'fields_buffer', 0 UNION ALL SELECT 'embedded', 2
+ UNION ALL SELECT 'buffered', 0 UNION ALL SELECT 'children', 2 * count(*) FROM events UNION ALL SELECT 'routed', 2 * count(*) + count(*) FILTER (event_id % 5 <> 0) FROM events)""")
+def ingest_totals(spark, sf_dir):
+    """Totals of an ingested store; typed columns for the event's type, its value, the tags' items and props.k."""
+    return ingest.totals(ingested_events(spark, sf_dir)).where(F.col("metric").isin("records", "fields_sql", "fields_both", "fields_buffer", "embedded", "buffered", "children", "routed"))
+
+
+@query("SELECT (props::JSON->>'k')::BIGINT AS k, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1")
+def read_nested_field(spark, sf_dir):
+    """A dotted path of ingested documents, by request."""
+    kind = table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    answer = requests.execute(ingested_events(spark, sf_dir), {"operation": "read", "fields": ["props.k"], "filters": {"event_type": kind}, "limit": 1 << 30})
+    return answer["data"].groupBy(F.col("`props.k`").alias("k")).agg(F.count("*").alias("n"))
+
+
+def ingested_orders(spark: SparkSession, sf_dir: str):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    record = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("username"), F.col("o_orderstatus").alias("status"), "lines")
+    return ingested(spark, rows.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(record)).alias("v")))
+
+
+@query("SELECT 'o' || o_orderkey AS username, count(l_orderkey) AS n, coalesce(sum(l_partkey), 0)::BIGINT AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL")
+def read_child_lists(spark, sf_dir):
+    """A repeating group of ingested records, by request: the records that the filter holds for, with their items."""
+    answer = requests.execute(ingested_orders(spark, sf_dir), {"operation": "read", "fields": ["lines"], "filters": {"status": "F"}, "limit": 1 << 30})
+    parts = F.expr("aggregate(lines, 0L, (a, x) -> a + cast(get_json_object(x, '$.l_partkey') as bigint))")
+    return answer["data"].select("username", F.size("lines").cast("long").alias("n"), parts.alias("parts"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS lines")
+def delete_entity_rows(spark, sf_dir):
+    """A delete that names an entity takes that entity's rows and leaves the records."""
+    store = scratch_store(spark)
+    change = store.begin()
+    change.insert("orders", table(spark, sf_dir, "orders"), "o_orderkey")
+    change.insert("lineitem", table(spark, sf_dir, "lineitem"))
+    change.commit()
+    answer = requests.execute(store, {"operation": "delete", "entity": "lineitem", "filters": {"l_returnflag": "R"}}, root="orders", key="o_orderkey", children={"lineitem": "l_orderkey"})
+    if not answer["success"]:
+        raise RuntimeError(answer["error"])
+    both = store.read("orders").select(F.lit(1).alias("r"), F.lit(0).alias("l")).union(store.read("lineitem").select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("r").alias("records"), F.sum("l").alias("lines"))

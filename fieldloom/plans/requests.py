@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import RequestError, predicate
+from fieldloom.operators.nesting import nest
 from fieldloom.sources.store import SnapshotStore
 
 CORE = ("username", "sys_ingested_at", "t_stamp")
@@ -34,12 +36,12 @@ def read(view: DataFrame, request: dict[str, Any], key: str = "sys_ingested_at")
     if unknown:
         raise RequestError(f"Fields do not exist: {', '.join(unknown)}")
     wanted = [c for c in dict.fromkeys([*without_conflicts(list(fields)), *CORE]) if c in view.columns]
-    rows = view.where(predicate(request.get("filters"), {c: F.col(c) for c in view.columns}))
+    rows = view.where(predicate(request.get("filters"), {c: F.col(f"`{c}`") for c in view.columns}))
     order = [key] if key in view.columns else []
     rows = rows.orderBy(*order) if order else rows
     if offset := int(request.get("offset", 0)):
         rows = rows.offset(offset)
-    return rows.limit(int(request.get("limit", DEFAULT_LIMIT))).select(*wanted)
+    return rows.limit(int(request.get("limit", DEFAULT_LIMIT))).select(*[F.col(f"`{c}`") for c in wanted])
 
 
 def guarded(request: dict[str, Any]) -> dict[str, Any]:
@@ -49,34 +51,108 @@ def guarded(request: dict[str, Any]) -> dict[str, Any]:
     return filters
 
 
+def logical_view(store: SnapshotStore, fields: list[str], version: int | None = None) -> DataFrame:
+    """Records of an ingested store with the wanted fields: core fields, dotted paths into the documents, and repeating groups
+    or referenced values as arrays of JSON in item order.
+
+    A field is known by the statistics; of several types the most frequent one's column type is taken.
+    """
+    records, manifest = store.read("records", version), store.manifest(version)
+    known = {r.path: r.type for r in store.read("counts", version).groupBy("path").agg(F.max_by("type", "n").alias("type")).where(F.col("path").isin(*fields)).collect()} if fields else {}
+    groups = {r.path for r in store.read("children", version).where(F.col("path").isin(*fields)).select("path").distinct().collect()} if fields and "children" in manifest else set()
+    unknown = [f for f in fields if f not in CORE and f not in known and f not in groups]
+    if unknown:
+        raise RequestError(f"Fields do not exist: {', '.join(unknown)}")
+    document, kinds = F.parse_json("raw"), {"integer": "bigint", "float": "double", "boolean": "boolean"}
+    columns = [F.col(c) for c in ("sys_ingested_at", "username", "t_stamp")]
+    for field in fields:
+        if field not in CORE and field not in groups:
+            kind, path = known[field], "$." + field
+            columns.append((F.to_json(F.try_variant_get(document, path, "variant")) if kind in ("dict", "list", "mixed") else F.try_variant_get(document, path, kinds.get(kind, "string"))).alias(field))
+    view = records.select(*columns)
+    for field in (f for f in fields if f in groups):
+        rows = store.read("children", version).where(F.col("path") == field).select("parent_sys_ingested_at", "item_index", "item")
+        nested = nest(view.select("sys_ingested_at"), rows, "sys_ingested_at", "parent_sys_ingested_at", field)
+        nested = nested.withColumn(field, F.expr(f"transform(`{field}`, x -> x.item)"))
+        view = view.join(nested, "sys_ingested_at")
+    return view
+
+
+def entity_rows(store: SnapshotStore, entity: str, children: dict[str, str] | None, version: int) -> tuple[str, Column]:
+    """The table that has an entity's rows, and which of its rows these are."""
+    manifest = store.manifest(version)
+    if entity in (children or {}) and entity in manifest:
+        return entity, F.lit(True)
+    if "children" in manifest and {"path", "entity"} <= set(store.read("children", version).columns):
+        mine = F.col("path").eqNullSafe(entity) | F.col("entity").eqNullSafe(entity)
+        if not store.read("children", version).where(mine).isEmpty():
+            return "children", mine
+    raise RequestError(f"Unknown entity: {entity}")
+
+
+def checked(store: SnapshotStore, table: str, rows: DataFrame, version: int) -> DataFrame:
+    """Rows for a table: keys that begin with _ dropped, names cleaned, and values held against the column types it has."""
+    names = {c: re.sub(r"\W", "_", c) for c in rows.columns if not c.startswith("_")}
+    rows = rows.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()])
+    if table not in store.manifest(version):
+        return rows
+    kinds = {f.name: f.dataType for f in store.read(table, version).schema}
+    for f in rows.schema:
+        kind = kinds.get(f.name)
+        if kind is not None and f.dataType != kind and f.dataType.typeName() != "void":
+            widening = (f.dataType.typeName(), kind.typeName()) in {("long", "double"), ("integer", "long"), ("integer", "double")} or kind.typeName() == "string"
+            if not widening:
+                raise RequestError(f"Type conflict for '{f.name}': expected {kind.simpleString()}, got {f.dataType.simpleString()}")
+    return rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in rows.columns])
+
+
 def execute(store: SnapshotStore, request: dict[str, Any], root: str = "records", key: str = "sys_ingested_at", children: dict[str, str] | None = None) -> dict[str, Any]:
-    """Run one request against the store's root table; an answer has success and data or error."""
+    """Run one request against the store's root table, or the rows of its `entity`; an answer has success and data or error.
+
+    Every failure aborts what was staged. `children` has the tables of child rows with their parent column.
+    """
     operation = str(request.get("operation", "")).strip().lower()
     request = request | {"operation": operation}
+    transaction = None
     try:
         if operation not in OPERATIONS:
             raise RequestError(f"Unsupported operation: {operation}; supported: {', '.join(OPERATIONS)}")
+        base = store.version()
+        entity = request.get("entity")
+        table, mine = entity_rows(store, entity, children, base) if entity and entity != root else (root, F.lit(True))
         if operation == "read":
-            return {"success": True, "data": read(store.read(root), request, key)}
+            ingested = table == root and "counts" in store.manifest(base) and "raw" in store.read(root, base).columns
+            if ingested:
+                wanted = without_conflicts([f for f in request.get("fields") or CORE])
+                view = logical_view(store, [*dict.fromkeys([*wanted, *(request.get("filters") or {})])], base)
+                return {"success": True, "data": read(view, request | {"fields": wanted}, key)}
+            return {"success": True, "data": read(store.read(table, base).where(mine), request, key)}
         transaction = store.begin()
         if operation == "insert":
             data = request.get("data")
             if not data:
                 raise RequestError("Missing 'data' for insert")
             rows = data if isinstance(data, list) else [data]
-            table = store.spark.createDataFrame(rows, samplingRatio=1.0)
-            transaction.insert(root, table, key)
+            try:
+                frame = store.spark.createDataFrame(rows, samplingRatio=1.0)
+            except Exception as error:
+                raise RequestError(f"Records of one insert differ in type: {error}") from error
+            transaction.insert(table, checked(store, table, frame, base), key if table == root else None)
             count = {"inserted": len(rows)}
         else:
-            view = store.read(root, transaction.base)
-            where = predicate(guarded(request), {c: F.col(c) for c in view.columns})
+            view = store.read(table, transaction.base)
+            where = mine & predicate(guarded(request), {c: F.col(c) for c in view.columns})
             count = {f"{operation}d": view.where(where).count()}
             if operation == "update":
                 if not request.get("data"):
                     raise RequestError("Missing 'data' for update")
-                transaction.update(root, where, {c: F.lit(v) for c, v in request["data"].items()})
+                changes = checked(store, table, store.spark.createDataFrame([request["data"]]), transaction.base)
+                transaction.update(table, where, {c: F.lit(request["data"][c]).cast(changes.schema[c].dataType) for c in changes.columns})
             else:
-                transaction.delete(root, where, key, children)
+                transaction.delete(table, where, key if table == root else None, children if table == root else None)
         return {"success": True, "version": transaction.commit(), **count}
     except (RequestError, RuntimeError) as error:
         return {"success": False, "error": str(error)}
+    finally:
+        if transaction is not None and transaction.state != "committed":
+            transaction.abort()

@@ -1,6 +1,6 @@
 """Tables as Parquet snapshots under one manifest, with copy-on-write changes and staged commits over several tables.
 
-A manifest is a small JSON file that names each table's folder. A transaction writes new folders first and then one new
+A manifest is a small JSON file that names each table's folders; appending rows adds a folder and rewrites nothing. A transaction writes new folders first and then one new
 manifest with the next number; creating that file is the commit, and it fails if another writer was faster. Readers pin
 the manifest they opened. Files are reached through Hadoop's file systems, so any store that Spark reads will do.
 """
@@ -34,7 +34,7 @@ class SnapshotStore:
             return 0
         return max((int(s.getPath().getName().removesuffix(".json")) for s in self.fs.listStatus(folder) if s.getPath().getName().endswith(".json")), default=0)
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
         version = self.version() if version is None else version
         if not version:
             return {}
@@ -48,7 +48,11 @@ class SnapshotStore:
         return sorted(self.manifest())
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.manifest(version)[table]}")
+        return self.folders(self.manifest(version)[table])
+
+    def folders(self, names: list[str]) -> DataFrame:
+        """The rows of some folders of a table; columns that one lacks are null there."""
+        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{name}" for name in names))
 
     def begin(self) -> Transaction:
         return Transaction(self)
@@ -59,17 +63,34 @@ class Transaction:
 
     def __init__(self, store: SnapshotStore):
         self.store, self.base, self.state = store, store.version(), "pending"
-        self.held, self.staged = store.manifest(self.base), {}
+        self.held, self.staged, self.new, self.passing = store.manifest(self.base), {}, [], []
 
     def _current(self, table: str) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.root}/{self.staged.get(table) or self.held[table]}")
+        return self.store.folders(self.staged.get(table) or self.held[table])
 
-    def replace(self, table: str, rows: DataFrame) -> None:
+    def _written(self, table: str, rows: DataFrame) -> str:
         if self.state != "pending":
             raise ConflictError(f"the transaction is {self.state}")
         folder = f"data/{table}/{uuid.uuid4().hex}"
+        self.new.append(folder)
         rows.write.parquet(f"{self.store.root}/{folder}")
-        self.staged[table] = folder
+        return folder
+
+    def replace(self, table: str, rows: DataFrame) -> DataFrame:
+        """Put rows in place of all that the table has, and give them back as written."""
+        self.staged[table] = [self._written(table, rows)]
+        return self.store.folders(self.staged[table])
+
+    def scratch(self, rows: DataFrame) -> DataFrame:
+        """Rows as written to a folder that goes when the transaction ends."""
+        self.passing.append(self._written("scratch", rows))
+        return self.store.folders(self.passing[-1:])
+
+    def append(self, table: str, rows: DataFrame) -> DataFrame:
+        """Add rows to a table, new or not, and give them back as written."""
+        folder = self._written(table, rows)
+        self.staged[table] = [*(self.staged.get(table) or self.held.get(table, [])), folder]
+        return self.store.folders([folder])
 
     def insert(self, table: str, rows: DataFrame, key: str | None = None) -> None:
         """Append rows; with `key`, a null, repeated or known key refuses them all."""
@@ -79,7 +100,7 @@ class Transaction:
             if not bad.isEmpty() or (known and not rows.join(self._current(table), key, "left_semi").isEmpty()):
                 self.abort()
                 raise ConflictError(f"{table}.{key} is not unique")
-        self.replace(table, self._current(table).unionByName(rows, allowMissingColumns=True) if known else rows)
+        self.append(table, rows)
 
     def update(self, table: str, where: Column, values: dict[str, Column]) -> None:
         """Set columns where the condition holds; new columns are added, null elsewhere."""
@@ -116,15 +137,21 @@ class Transaction:
         stream.write(bytearray(json.dumps(self.held | self.staged).encode()))
         stream.close()
         self.state = "committed"
+        for folder in self.passing:
+            self.store.fs.delete(self.store._path(folder), True)
         return number
 
     def abort(self) -> None:
-        for folder in self.staged.values():
+        for folder in self.new:
             self.store.fs.delete(self.store._path(folder), True)
-        self.staged, self.state = {}, "aborted"
+        self.staged, self.new, self.state = {}, [], "aborted"
 
 
 def scratch_store(spark: SparkSession) -> SnapshotStore:
-    """A new store in the shared folder (spark.checkpoint.dir), or in a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-")
+    """A new store in the shared folder (spark.checkpoint.dir), or, on a local master only, in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="fieldloom-")
     return SnapshotStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")

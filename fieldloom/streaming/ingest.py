@@ -1,39 +1,127 @@
-"""Streaming ingestion: each micro-batch is profiled, merged into the field statistics and appended to the records."""
+"""Streaming ingestion: each micro-batch is profiled, placed, routed, normalized and appended in one transaction.
+
+Tables of a store that is filled this way: records (key, core fields, raw JSON: the documents), counts and placements (the
+profile; a few rows a field), values (routed scalars), buffer (scalars of fields seen too seldom to be placed), children
+(items of repeating groups), strategies and references (nested values kept apart), batches. What a batch adds goes into new
+folders, so bytes written grow with the batch; only the tables with some rows a field are rewritten.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldloom.operators.paths import walk
+from fieldloom.functions.types import depth, entity_name
+from fieldloom.operators.catalog import latest, shared_entities, with_hints
+from fieldloom.operators.nesting import mode, reference_score
+from fieldloom.operators.paths import repeating, scalar_groups, walk
 from fieldloom.operators.placement import place
 from fieldloom.operators.profile import field_stats, merge_counts, type_counts
 from fieldloom.sources.events import enrich
 from fieldloom.sources.store import SnapshotStore
 
+CORE = ("username", "sys_ingested_at", "t_stamp")
+HINT = "frequently_updated boolean, shared boolean, unbounded boolean, expected_max_items int"
+
 
-def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int) -> None:
-    """Add parsed events (raw, v, rejected) to the tables records, counts and batches; a batch that is in stays in once.
+def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: DataFrame | None = None) -> None:
+    """Add parsed events (raw, v, rejected) to the store; a batch that is in stays in once.
 
-    Records of later batches sort behind those of earlier ones. Field statistics are merged, not recomputed.
+    Records of later batches sort behind those of earlier ones. Field statistics are merged, not recomputed. A field that
+    was placed keeps its place. `hints` are (path, hint struct) of a registered schema.
     """
     known = store.manifest()
     if "batches" in known and not store.read("batches").where(F.col("batch_id") == batch_id).isEmpty():
         return
-    numbered = batch.where("not rejected").withColumn("number", F.monotonically_increasing_id())
-    records = enrich(numbered, F.concat(F.lit(f"{batch_id:08d}."), F.lpad(F.col("number").cast("string"), 16, "0")))
-    place_in_batch = F.lit(batch_id).cast("long") * (1 << 33) + F.col("number") % (1 << 33)
-    nodes = walk(numbered.select(place_in_batch.alias("record_key"), "v")).withColumn("seq", F.col("record_key"))
-    counts = type_counts(nodes)
     change = store.begin()
-    if "counts" in known:
-        counts = merge_counts(store.read("counts"), counts)
-    change.replace("counts", counts)
-    change.insert("records", records.select(F.col("record_key").alias("sys_ingested_at"), "username", "t_stamp", "raw"))
-    totals = batch.agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    change.insert("batches", totals)
-    change.commit()
+    try:
+        numbered = batch.where("not rejected").withColumn("number", F.monotonically_increasing_id())
+        named = enrich(numbered, F.concat(F.lit(f"{batch_id:08d}."), F.lpad(F.col("number").cast("string"), 16, "0")))
+        place_in_batch = F.lit(batch_id).cast("long") * (1 << 33) + F.col("number") % (1 << 33)
+        records = change.append("records", named.select(F.col("record_key").alias("sys_ingested_at"), "username", "t_stamp", "raw", place_in_batch.alias("seq")))
+        parsed = records.select(F.struct("sys_ingested_at", "seq").alias("record_key"), F.parse_json("raw").alias("v"))
+        nodes = change.scratch(walk(parsed).select("record_key.*", "path", "type", "value").withColumnRenamed("sys_ingested_at", "record_key"))
+
+        counts = type_counts(nodes)
+        counts = change.replace("counts", merge_counts(store.read("counts"), counts) if "counts" in known else counts)
+        totals = batch.agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        totals = change.append("batches", totals)
+        total = (store.read("batches") if "batches" in known else totals.limit(0)).unionByName(totals).agg(F.sum("accepted")).first()[0]
+        placed = change.replace("placements", sticky(store.read("placements") if "placements" in known else None, place(field_stats(counts, total))))
+
+        groups = scalar_groups(nodes)
+        change.append("children", child_rows(nodes, groups))
+        waiting = scalars(nodes, groups)
+        waiting = store.read("buffer").unionByName(waiting) if "buffer" in known else waiting
+        routed, rest = drain(waiting, placed)
+        change.append("values", routed)
+        change.replace("buffer", rest)
+        judged = strategies(nodes, hints)
+        change.append("references", reference_rows(nodes, judged))
+        newest = latest(judged.select("path", "score", "reasons", "mode", "seq"), "path", "seq")
+        if "strategies" in known:
+            newest = latest(store.read("strategies").unionByName(newest), "path", "seq")
+        change.replace("strategies", newest)
+        change.commit()
+    except BaseException:
+        change.abort()
+        raise
+
+
+def sticky(before: DataFrame | None, placed: DataFrame) -> DataFrame:
+    """placed (path, ...) where fields that `before` placed anywhere but in the buffer keep that row."""
+    columns = ["path", "backend", "reason", "dominant_type", "frequency", "stability", "quarantined"]
+    placed = placed.select(columns)
+    if before is None:
+        return placed
+    held = before.where("backend <> 'Buffer'").select(columns)
+    return held.unionByName(placed.join(held.select("path"), "path", "left_anti"))
+
+
+def scalars(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(record_key, path, type, text): top-level scalars that are neither core fields nor part of a numbered group."""
+    top = nodes.where(~F.col("path").rlike(r"[.\[]") & ~F.col("type").isin("dict", "list") & ~F.col("path").isin(*CORE))
+    grouped = groups.select("record_key", F.explode("names").alias("path"))
+    return top.join(grouped, ["record_key", "path"], "left_anti").select("record_key", "path", "type", F.try_variant_get("value", "$", "string").alias("text"))
+
+
+def child_rows(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(entity, path, parent_sys_ingested_at, item_index, item): items of repeating groups as JSON; dictionaries keep their scalar
+    keys, scalars become {"value": ...}. Numbered scalars come last and win over a list of the same name."""
+    found = repeating(nodes).select("record_key", F.col("path").alias("list"), "kind")
+    items = nodes.withColumn("list", F.regexp_extract("path", r"\A(.*)\[[0-9]+\]\z", 1)).join(found, ["record_key", "list"])
+    index = F.regexp_extract("path", r"\[([0-9]+)\]\z", 1).cast("int")
+    keys = F.map_filter(F.try_variant_get("value", "$", "map<string,variant>"), lambda _, x: ~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"))
+    of_dict = F.when(F.size(keys) > 0, F.to_json(keys))
+    item = F.when(F.col("kind") == "entity", of_dict).otherwise(F.concat(F.lit('{"value":'), F.to_json("value"), F.lit("}")))
+    lists = items.select(F.col("list").alias("path"), "record_key", index.alias("item_index"), item.alias("item")).where("item is not null")
+    numbered = groups.select(F.col("base").alias("path"), "record_key", F.posexplode("texts").alias("item_index", "text"))
+    numbered = numbered.select("path", "record_key", "item_index", F.to_json(F.struct(F.col("text").alias("value"))).alias("item"))
+    rows = lists.join(numbered.select("record_key", "path").distinct(), ["record_key", "path"], "left_anti").unionByName(numbered)
+    return rows.select(F.concat(F.lit("norm_"), entity_name(F.col("path"))).alias("entity"), "path", F.col("record_key").alias("parent_sys_ingested_at"), "item_index", "item")
+
+
+def strategies(nodes: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """(record_key, seq, path, value, type, score, reasons, mode) of top-level nested values: embedded or kept apart."""
+    nested = nodes.where(F.col("type").isin("dict", "list"))
+    shared = shared_entities(nested.select("path").distinct()).select(F.col("name").alias("_name"))
+    top = nested.where(~F.col("path").rlike(r"[.\[]")).join(F.broadcast(shared), F.col("path") == F.col("_name"), "left")
+    top = with_hints(top, hints) if hints is not None else top.withColumn("hint", F.lit(None).cast(f"struct<{HINT.replace(' ', ': ')}>".replace(",: ", ", ")))
+    items = F.try_variant_get("value", "$", "array<variant>")
+    holds = F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    score, reasons = reference_score(F.size(F.when(F.col("type") == "list", items)), F.coalesce(holds, F.lit(False)), F.size(F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))), depth(F.col("path")), F.col("_name").isNotNull(), F.col("hint"))
+    return top.select("record_key", "seq", "path", "value", "type", score.alias("score"), reasons.alias("reasons"), mode(score).alias("mode"))
+
+
+def reference_rows(nodes: DataFrame, judged: DataFrame) -> DataFrame:
+    """(entity_path, parent_sys_ingested_at, item_index, payload): one document for each item of a referenced list, one for a dictionary."""
+    apart = judged.where("mode = 'reference'")
+    items = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+    rows = apart.select(F.col("path").alias("entity_path"), F.col("record_key").alias("parent_sys_ingested_at"), F.posexplode(items).alias("item_index", "x"))
+    return rows.select("entity_path", "parent_sys_ingested_at", "item_index", F.to_json("x").alias("payload"))
 
 
 def start(store: SnapshotStore, events: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -48,6 +136,17 @@ def placements(store: SnapshotStore) -> DataFrame:
 
 
 def drain(buffered: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buffered values (record_key, path, value) of fields that are placed by now, with their backend, and the rest."""
+    """Buffered values (record_key, path, ...) of fields that are placed by now, with their backend, and the rest."""
     decided = placed.where("backend <> 'Buffer'").select("path", "backend")
     return buffered.join(decided, "path"), buffered.join(decided, "path", "left_anti")
+
+
+def totals(store: SnapshotStore) -> DataFrame:
+    """(metric, value): records, rejected, fields, fields by backend, strategies by mode, buffered, routed and child rows."""
+    batches = store.read("batches").agg(F.sum("accepted").alias("records"), F.sum("rejected").alias("rejected"), F.count("*").alias("batches"))
+    backends = [F.count_if(F.col("backend") == b).alias(f"fields_{b.lower()}") for b in ("SQL", "MongoDB", "Both", "Buffer")]
+    fields = store.read("placements").agg(F.count("*").alias("fields"), *backends)
+    modes = store.read("strategies").agg(F.count_if(F.col("mode") == "reference").alias("referenced"), F.count_if(F.col("mode") == "embed").alias("embedded"))
+    rows = [store.read(table).agg(F.count("*").alias(name)) for table, name in (("buffer", "buffered"), ("values", "routed"), ("children", "children"), ("references", "references"))]
+    metrics = lambda part: part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for c in part.columns])).alias("x")).select("x.*")
+    return reduce(DataFrame.unionByName, map(metrics, [batches, fields, modes, *rows]))
