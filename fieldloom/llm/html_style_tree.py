@@ -31,7 +31,7 @@ from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.storage import materialize
@@ -193,9 +193,10 @@ def blocks(html: str) -> list[tuple[Element, str]]:
     return [(e, t) for e, t in out if not any(x.textless for x in e.line())]
 
 
-def host_of(url: str | None) -> str:
-    found = re.match(r"\s*[a-zA-Z][\w+.-]*://([^/?#\s]*)", url or "")
-    return found[1].rpartition("@")[2].lower() if found else ""
+def host_of(url: Column) -> Column:
+    """The host of a url in lower case; '' where there is none."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*[a-zA-Z][\w+.-]*://([^/?#\s]*)", 1)
+    return F.lower(F.regexp_replace(found, "^.*@", ""))
 
 
 def features(pages: DataFrame) -> DataFrame:
@@ -208,28 +209,27 @@ def features(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, size, contents, nodes = [], [], [], []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            size, contents, nodes = [], [], []
+            for html in batch.column(4).to_pylist():
                 found, elements, own = blocks(html or ""), {}, {}
                 for element, _ in found:
                     own[element.path] = own.get(element.path, 0) + 1
                     elements.update((e.path, e) for e in element.line())
-                host.append(text_key(host_of(url)))
                 size.append(sum(len(t) for _, t in found))
                 contents.append([{"path": e.path, "feature": text_key(t), "size": len(t)} for e, t in found])
                 nodes.append([{"path": p, "style": text_key(str(list(dict.fromkeys(e.children)))), "own": own.get(p, 0), "main": e.main and not e.doubtful, "bound": e.bound, "up": [x.path for x in e.line()]} for p, e in elements.items()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(host, pa.int64()), pa.array(size, pa.int64()), pa.array(contents, content), pa.array(nodes, node)],
+                [*batch.columns[:4], pa.array(size, pa.int64()), pa.array(contents, content), pa.array(nodes, node)],
                 names=["page_id", "url", "tag", "host", "size", "contents", "nodes"],
             )
 
     schema = f"page_id {kind}, url string, tag long, host long, size long, contents array<struct<path: bigint, feature: bigint, size: int>>, nodes array<struct<path: bigint, style: bigint, own: int, main: boolean, bound: boolean, up: array<bigint>>>"
-    return tagged(pages).select("page_id", "url", "tag", "html").mapInArrow(run, schema)
+    return tagged(pages).select("page_id", "url", "tag", "host", "html").mapInArrow(run, schema)
 
 
 def tagged(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with a hash of the row."""
-    return pages.select("page_id", "url", "html").withColumn("tag", F.xxhash64("page_id", "url", "html"))
+    """pages (page_id, url, html) with hashes of the row and of its host."""
+    return pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("tag"), F.xxhash64(host_of(F.col("url"))).alias("host"))
 
 
 def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,23 +280,22 @@ def extract(pages: DataFrame, lists: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); without `lists`, by the tree alone."""
     featured = materialize(features(pages), "features")
     contents, branches = importance(featured)
+    # What goes from a host's pages is a short list: a content of low importance is on about half of them, and branches are
+    # those of the tree. So the pages need not be shuffled to meet it, unless there are very many hosts.
     low = contents.where((F.col("importance") < LEAST_CONTENT) & ~F.col("bound")).select("host", "path", "feature")
-    high = branches.where((F.col("importance") < LEAST_BRANCH) & ~F.col("bound")).select("host", "path")
-    held = featured.select("tag", "host", F.explode("contents").alias("x")).select("tag", "host", "x.path", "x.feature")
-    within = featured.select("tag", "host", F.explode("nodes.path").alias("path"))
-    gone = held.join(low, ["host", "path", "feature"], "left_semi").select("tag", "path", "feature")
-    gone = gone.union(within.join(high, ["host", "path"], "left_semi").select("tag", "path", F.lit(None).cast("long")))
-    gone = gone.groupBy("tag").agg(F.collect_set(F.struct("path", "feature")).alias("low"))
+    high = branches.where((F.col("importance") < LEAST_BRANCH) & ~F.col("bound")).select("host", "path", F.lit(None).cast("long").alias("feature"))
+    gone = low.union(high).groupBy("host").agg(F.collect_set(F.struct("path", "feature")).alias("low"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                marks = low or []
-                texts.append(main_text(html or "", {(x["path"], x["feature"]) for x in marks}, {x["path"] for x in marks if x["feature"] is None}, lists))
+            texts, known = [], {}
+            for html, host, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                if host not in known:
+                    marks = low.as_py() or []
+                    known[host] = {(x["path"], x["feature"]) for x in marks}, {x["path"] for x in marks if x["feature"] is None}
+                texts.append(main_text(html or "", *known[host], lists))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    # Written first, so that its size is known: Spark then shuffles the pages only if it is too large to broadcast.
-    gone = materialize(gone, "low")
-    return tagged(pages).join(gone, "tag", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    wide = tagged(pages).join(materialize(gone, "low"), "host", "left")
+    return wide.select("page_id", "url", "html", "host", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -63,7 +63,7 @@ def test_importance_by_brute_force(spark):
     contents, branches = html_style_tree.importance(featured)
     want_contents, want_branches = {}, {}
     for host in ("h0.example", "h1.example", "h2.example"):
-        own = [html_style_tree.blocks(h) for _, u, h in rows if html_style_tree.host_of(u) == host]
+        own = [html_style_tree.blocks(h) for _, u, h in rows if f"//{host}/" in u]
         times = Counter(t for found in own for t in {t for _, t in found})
         weights = [1 - sum(len(t) * (1 - 1 / times[t]) for t in {t for _, t in found}) / sum(len(t) for _, t in found) for found in own]
         at, styles, of, has, marks, up = defaultdict(float), defaultdict(Counter), defaultdict(float), defaultdict(float), {}, {}
@@ -77,7 +77,7 @@ def test_importance_by_brute_force(spark):
                 of[path] += weight * sum(x.path == path for x, _ in found)
             for path, text in {(e.path, t) for e, t in found}:
                 has[path, text] += weight if times[text] > 1 else 0
-        key, lost = html_style_tree.text_key(host), defaultdict(float)
+        key, lost = spark.range(1).select(F.xxhash64(F.lit(host))).first()[0], defaultdict(float)
         for (path, text), n in has.items():
             if times[text] > 1:
                 rate = 1 - math.log(max(1, n)) / math.log(at[path] + html_style_tree.UNSEEN_PAGES)
@@ -110,3 +110,9 @@ def test_tree_alone_finds_menus_adverts_and_shared_paragraphs(spark):
     for i in range(300):
         assert texts[i] == ["Summary", f"story {i} {i * i} of its own", *["a passage that one article in ten has"] * (i % 10 == 0), f"more on {i}, {i + 1000}"]
     assert all(len(texts[1000 + i]) == 13 for i in range(60))
+
+
+def test_hosts(spark):
+    urls = {None: "", "": "", "nonsense": "", "http://A.example/x": "a.example", " https://u:p@b.example:80?q#f": "b.example:80", "ftp://c": "c"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html_style_tree.host_of(F.col("url")).alias("host")).collect()
+    assert {r.url: r.host for r in rows} == urls
