@@ -18,6 +18,7 @@ names.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,11 @@ def _ratio(rule: str) -> Column:
     return F.coalesce(F.try_divide(F.col(above).cast("double"), F.col(below).cast("double")), F.lit(0.0))
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from driver values, made by the JVM."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def steps(bad: dict[str, list[int]], rest: dict[str, list[int]]) -> list[tuple[str, float]]:
     """The path of (rule, cutoff): `bad` and `rest` have the documents that each cutoff of a rule rejects, as in RULES.
 
@@ -131,7 +137,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error_
     strata = sizes.where(F.col("n_good") >= math.log(error_rate) / math.log1p(-risk)).collect()
     if not strata:
         return []
-    known = measured.sparkSession.createDataFrame([(row["stratum"],) for row in strata], "of string")
+    known = _table(measured.sparkSession, [{"of": row["stratum"]} for row in strata], "of: string")
     # How many cutoffs each rule's ratio is above; the counts of these lay out the path.
     levels = F.array(*[F.struct(F.lit(rule).alias("rule"), sum((F.col("_ratios")[n] > c).cast("int") for c in cutoffs).alias("above")) for n, (rule, (_, _, cutoffs)) in enumerate(RULES.items())])
     others = rows.where("_quality is null or _quality <> 1").join(known, F.col("stratum").eqNullSafe(F.col("of")), "left_semi")
@@ -143,10 +149,10 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error_
                 table[r["stratum"]][r["rule"]][k] += r["count"]
     paths = [steps(bad[row["stratum"]], rest[row["stratum"]]) for row in strata]
     number = {rule: n for n, rule in enumerate(RULES)}
-    walked = [(row["stratum"], [(k, number[rule], cutoff) for k, (rule, cutoff) in enumerate(path)]) for row, path in zip(strata, paths) if path]
+    walked = [{"of": row["stratum"], "path": [{"step": k, "rule": number[rule], "cutoff": cutoff} for k, (rule, cutoff) in enumerate(path)]} for row, path in zip(strata, paths) if path]
     if not walked:
         return []
-    table = measured.sparkSession.createDataFrame(walked, "of string, path array<struct<step: int, rule: int, cutoff: double>>")
+    table = _table(measured.sparkSession, walked, "of: string, path: array<struct<step: int, rule: int, cutoff: double>>")
     first = F.expr("array_min(transform(filter(path, p -> _ratios[p.rule] > p.cutoff), p -> p.step))")
     reached = once.join(table, F.col("stratum").eqNullSafe(F.col("of"))).select("of", "_quality", first.alias("step"))
     hits = {(r["of"], r["step"], r["_quality"]): r["count"] for r in reached.groupBy("of", "step", "_quality").count().collect()}
@@ -175,8 +181,8 @@ def verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
 def decided(measured: DataFrame, cutoffs: list[tuple[str | None, dict[str, float]]]) -> DataFrame:
     """measured with failed_rules and kept, by a small table of cutoffs."""
-    schema = "_of string, " + ", ".join(f"_{rule}_limit double" for rule in RULES)
-    table = measured.sparkSession.createDataFrame([(stratum, *(of.get(rule) for rule in RULES)) for stratum, of in cutoffs], schema)
+    rows = [{"_of": stratum} | {f"_{rule}_limit": limit for rule, limit in of.items()} for stratum, of in cutoffs]
+    table = _table(measured.sparkSession, rows, "_of: string, " + ", ".join(f"_{rule}_limit: double" for rule in RULES))
     wide = measured.join(table, F.col("stratum").eqNullSafe(F.col("_of")), "left")
     failed = F.array_compact(F.array(*[F.when(_ratio(rule) > F.col(f"_{rule}_limit"), F.lit(rule)) for rule in RULES]))
     wide = wide.select(*[F.col(c) for c in measured.columns], failed.alias("failed_rules"))
