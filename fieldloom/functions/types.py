@@ -81,3 +81,14 @@ def duration(seconds: Column) -> Column:
     """Seconds as `1d 2h 3m`, without leading zero parts."""
     days, hours, minutes = F.floor(seconds / 86400), F.floor(F.pmod(seconds, F.lit(86400)) / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60)
     return F.concat_ws(" ", F.when(days > 0, F.concat(days, F.lit("d"))), F.when((days > 0) | (hours > 0), F.concat(hours, F.lit("h"))), F.concat(minutes, F.lit("m")))
+
+
+def iso_time(text: Column) -> Column:
+    """Seconds since 1970 of an ISO 8601 time; without an offset it is UTC, and what is none is null."""
+    zoned = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})\z"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_seconds(F.try_to_timestamp(F.replace(zoned, F.lit("T"), F.lit(" "))))
+
+
+def scalar_type(semantic: Column) -> Column:
+    """Whether a semantic type fits a typed column: all but lists, dictionaries and unknown ones."""
+    return semantic.isin("null", "string", "url", *SQL_TYPES)

@@ -65,3 +65,50 @@ def union_by_name(first: DataFrame, second: DataFrame, name: str) -> DataFrame:
 def sessions(events: DataFrame, user: str, at: str) -> DataFrame:
     """(user, records, seconds): activity and span of each user."""
     return events.groupBy(user).agg(F.count("*").alias("records"), F.timestamp_diff("SECOND", F.min(at), F.max(at)).alias("seconds"))
+
+
+def first_occurrence(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """The row of each key with the least seq; an aggregation, so that later ones go before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), seq).alias("e")).select(*key, "e.*").select(*rows.columns)
+
+
+def consistency(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """(first, second, only_first, only_second, consistent): row counts of two copies and the keys that one of them lacks."""
+    sides = first.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(second.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    keys = sides.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = keys.agg(
+        F.coalesce(F.sum("a"), F.lit(0)).alias("first"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("second"),
+        F.count_if(F.col("b") == 0).alias("only_first"),
+        F.count_if(F.col("a") == 0).alias("only_second"),
+    )
+    return sums.withColumn("consistent", (F.col("first") == F.col("second")) & (F.col("only_first") + F.col("only_second") == 0))
+
+
+def lookup(fields: DataFrame, mappings: DataFrame, strategies: DataFrame, placed: DataFrame) -> DataFrame:
+    """fields (path) with backend of the mapping, mode of the strategy, and place; null where nothing is registered."""
+    out = fields.select("path").join(mappings.select("path", "backend"), "path", "left").join(strategies.select("path", "mode"), "path", "left")
+    return out.join(placed.select("path", F.col("backend").alias("place")), "path", "left")
+
+
+def entity_catalog(items: DataFrame, fields: DataFrame) -> DataFrame:
+    """(entity, instances, field_count) of items (entity) and their fields (entity, name), whichever have rows."""
+    counted = items.groupBy("entity").agg(F.count("*").alias("instances"))
+    named = fields.groupBy("entity").agg(F.count_distinct("name").alias("field_count"))
+    return counted.join(named, "entity", "full").select("entity", F.coalesce("instances", F.lit(0)).alias("instances"), F.coalesce("field_count", F.lit(0)).alias("field_count"))
+
+
+#: Sections of a metadata document with their types; a document that lacks one gets its default.
+METADATA = {"fields": "map<string,string>", "placement_decisions": "map<string,string>", "current_placement": "map<string,string>", "field_mappings": "map<string,string>", "total_records": "bigint", "session_start": "string", "last_updated": "string"}
+
+
+def upgraded(documents: DataFrame, text: str = "text") -> DataFrame:
+    """One row a metadata document (JSON text) in its newest shape, version 2: lacking sections are empty, lacking counters 0.
+
+    Text that is no JSON gives a fresh document.
+    """
+    parsed = documents.select(F.from_json(F.col(text), ", ".join(f"{name} {kind}" for name, kind in METADATA.items())).alias("m"))
+    default = lambda kind: F.lit(0) if kind == "bigint" else F.create_map().cast(kind)
+    columns = [F.col(f"m.{name}").alias(name) if kind == "string" else F.coalesce(f"m.{name}", default(kind)).alias(name) for name, kind in METADATA.items()]
+    return parsed.select(F.lit(2).alias("version"), *columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,9 @@ def mode(score: Column) -> Column:
 def without_parents(child: DataFrame, deleted: DataFrame, parent: str, key: str) -> DataFrame:
     """Child rows whose parent is not among the deleted ones."""
     return child.join(deleted.select(F.col(key).alias(parent)), parent, "left_anti")
+
+
+def union_groups(*parts: DataFrame) -> DataFrame:
+    """Repeating groups (record_key, path, items) of several kinds together; a later part wins on an equal record and path."""
+    ranked = [part.select("record_key", "path", "items").withColumn("_rank", F.lit(rank)) for rank, part in enumerate(parts)]
+    return reduce(DataFrame.unionByName, ranked).groupBy("record_key", "path").agg(F.max_by("items", "_rank").alias("items"))

@@ -57,3 +57,10 @@ def scalar_groups(nodes: DataFrame, core: tuple[str, ...] = ("username", "sys_in
     ordered = F.array_sort(F.collect_list(F.struct("number", "path", "text")))
     groups = rows.groupBy("record_key", "base").agg(ordered.alias("items")).where(F.size("items") >= 2)
     return groups.select("record_key", "base", F.expr("transform(items, x -> x.path)").alias("names"), F.expr("transform(items, x -> x.text)").alias("texts"))
+
+
+def flatten(nodes: DataFrame) -> DataFrame:
+    """(record_key, name, text) from nodes (record_key, path, type, value): dictionaries unfolded into names joined by _, lists as JSON."""
+    leaves = nodes.where(~F.contains("path", F.lit("[")) & (F.col("type") != "dict"))
+    text = F.when(F.col("type") == "list", F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
+    return leaves.select("record_key", F.replace("path", F.lit("."), F.lit("_")).alias("name"), text.alias("text"))

@@ -12,11 +12,12 @@ def type_counts(nodes: DataFrame) -> DataFrame:
     """(path, type, n, first_seen, last_seen) from nodes (path, type, seq); mergeable by sum, min and max.
 
     List places are stripped (`tags[0]` counts for `tags[]`), and each path counts once a record: items of one type have
-    that type, others are `mixed`.
+    that type, others are `mixed`. Records are told apart by record_key where nodes have it, else by seq.
     """
+    record = "record_key" if "record_key" in nodes.columns else "seq"
     general = F.regexp_replace("path", r"\[[0-9]+\]", "[]").alias("path")
-    items = nodes.where(F.contains("path", F.lit("["))).groupBy("seq", general).agg(F.min("type").alias("low"), F.max("type").alias("high"))
-    once = items.select("path", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed").alias("type"), "seq")
+    items = nodes.where(F.contains("path", F.lit("["))).groupBy(record, general).agg(F.min("type").alias("low"), F.max("type").alias("high"), F.min("seq").alias("_seq"))
+    once = items.select("path", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed").alias("type"), F.col("_seq").alias("seq"))
     rows = nodes.where(~F.contains("path", F.lit("["))).select("path", "type", "seq").unionByName(once)
     return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
 
@@ -72,3 +73,16 @@ def running(nodes: DataFrame) -> DataFrame:
     counted = nodes.withColumn("block", block).withColumn("within", seen).join(bases, ["path", "block"])
     counted = counted.withColumn("so_far", F.col("base") + F.col("within")).drop("block", "base", "within")
     return counted.select(*nodes.columns, "so_far").withColumn("share", F.col("so_far") / F.col("seq") * 100)
+
+
+def uniqueness(values: DataFrame) -> DataFrame:
+    """(path, n, ratio, candidate) of (path, text): distinct values by values, and whether the path may identify records.
+
+    A candidate's name holds id, uuid, key or session; with two values or more, over nine tenths of them must differ. Values
+    are counted once each before the paths are, so that a frequent path is no single task. Nulls are no values.
+    """
+    each = values.groupBy("path", "text").agg(F.count("text").alias("n"))
+    sums = each.groupBy("path").agg(F.sum("n").alias("n"), F.count("text").alias("distinct"))
+    named = F.lower("path").rlike("id|uuid|key|session")
+    ratio = F.try_divide(F.col("distinct"), F.col("n"))
+    return sums.select("path", "n", ratio.alias("ratio"), (named & ((F.col("n") < 2) | (ratio > 0.9))).alias("candidate"))

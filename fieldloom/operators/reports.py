@@ -65,3 +65,14 @@ def page(rows: DataFrame, key: list[str], limit: int, offset: int = 0, after: tu
     nth, last = Window.orderBy(*key), Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = ahead.withColumn("_nth", F.row_number().over(nth)).withColumn("has_more", F.count("*").over(last) > limit)
     return marked.where(F.col("_nth") <= limit).drop("_nth")
+
+
+def overhead(measured: DataFrame, value: str, baseline: str) -> DataFrame:
+    """measured with overhead, in percent of the baseline column; null where that is 0 or null."""
+    return measured.withColumn("overhead", F.try_divide(F.col(value) - F.col(baseline), F.col(baseline)) * 100)
+
+
+def insert_counts(rows: DataFrame, valid: Column) -> DataFrame:
+    """(inserted, failed, success): how many rows of a batch are valid, and whether all are; null counts as failed."""
+    good = F.coalesce(F.count_if(valid), F.lit(0))
+    return rows.agg(good.alias("inserted"), (F.count("*") - good).alias("failed")).withColumn("success", F.col("failed") == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import predicate
-from fieldloom.functions.types import detect_type, identifier, numbered_name, sql_type, string_type
+from fieldloom.functions.types import detect_type, identifier, iso_time, numbered_name, sql_type, string_type
 from fieldloom.operators import catalog, nesting, paths, placement, profile, reports
 from fieldloom.plans import requests
 from fieldloom.sources import events
@@ -441,3 +441,85 @@ def delete_entity_rows(spark, sf_dir):
         raise RuntimeError(answer["error"])
     both = store.read("orders").select(F.lit(1).alias("r"), F.lit(0).alias("l")).union(store.read("lineitem").select(F.lit(0), F.lit(1)))
     return both.agg(F.sum("r").alias("records"), F.sum("l").alias("lines"))
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate::TIMESTAMP)::BIGINT - CASE o_orderkey % 3 WHEN 2 THEN 7200 ELSE 0 END AS seconds FROM orders")
+def iso_times(spark, sf_dir):
+    """ISO times without an offset, with Z and with +02:00."""
+    plain = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    suffix = F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+02:00")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", iso_time(F.concat(plain, suffix)).alias("seconds"))
+
+
+@query("SELECT 'event_type' AS name, count(*) AS n, 0 AS lists FROM events UNION ALL SELECT 'user_id', count(*), 0 FROM events UNION ALL SELECT 'value', count(*), 0 FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'tags', count(*), count(*) FROM events UNION ALL SELECT 'props_k', count(*), 0 FROM events")
+def flatten_fields(spark, sf_dir):
+    """Nested records as flat names; lists stay JSON text."""
+    flat = paths.flatten(paths.walk(event_records(spark, sf_dir)))
+    return flat.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("text") == '[1,"a"]').alias("lists"))
+
+
+@query("SELECT path, count(*) AS n, round(count(DISTINCT x) / count(*), 6) AS ratio, path <> 'segment' AND count(DISTINCT x) / count(*) > 0.9 AS candidate FROM (SELECT 'custkey' AS path, c_custkey::VARCHAR AS x FROM customer UNION ALL SELECT 'nationkey', c_nationkey::VARCHAR FROM customer UNION ALL SELECT 'segment', c_mktsegment FROM customer) GROUP BY path")
+def unique_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    named = {"custkey": "c_custkey", "nationkey": "c_nationkey", "segment": "c_mktsegment"}
+    pairs = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.col(c).cast("string").alias("text")) for path, c in named.items()]))
+    return profile.uniqueness(rows.select(pairs.alias("x")).select("x.*")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT o_orderkey AS record_key, 'items' AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'group' WHEN o_orderkey % 2 = 0 THEN 'array' ELSE 'entity' END AS items FROM orders")
+def union_of_groups(spark, sf_dir):
+    """Entities, arrays and numbered scalars of the same name: the last kind wins."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_key"), F.lit("items").alias("path"))
+    kinds = [keys, keys.where("record_key % 2 = 0"), keys.where("record_key % 3 = 0")]
+    return nesting.union_groups(*[part.withColumn("items", F.lit(kind)) for part, kind in zip(kinds, ("entity", "array", "group"))])
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority <> '1-URGENT')
+ SELECT (SELECT count(*) FROM a) AS first, (SELECT count(*) FROM b) AS second, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS only_first, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS only_second,
+ NOT EXISTS (SELECT k FROM a EXCEPT SELECT k FROM b) AND NOT EXISTS (SELECT k FROM b EXCEPT SELECT k FROM a) AS consistent""")
+def backend_consistency(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return catalog.consistency(orders.where("o_orderstatus <> 'F'"), orders.where("o_orderpriority <> '1-URGENT'"), "o_orderkey")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def first_occurrences(spark, sf_dir):
+    return catalog.first_occurrence(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT count(*) FILTER (o_totalprice > 100000) AS inserted, count(*) FILTER (NOT o_totalprice > 100000) AS failed, count(*) FILTER (NOT o_totalprice > 100000) = 0 AS success FROM orders")
+def insert_totals(spark, sf_dir):
+    return reports.insert_counts(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 100000)
+
+
+@query("SELECT event_type, count(*) AS n, (SELECT count(*) FROM events WHERE event_id % 2 = 0) AS base, round((count(*) - (SELECT count(*) FROM events WHERE event_id % 2 = 0)) / (SELECT count(*) FROM events WHERE event_id % 2 = 0) * 100, 6) AS overhead FROM events GROUP BY 1")
+def overhead_by_type(spark, sf_dir):
+    events_ = table(spark, sf_dir, "events")
+    base = events_.where("event_id % 2 = 0").agg(F.count("*")).first()[0]
+    counted = events_.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("base", F.lit(base).cast("long"))
+    return reports.overhead(counted, "n", "base").withColumn("overhead", F.round("overhead", 6))
+
+
+@query("SELECT p_name AS path, CASE WHEN p_partkey % 2 = 0 THEN 'SQL' END AS backend, CASE WHEN p_partkey % 3 = 0 THEN 'embed' END AS mode, CASE WHEN p_partkey % 5 = 0 THEN 'Both' END AS place FROM (SELECT p_partkey, p_name || p_partkey AS p_name FROM part)")
+def field_lookup(spark, sf_dir):
+    """What is registered of each field."""
+    fields = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
+    part = lambda n, name, x: fields.where(F.col("p_partkey") % n == 0).select("path", F.lit(x).alias(name))
+    return catalog.lookup(fields, part(2, "backend", "SQL"), part(3, "mode", "embed"), part(5, "backend", "Both"))
+
+
+@query("SELECT 'order' AS entity, count(*) AS instances, 2 AS field_count FROM orders UNION ALL SELECT 'line', count(*), 1 FROM lineitem UNION ALL SELECT 'none', 0, 1")
+def entity_instances(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.lit("order").alias("entity")).union(table(spark, sf_dir, "lineitem").select(F.lit("line")))
+    fields = spark.sql("SELECT * FROM VALUES ('order', 'status'), ('order', 'total'), ('order', 'total'), ('line', 'quantity'), ('none', 'x') AS t(entity, name)")
+    return catalog.entity_catalog(items, fields)
+
+
+@query("SELECT o_orderkey AS total_records, 2 AS version, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS placed FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 0, 2, 0 FROM orders WHERE o_orderkey % 3 = 0")
+def metadata_upgrade(spark, sf_dir):
+    """Metadata documents of older shapes, some of them broken, in the newest shape."""
+    k = F.col("o_orderkey")
+    placed = F.when(k % 2 == 0, F.lit(', "current_placement": {"age": "SQL"}')).otherwise("")
+    text = F.when(k % 3 == 0, F.lit("broken {")).otherwise(F.concat(F.lit('{"total_records": '), k.cast("string"), placed, F.lit("}")))
+    new = catalog.upgraded(table(spark, sf_dir, "orders").select(text.alias("text")))
+    return new.select("total_records", "version", F.size("current_placement").alias("placed"))
