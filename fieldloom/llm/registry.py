@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe_trie, cover_tree, html_style_tree, language_id, license_scan, minhash_dedup, packing, quality_gam, quality_rules, storage, token_orc
+from fieldloom.llm import bpe_trie, cover_tree, hamerly, html_style_tree, language_id, license_scan, minhash_dedup, packing, quality_gam, quality_rules, resharding, spelling_bands, storage, token_orc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,20 @@ def op10_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.digests(hamerly.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_spelling_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_bands.group(documents(spark, sf_dir))
+
+
+def op13_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents lie in 20 shards by a hash of their ids, and are moved to 24 of equal bytes."""
+    old = resharding.lay_out(documents(spark, sf_dir), F.pmod(F.xxhash64("doc_id"), F.lit(20)), 20)
+    return resharding.places(resharding.reshard(old, 24))
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_language_filters": op2_language_filters,
@@ -66,5 +80,8 @@ QUERIES = {
     "op8_token_orc": op8_token_orc,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_style_tree": op10_html_style_tree,
+    "op11_hamerly": op11_hamerly,
+    "op12_spelling_bands": op12_spelling_bands,
+    "op13_flow_resharding": op13_flow_resharding,
 }
 ORACLE_SQL: dict[str, str] = {}
