@@ -2,12 +2,15 @@
 
 A word's mask has one bit for each letter that occurs in it an odd number of times. Inserting or deleting a code point flips
 one bit and replacing one flips two, so of three bands of the mask at least one is equal in near words. Words meet on an
-equal band and an equal or adjacent length, once for the first band in which they agree; masks that differ in more bits go,
-and the edit distance decides. All of it are DataFrame operations.
+equal band and an equal or adjacent length; masks that differ in more bits go, and the edit distance decides.
 
-A bucket of words with an equal band and length is cut into blocks of at most BLOCK_WORDS, and blocks meet block by block,
-so a large bucket is many small tasks and no pair is left out. Occurrences are counted on the map side first, so a frequent
-word is one row for each task. Each word is at most once in the tables behind the counting.
+Such buckets are large where words are many, and are split by what an edit leaves alone: of the first and the last AFFIX
+letters, which do not overlap in a word of twice as many, it changes one at most. Words therefore meet within a bucket on
+equal first or equal last letters, once for the first band and end in which they agree. What is still large is cut into blocks
+of BLOCK_WORDS that meet block by block, so no bucket is one task and no pair is left out. All of it are DataFrame operations.
+
+Occurrences are counted on the map side first, so a frequent word is one row for each task. Each word is at most once in the
+tables behind the counting.
 
 A null text has no words and a null id counts as empty text in the hash; texts of any length are read whole, repeated rows
 count each time. An empty table has no rows. Extra columns, of whatever name, are not read.
@@ -25,8 +28,10 @@ from fieldloom.llm.storage import materialize, remove, written
 
 #: Upper-case letters that are lower-cased, and the same in lower case.
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
-#: Letters of each band; they are dealt by turns, so that rare and frequent ones are in all three. Others share these bits.
-BANDS, BITS = 3, 16
+#: Letters a to z and those from the 26th number on are dealt to the bands by turns; each has a bit of its own.
+BANDS, ACCENTED = 3, 0xC0
+#: Letters at either end of a word, half of the shortest word's.
+AFFIX = 3
 BLOCK_WORDS = 256
 
 
@@ -50,14 +55,15 @@ def words(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
 
 
 def bands(word: Column) -> list[Column]:
-    """The three bands of a word's letter-parity mask; a letter's band is its code modulo 3."""
-    codes = F.filter(F.transform(F.split(word, ""), F.ascii), lambda c: c > 0)
+    """The three bands of a word's letter-parity mask; a letter's band is its number modulo 3."""
+    number = lambda c: F.when(F.ascii(c) < ACCENTED, F.ascii(c) - ord("a")).otherwise(F.ascii(c) - ACCENTED + 26)
+    numbers = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), number)
 
     def flip(band: int):
-        bit = lambda c: F.call_function("shiftleft", F.lit(1), F.pmod(F.floor(c / BANDS), F.lit(BITS)).cast("int"))
-        return lambda mask, c: F.when(c % BANDS == band, mask.bitwiseXOR(bit(c))).otherwise(mask)
+        bit = lambda n: F.call_function("shiftleft", F.lit(1), F.floor(n / BANDS).cast("int"))
+        return lambda mask, n: F.when(n % BANDS == band, mask.bitwiseXOR(bit(n))).otherwise(mask)
 
-    return [F.aggregate(codes, F.lit(0), flip(band)) for band in range(BANDS)]
+    return [F.aggregate(numbers, F.lit(0), flip(band)) for band in range(BANDS)]
 
 
 def vocabulary(counted: DataFrame) -> DataFrame:
@@ -67,27 +73,29 @@ def vocabulary(counted: DataFrame) -> DataFrame:
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """(a, b): pairs of a vocabulary, each once, that agree in a band, differ in at most two bits, and by one in length at most."""
-    masks = [f"m{i}" for i in range(BANDS)]
-    keyed = words.select("word", "length", *masks, F.posexplode(F.array(*masks)).alias("band", "value"))
-    key = ["band", "value", "length"]
-    sizes = keyed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_WORDS).cast("int").alias("blocks"))
-    longer = sizes.select("band", "value", (F.col("length") - 1).alias("length"), F.col("blocks").alias("more"))
-    dealt = keyed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+    """(a, b): pairs of a vocabulary, each once, of words of 2 AFFIX letters or more that agree in a band and at an end, differ in
+    at most two bits, and by one in length at most."""
+    masks, ends = [f"m{i}" for i in range(BANDS)], [F.left("word", F.lit(AFFIX)), F.right("word", F.lit(AFFIX))]
+    places = [F.struct(F.lit(2 * i + e).alias("place"), F.col(m).alias("value"), end.alias("affix")) for i, m in enumerate(masks) for e, end in enumerate(ends)]
+    keyed = words.select("word", "length", *masks, F.explode(F.array(*places)).alias("x")).select("word", "length", *masks, "x.*")
+    key = ["place", "value", "affix", "length"]
+    large = keyed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_WORDS).cast("int").alias("blocks")).where("blocks > 1")
+    longer = large.select(*key[:3], (F.col("length") - 1).alias("length"), F.col("blocks").alias("more"))
+    dealt = keyed.join(large, key, "left").withColumn("block", F.pmod(F.xxhash64("word"), F.coalesce("blocks", F.lit(1))).cast("int"))
     # A word meets the blocks of its own length from its own block on, and all blocks of the next length.
-    left = dealt.join(longer, key, "left")
-    own = F.transform(F.sequence("block", F.col("blocks") - 1), lambda to: F.struct(F.col("length").alias("length"), to.alias("to")))
-    above = F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda to: F.struct((F.col("length") + 1).alias("length"), to.alias("to")))
-    sent = left.select("word", *masks, "band", "value", F.col("length").alias("own"), "block", F.explode(F.concat(own, F.coalesce(above, F.array().cast("array<struct<length:int,to:int>>")))).alias("x"))
-    sent = sent.select("word", *masks, "band", "value", "own", "block", "x.*").alias("l")
-    kept = dealt.withColumnRenamed("block", "to").alias("r")
+    sent = dealt.join(longer, key, "left")
+    own = F.transform(F.sequence("block", F.coalesce("blocks", F.lit(1)) - 1), lambda to: F.struct(F.col("length").alias("length"), to.alias("to")))
+    above = F.transform(F.sequence(F.lit(0), F.coalesce("more", F.lit(1)) - 1), lambda to: F.struct((F.col("length") + 1).alias("length"), to.alias("to")))
+    sent = sent.select("word", *masks, *key[:3], F.col("length").alias("own"), "block", F.explode(F.concat(own, above)).alias("x")).select("word", *masks, *key[:3], "own", "block", "x.*").alias("l")
+    kept = dealt.select("word", *masks, *key, F.col("block").alias("to")).alias("r")
     of = lambda side, name: F.col(f"{side}.{name}")
-    apart = [of("l", m) != of("r", m) for m in masks]
-    earlier = (F.col("l.band") == 0) | (apart[0] & ((F.col("l.band") == 1) | apart[1]))
+    apart, band = [of("l", m) != of("r", m) for m in masks], F.floor(of("l", "place") / 2)
+    first_band = (band == 0) | (apart[0] & ((band == 1) | apart[1]))
+    first_end = (of("l", "place") % 2 == 0) | (F.left(of("l", "word"), F.lit(AFFIX)) != F.left(of("r", "word"), F.lit(AFFIX)))
     bits = sum((F.bit_count(of("l", m).bitwiseXOR(of("r", m))) for m in masks), F.lit(0))
-    once = (F.col("l.own") != F.col("l.length")) | (F.col("l.block") != F.col("l.to")) | (F.col("l.word") < F.col("r.word"))
-    equal = [of("l", c) == of("r", c) for c in ("band", "value", "length", "to")]
-    return sent.join(kept, [*equal, bits <= 2, earlier, once]).select(F.col("l.word").alias("a"), F.col("r.word").alias("b"))
+    once = (of("l", "own") != of("l", "length")) | (of("l", "block") != of("l", "to")) | (of("l", "word") < of("r", "word"))
+    equal = [of("l", c) == of("r", c) for c in (*key, "to")]
+    return sent.join(kept, [*equal, bits <= 2, first_band, first_end, once]).select(of("l", "word").alias("a"), of("r", "word").alias("b"))
 
 
 def near(words: DataFrame) -> DataFrame:
