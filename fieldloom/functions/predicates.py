@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Any
 
@@ -38,8 +39,35 @@ def condition(column: Column, wanted: Any) -> Column:
     return reduce(Column.__and__, parts, F.lit(True))
 
 
-def predicate(filters: dict[str, Any] | None, columns: dict[str, Column]) -> Column:
-    """The conjunction of all entries; an empty filter holds for all rows."""
+def fits(kind: str, value: Any) -> bool:
+    """Whether a literal can be compared with a column of a type (Spark's short name) at all."""
+    if kind in ("bigint", "int", "double", "float", "smallint", "tinyint") or kind.startswith("decimal"):
+        if isinstance(value, str):
+            try:
+                return math.isfinite(float(value)) and value.strip() != "" and (kind == "double" or kind == "float" or value.strip().lstrip("+-").isdigit())
+            except ValueError:
+                return False
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "boolean":
+        return isinstance(value, bool)
+    return not isinstance(value, (dict, list))
+
+
+def typed(wanted: Any, kind: str | None) -> Any:
+    """A filter entry without literals of other types, which match nothing: a row's value is never equal to one, nor in order with it."""
+    if kind is None or wanted is None:
+        return wanted
+    if not isinstance(wanted, dict):
+        return wanted if fits(kind, wanted) else {"$in": []}
+    if any(op in ("$gt", "$gte", "$lt", "$lte") and not fits(kind, x) for op, x in wanted.items()):
+        return {"$in": []}
+    out = {op: [x for x in value if fits(kind, x)] if op == "$in" and isinstance(value, (list, tuple)) else value for op, value in wanted.items()}
+    return {"$exists" if op == "$ne" and not fits(kind, x) else op: True if op == "$ne" and not fits(kind, x) else x for op, x in out.items()}
+
+
+def predicate(filters: dict[str, Any] | None, columns: dict[str, Column], kinds: dict[str, str] | None = None) -> Column:
+    """The conjunction of all entries; an empty filter holds for all rows. `kinds` has the columns' types, where known."""
+    filters = {f: typed(w, (kinds or {}).get(f)) for f, w in (filters or {}).items()}
     unknown = [f for f in filters or {} if f not in columns]
     if unknown:
         raise RequestError(f"Fields do not exist: {', '.join(unknown)}")

@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.types import detect_type, numbered_name
 
 _STRING, _BRACKET = r'"(?:[^"\\]++|\\.)*+"', r"[^\[\]{}]+"
 
+#: Keys that a path has in quotes, and paths of one step.
+ODD_KEY, TOP = r"""[.\[\]'"]|\A\z""", r"""\A(?:[^.\[]+|\['[^']*'\]|\["[^"]*"\])\z"""
 
-def depth(records: DataFrame) -> int:
-    """The greatest number of dictionaries and lists within one another in records (v VARIANT)."""
-    brackets = F.regexp_replace(F.regexp_replace(F.to_json("v"), _STRING, ""), _BRACKET, "")
+
+def quoted(key: Column) -> Column:
+    return F.when(F.contains(key, F.lit("'")), F.concat(F.lit('["'), key, F.lit('"]'))).otherwise(F.concat(F.lit("['"), key, F.lit("']")))
+
+
+def is_top(path: Column) -> Column:
+    """Whether a path is a key of the record itself."""
+    return path.rlike(TOP)
+
+
+def top_of(path: Column) -> Column:
+    """The first key of a path, as it is in the record."""
+    first = F.regexp_extract(path, r"""\A(\['[^']*'\]|\["[^"]*"\]|[^.\[]+)""", 1)
+    return F.regexp_replace(first, r"""\A\[['"]|['"]\]\z""", "")
+
+
+def depth_of(text: Column) -> Column:
+    """The greatest number of dictionaries and lists within one another in a JSON text."""
+    brackets = F.regexp_replace(F.regexp_replace(text, _STRING, ""), _BRACKET, "")
     steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
-    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["most"], s["at"] + x).alias("most")), lambda s: s["most"])
-    return records.agg(F.max(deepest)).first()[0] or 0
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["most"], s["at"] + x).alias("most")), lambda s: s["most"])
+
+
+def depth(records: DataFrame) -> int:
+    """depth_of all records (v VARIANT)."""
+    return records.agg(F.max(depth_of(F.to_json("v")))).first()[0] or 0
 
 
 def walk(records: DataFrame, levels: int | None = None) -> DataFrame:
     """(record_key, path, value, type): one row for every node of records (record_key, v VARIANT), each once a record.
 
-    Dictionary keys are joined by dots and list places stand in brackets. All levels are visited,
-    or `levels` of them.
+    Dictionary keys are joined by dots and list places stand in brackets; a key that has a dot, bracket or quote, or is empty,
+    stands in brackets and quotes. All levels are visited, or `levels` of them.
     Each level puts a node's children beside the node in one pass, so that a record is parsed once and never shuffled.
     """
     open_, value, path = F.col("open"), F.col("value"), F.col("path")
     child = lambda p, x: F.struct(p.alias("path"), x.alias("value"), F.lit(True).alias("open"))
     below = F.concat(path, F.when(path != "", ".").otherwise(""))
-    of_dict = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: child(F.concat(below, e["key"]), e["value"]))
+    step = lambda k: F.when(k.rlike(ODD_KEY), F.concat(path, quoted(k))).otherwise(F.concat(below, k))
+    of_dict = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: child(step(e["key"]), e["value"]))
     of_list = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
     own = F.array(F.struct(path, value, F.lit(False).alias("open")))
     kind = F.schema_of_variant(value)
@@ -50,13 +73,13 @@ def repeating(nodes: DataFrame) -> DataFrame:
 
 
 def scalar_groups(nodes: DataFrame, core: tuple[str, ...] = ("username", "sys_ingested_at", "t_stamp")) -> DataFrame:
-    """(record_key, base, names, texts): two or more top-level scalars base1, base2, ..., ordered by number."""
+    """(record_key, base, names, texts, values): two or more top-level scalars base1, base2, ..., ordered by number; values are JSON."""
     base, number = numbered_name(F.col("path"))
     top = nodes.where(~F.col("path").rlike(r"[.\[]") & ~F.col("type").isin("dict", "list") & ~F.col("path").isin(*core))
-    rows = top.select("record_key", base.alias("base"), number.cast("long").alias("number"), "path", F.try_variant_get("value", "$", "string").alias("text")).where("base <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("number", "path", "text")))
+    rows = top.select("record_key", base.alias("base"), number.cast("long").alias("number"), "path", F.try_variant_get("value", "$", "string").alias("text"), F.to_json("value").alias("json")).where("base <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("number", "path", "text", "json")))
     groups = rows.groupBy("record_key", "base").agg(ordered.alias("items")).where(F.size("items") >= 2)
-    return groups.select("record_key", "base", F.expr("transform(items, x -> x.path)").alias("names"), F.expr("transform(items, x -> x.text)").alias("texts"))
+    return groups.select("record_key", "base", F.expr("transform(items, x -> x.path)").alias("names"), F.expr("transform(items, x -> x.text)").alias("texts"), F.expr("transform(items, x -> x.json)").alias("values"))
 
 
 def flatten(nodes: DataFrame) -> DataFrame:

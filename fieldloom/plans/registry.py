@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.predicates import predicate
 from fieldloom.functions.types import detect_type, identifier, iso_time, numbered_name, sql_type, string_type
 from fieldloom.operators import catalog, nesting, paths, placement, profile, reports
-from fieldloom.plans import requests
+from fieldloom.plans import logical, requests
 from fieldloom.sources import events
 from fieldloom.sources.store import scratch_store
 from fieldloom.streaming import ingest
@@ -409,25 +409,130 @@ def ingest_totals(spark, sf_dir):
 def read_nested_field(spark, sf_dir):
     """A dotted path of ingested documents, by request."""
     kind = table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
-    answer = requests.execute(ingested_events(spark, sf_dir), {"operation": "read", "fields": ["props.k"], "filters": {"event_type": kind}, "limit": 1 << 30})
+    answer = requests.execute(ingested_events(spark, sf_dir), {"operation": "read", "fields": ["props.k"], "filters": {"event_type": kind}, "limit": None})
     return answer["data"].groupBy(F.col("`props.k`").alias("k")).agg(F.count("*").alias("n"))
 
 
-def ingested_orders(spark: SparkSession, sf_dir: str):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+def ingested_orders(spark: SparkSession, sf_dir: str, *more):
+    """Orders as records with their lines as a list, ingested; `more` are further columns of the records."""
+    item = F.struct("l_linenumber", "l_partkey", "l_quantity", F.array(F.struct(F.col("l_suppkey").alias("key"))).alias("suppliers"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("lines"))
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    record = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("username"), F.col("o_orderstatus").alias("status"), "lines")
+    record = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("username"), F.col("o_orderstatus").alias("status"), "lines", *more)
     return ingested(spark, rows.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(record)).alias("v")))
 
 
 @query("SELECT 'o' || o_orderkey AS username, count(l_orderkey) AS n, coalesce(sum(l_partkey), 0)::BIGINT AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL")
 def read_child_lists(spark, sf_dir):
     """A repeating group of ingested records, by request: the records that the filter holds for, with their items."""
-    answer = requests.execute(ingested_orders(spark, sf_dir), {"operation": "read", "fields": ["lines"], "filters": {"status": "F"}, "limit": 1 << 30})
+    answer = requests.execute(ingested_orders(spark, sf_dir), {"operation": "read", "fields": ["lines"], "filters": {"status": "F"}, "limit": None})
     parts = F.expr("aggregate(lines, 0L, (a, x) -> a + cast(get_json_object(x, '$.l_partkey') as bigint))")
     return answer["data"].select("username", F.size("lines").cast("long").alias("n"), parts.alias("parts"))
 
 
+def answered(store, request: dict) -> dict:
+    answer = requests.execute(store, request)
+    if not answer["success"]:
+        raise RuntimeError(answer["error"])
+    return answer
+
+
+@query("SELECT 'o' || o_orderkey AS username, count(l_orderkey) AS n, coalesce(sum(l_suppkey), 0)::BIGINT AS suppliers FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def read_nested_items(spark, sf_dir):
+    """Lists of records by request, whole: items keep the lists within them, whether they stand in child rows or apart from the document."""
+    data = answered(ingested_orders(spark, sf_dir), {"operation": "read", "fields": ["lines"], "limit": None})["data"]
+    keys = F.expr("aggregate(lines, 0L, (a, x) -> a + cast(get_json_object(x, '$.suppliers[0].key') as bigint))")
+    return data.select("username", F.size("lines").cast("long").alias("n"), keys.alias("suppliers"))
+
+
+LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS r FROM lineitem"
+
+
+@query(f"SELECT 'o' || o_orderkey AS username, max(CASE WHEN r = 1 THEN l_partkey END) AS first_part, max(CASE WHEN r = 2 THEN l_suppkey END) AS second_supplier, count(r) AS n, coalesce(round(sum(l_quantity)), 0)::BIGINT AS quantity FROM orders LEFT JOIN ({LINES}) ON l_orderkey = o_orderkey GROUP BY ALL")
+def read_list_places(spark, sf_dir):
+    """Places of lists, lists within these, and a field of every item, by request."""
+    wanted = ["lines[0].l_partkey", "lines[1].suppliers[0].key", "lines.l_quantity"]
+    store = ingested_orders(spark, sf_dir)
+    parts = [answered(store, {"operation": "read", "fields": [f], "limit": None})["data"].select("username", F.col(f"`{f}`").alias(name)) for f, name in zip(wanted, ("first_part", "second_supplier", "all"))]
+    both = parts[0].join(parts[1], "username").join(parts[2], "username")
+    quantity = F.round(F.aggregate("all", F.lit(0.0), lambda a, x: a + x.cast("double"))).cast("long")
+    return both.select("username", "first_part", "second_supplier", F.size("all").cast("long").alias("n"), quantity.alias("quantity"))
+
+
+@query("SELECT 'o' || o_orderkey AS username, o_orderpriority AS priority, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY ALL")
+def read_nested_group(spark, sf_dir):
+    """A repeating group within a dictionary, and a key that has a dot, by request."""
+    deep = F.struct(F.struct(F.transform("lines", lambda x: F.struct(x["l_partkey"].alias("part"))).alias("b")).alias("post"), F.col("o_orderpriority").alias("we.ird"))
+    store = ingested_orders(spark, sf_dir, deep["post"].alias("post"), F.col("o_orderpriority").alias("we.ird"))
+    data = answered(store, {"operation": "read", "fields": ["post.b", "we.ird"], "filters": {"status": "O"}, "limit": None})["data"]
+    return data.select("username", F.col("`we.ird`").alias("priority"), F.size("`post.b`").cast("long").alias("n"))
+
+
+@query("SELECT 'o' || o_orderkey AS username, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'F' THEN 7 ELSE count(l_orderkey) END AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")
+def update_ingested(spark, sf_dir):
+    """An update of an ingested store by request, read back: a scalar and a list that has child rows and payloads."""
+    store = ingested_orders(spark, sf_dir)
+    answered(store, {"operation": "update", "filters": {"status": "F"}, "data": {"status": "done", "lines": [{"l_partkey": k} for k in range(7)]}})
+    data = answered(store, {"operation": "read", "fields": ["status", "lines"], "limit": None})["data"]
+    return data.select("username", "status", F.size("lines").cast("long").alias("n"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1)
+ SELECT 'records' AS part, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'children', coalesce(sum(n), 0)::BIGINT FROM l UNION ALL SELECT 'references', coalesce(sum(n), 0)::BIGINT FROM l WHERE n > 3
+ UNION ALL SELECT 'values', count(*) FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'buffer', 0 UNION ALL SELECT 'deleted', count(*) FROM orders WHERE o_orderstatus = 'F'""")
+def delete_ingested(spark, sf_dir):
+    """A deletion from an ingested store by request: what every part still has."""
+    store = ingested_orders(spark, sf_dir)
+    gone = answered(store, {"operation": "delete", "filters": {"status": "F"}})["deleted"]
+    parts = [ingest.live(store, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name in ingest.OWNED]
+    out = spark.range(1).select(F.lit("deleted").alias("part"), F.lit(gone).cast("long").alias("n"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+@query("SELECT n_name AS username, n_nationkey AS key, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 5")
+def insert_ingested(spark, sf_dir):
+    """Records inserted by request into a store of ingested customers, read back by filter."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.parse_json(F.to_json(F.struct(F.col("c_name").alias("username"), F.col("c_nationkey").alias("nation")))).alias("v"))
+    store = ingested(spark, people, 1)
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "n_nationkey", "r_name").collect()
+    answered(store, {"operation": "insert", "data": [{"username": r.n_name, "place": {"key": r.n_nationkey, "region": r.r_name}} for r in rows]})
+    data = answered(store, {"operation": "read", "fields": ["place.key", "place.region"], "filters": {"place.key": {"$gte": 5}}, "limit": None})["data"]
+    return data.select("username", F.col("`place.key`").alias("key"), F.col("`place.region`").alias("region"))
+
+
+@query("SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def typed_child_rows(spark, sf_dir):
+    """The child table of a group, with a typed column for each scalar of its items."""
+    rows = logical.child_table(ingested_orders(spark, sf_dir), "lines")
+    return rows.groupBy("l_partkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""WITH f AS (SELECT c_custkey // 8 AS f, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT -1 - c_nationkey, count(*) FROM customer GROUP BY c_nationkey)
+ SELECT 'records' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'buffered', coalesce(sum(n), 0)::BIGINT FROM f WHERE n < 10 UNION ALL SELECT 'routed', coalesce(sum(n), 0)::BIGINT FROM f WHERE n >= 10 UNION ALL SELECT 'fields_buffer', count(*) FROM f WHERE n < 10""")
+def buffered_totals(spark, sf_dir):
+    """Totals, observed while two batches were written, of a store with fields that wait in the buffer and fields drained from it."""
+    nation = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"), F.lit("x"))
+    rare = F.concat(F.lit("rare_"), F.floor(F.col("c_custkey") / 8).cast("string"), F.lit("x"))
+    raw = F.to_json(F.map_from_arrays(F.array(F.lit("username"), nation, rare), F.array("c_name", "c_mktsegment", "c_mktsegment")))
+    store = ingested(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.parse_json(raw).alias("v")))
+    return ingest.totals(store).where(F.col("metric").isin("records", "buffered", "routed", "fields_buffer"))
+
+
+@query("SELECT (event_id % 2) AS batch, count(*) AS n, sum(CASE WHEN event_id % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM events WHERE event_id % 2 = 0) END)::BIGINT + count(*) * (count(*) - 1) // 2 AS total FROM events GROUP BY 1")
+def ingest_numbers(spark, sf_dir):
+    """The numbers of ingested records have no gaps and go on from batch to batch."""
+    rows = ingested_events(spark, sf_dir).read("records").select(F.substring(F.regexp_extract("sys_ingested_at", r"\.([0-9]{8})\.[0-9]+$", 1), 1, 8).cast("int").alias("batch"), "seq")
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.sum("seq").alias("total"))
+
+
+@query("SELECT 'records' AS entity, 'username' AS \"column\", 'string' AS type UNION ALL SELECT 'records', 'status', 'string' UNION ALL SELECT 'records', 'lines', 'list' UNION ALL SELECT 'lines', 'l_linenumber', 'integer' UNION ALL SELECT 'lines', 'l_partkey', 'integer' UNION ALL SELECT 'lines', 'l_quantity', 'integer'")
+def describe_store(spark, sf_dir):
+    """The logical schema of an ingested store: the root's fields, and the columns of each child table."""
+    return logical.describe(ingested_orders(spark, sf_dir))
+
+
 @query("SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS lines")
 def delete_entity_rows(spark, sf_dir):
     """A delete that names an entity takes that entity's rows and leaves the records."""

@@ -1,81 +1,69 @@
-"""JSON requests on one logical record view: read, insert, update, delete."""
+"""JSON requests on one logical record view: read, insert, update, delete.
+
+On a store filled by streaming.ingest, requests go through plans.logical: inserts are ingested, updates and deletions are
+written beside the records. On plain tables they change the table's snapshot.
+"""
 
 from __future__ import annotations
 
 import re
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import RequestError, predicate
-from fieldloom.operators.nesting import nest
-from fieldloom.sources.store import SnapshotStore
+from fieldloom.plans import logical
+from fieldloom.plans.logical import CORE, without_conflicts  # noqa: F401
+from fieldloom.sources.store import ConflictError, SnapshotStore
 
-CORE = ("username", "sys_ingested_at", "t_stamp")
 OPERATIONS = ("read", "insert", "update", "delete")
 DEFAULT_LIMIT = 100
 
 
-def without_conflicts(fields: list[str]) -> list[str]:
-    """Paths of which none is below another; of list places of one list the first in order stays."""
-    kept: list[str] = []
-    for path in sorted(dict.fromkeys(fields)):
-        outer = any(path.startswith((k + ".", k + "[")) for k in kept)
-        stem, bracket, _ = path.rpartition("[")
-        twin = bracket and any(k.startswith(stem + "[") for k in kept)
-        if not outer and not twin:
-            kept.append(path)
-    return kept
-
-
 def read(view: DataFrame, request: dict[str, Any], key: str = "sys_ingested_at") -> DataFrame:
-    """The rows a read request asks for, in key order; Catalyst prunes what the fields and filters do not need."""
+    """The rows a read request asks for, in key order; Catalyst prunes what the fields and filters do not need.
+
+    The limit is DEFAULT_LIMIT where the request has none. With `limit: null` there is no page: all rows, in no order, so that
+    nothing runs through a single task.
+    """
+    limit, offset = whole_number(request, "limit", DEFAULT_LIMIT), whole_number(request, "offset", 0)
     fields = request.get("fields") or view.columns
     unknown = [f for f in fields if f not in view.columns and f not in CORE]
     if unknown:
         raise RequestError(f"Fields do not exist: {', '.join(unknown)}")
     wanted = [c for c in dict.fromkeys([*without_conflicts(list(fields)), *CORE]) if c in view.columns]
-    rows = view.where(predicate(request.get("filters"), {c: F.col(f"`{c}`") for c in view.columns}))
-    order = [key] if key in view.columns else []
-    rows = rows.orderBy(*order) if order else rows
-    if offset := int(request.get("offset", 0)):
-        rows = rows.offset(offset)
-    return rows.limit(int(request.get("limit", DEFAULT_LIMIT))).select(*[F.col(f"`{c}`") for c in wanted])
-
-
-def guarded(request: dict[str, Any]) -> dict[str, Any]:
-    filters = request.get("filters") or {}
-    if not filters and not request.get("allow_all"):
-        raise RequestError(f"{request['operation']} needs filters or allow_all")
-    return filters
-
-
-def logical_view(store: SnapshotStore, fields: list[str], version: int | None = None) -> DataFrame:
-    """Records of an ingested store with the wanted fields: core fields, dotted paths into the documents, and repeating groups
-    or referenced values as arrays of JSON in item order.
-
-    A field is known by the statistics; of several types the most frequent one's column type is taken.
-    """
-    records, manifest = store.read("records", version), store.manifest(version)
-    known = {r.path: r.type for r in store.read("counts", version).groupBy("path").agg(F.max_by("type", "n").alias("type")).where(F.col("path").isin(*fields)).collect()} if fields else {}
-    groups = {r.path for r in store.read("children", version).where(F.col("path").isin(*fields)).select("path").distinct().collect()} if fields and "children" in manifest else set()
-    unknown = [f for f in fields if f not in CORE and f not in known and f not in groups]
-    if unknown:
-        raise RequestError(f"Fields do not exist: {', '.join(unknown)}")
-    document, kinds = F.parse_json("raw"), {"integer": "bigint", "float": "double", "boolean": "boolean"}
-    columns = [F.col(c) for c in ("sys_ingested_at", "username", "t_stamp")]
-    for field in fields:
-        if field not in CORE and field not in groups:
-            kind, path = known[field], "$." + field
-            columns.append((F.to_json(F.try_variant_get(document, path, "variant")) if kind in ("dict", "list", "mixed") else F.try_variant_get(document, path, kinds.get(kind, "string"))).alias(field))
-    view = records.select(*columns)
-    for field in (f for f in fields if f in groups):
-        rows = store.read("children", version).where(F.col("path") == field).select("parent_sys_ingested_at", "item_index", "item")
-        nested = nest(view.select("sys_ingested_at"), rows, "sys_ingested_at", "parent_sys_ingested_at", field)
-        nested = nested.withColumn(field, F.expr(f"transform(`{field}`, x -> x.item)"))
-        view = view.join(nested, "sys_ingested_at")
-    return view
+    rows = view.where(predicate(request.get("filters"), {c: F.col(f"`{c}`") for c in view.columns}, dict(view.dtypes)))
+    if limit is not None or offset:
+        rows = rows.orderBy(key) if key in view.columns else rows
+        rows = rows.offset(offset) if offset else rows
+        rows = rows.limit(limit) if limit is not None else rows
+    return rows.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def whole_number(request: dict[str, Any], name: str, default: int) -> int | None:
+    """A number of a request that is 0 or more; null is None."""
+    value = request.get(name, default)
+    if value is None:
+        return None
+    if isinstance(value, bool) or not re.fullmatch(r"[0-9]+", str(value).removesuffix(".0")):
+        raise RequestError(f"'{name}' is no whole number: {value}")
+    return int(float(value))
+
+
+def checked_patterns(store: SnapshotStore, filters: Any) -> None:
+    """A RequestError for filters that are no dictionary and for patterns that Java cannot read."""
+    if filters is not None and not isinstance(filters, dict):
+        raise RequestError("'filters' is no dictionary")
+    for name, wanted in (filters or {}).items():
+        if isinstance(wanted, dict) and "$regex" in wanted:
+            flags = str(wanted.get("$options", ""))
+            try:
+                store.spark._jvm.java.util.regex.Pattern.compile(f"(?{flags}){wanted['$regex']}" if flags else str(wanted["$regex"]))
+            except Exception as error:
+                raise RequestError(f"Bad pattern for '{name}': {wanted['$regex']}") from error
 
 
 def entity_rows(store: SnapshotStore, entity: str, children: dict[str, str] | None, version: int) -> tuple[str, Column]:
@@ -109,7 +97,7 @@ def checked(store: SnapshotStore, table: str, rows: DataFrame, version: int) ->
 def execute(store: SnapshotStore, request: dict[str, Any], root: str = "records", key: str = "sys_ingested_at", children: dict[str, str] | None = None) -> dict[str, Any]:
     """Run one request against the store's root table, or the rows of its `entity`; an answer has success and data or error.
 
-    Every failure aborts what was staged. `children` has the tables of child rows with their parent column.
+    Every failure aborts what was staged and is an answer. `children` has the tables of child rows with their parent column.
     """
     operation = str(request.get("operation", "")).strip().lower()
     request = request | {"operation": operation}
@@ -118,14 +106,12 @@ def execute(store: SnapshotStore, request: dict[str, Any], root: str = "records"
         if operation not in OPERATIONS:
             raise RequestError(f"Unsupported operation: {operation}; supported: {', '.join(OPERATIONS)}")
         base = store.version()
+        checked_patterns(store, request.get("filters"))
+        if root == "records" and "counts" in store.manifest(base):
+            return logical.execute(store, request, base)
         entity = request.get("entity")
         table, mine = entity_rows(store, entity, children, base) if entity and entity != root else (root, F.lit(True))
         if operation == "read":
-            ingested = table == root and "counts" in store.manifest(base) and "raw" in store.read(root, base).columns
-            if ingested:
-                wanted = without_conflicts([f for f in request.get("fields") or CORE])
-                view = logical_view(store, [*dict.fromkeys([*wanted, *(request.get("filters") or {})])], base)
-                return {"success": True, "data": read(view, request | {"fields": wanted}, key)}
             return {"success": True, "data": read(store.read(table, base).where(mine), request, key)}
         transaction = store.begin()
         if operation == "insert":
@@ -141,18 +127,28 @@ def execute(store: SnapshotStore, request: dict[str, Any], root: str = "records"
             count = {"inserted": len(rows)}
         else:
             view = store.read(table, transaction.base)
-            where = mine & predicate(guarded(request), {c: F.col(c) for c in view.columns})
+            where = mine & predicate(logical.guarded(request), {c: F.col(f"`{c}`") for c in view.columns}, dict(view.dtypes))
             count = {f"{operation}d": view.where(where).count()}
             if operation == "update":
                 if not request.get("data"):
                     raise RequestError("Missing 'data' for update")
+                if nested := [c for c, x in request["data"].items() if isinstance(x, (dict, list))]:
+                    raise RequestError(f"Nested values need an ingested store: {', '.join(nested)}")
                 changes = checked(store, table, store.spark.createDataFrame([request["data"]]), transaction.base)
                 transaction.update(table, where, {c: F.lit(request["data"][c]).cast(changes.schema[c].dataType) for c in changes.columns})
             else:
                 transaction.delete(table, where, key if table == root else None, children if table == root else None)
         return {"success": True, "version": transaction.commit(), **count}
-    except (RequestError, RuntimeError) as error:
+    except (RequestError, ConflictError) as error:
         return {"success": False, "error": str(error)}
+    except (PySparkException, Py4JError, RuntimeError, ValueError, TypeError, KeyError) as error:
+        return {"success": False, "error": f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"}
     finally:
         if transaction is not None and transaction.state != "committed":
             transaction.abort()
+
+
+def sanitized(answer: dict[str, Any]) -> dict[str, Any]:
+    """An answer as users see it: how many rows went from all parts together, and nothing about where they were."""
+    out = {k: answer[k] for k in ("success", "error", "data", "inserted", "updated") if k in answer}
+    return out | ({"deleted": sum((answer.get("parts") or {"records": answer["deleted"]}).values())} if "deleted" in answer else {})

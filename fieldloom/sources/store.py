@@ -65,15 +65,18 @@ class Transaction:
         self.store, self.base, self.state = store, store.version(), "pending"
         self.held, self.staged, self.new, self.passing = store.manifest(self.base), {}, [], []
 
+    def _folders(self, table: str) -> list[str]:
+        return self.staged[table] if table in self.staged else self.held.get(table, [])
+
     def _current(self, table: str) -> DataFrame:
-        return self.store.folders(self.staged.get(table) or self.held[table])
+        return self.store.folders(self._folders(table))
 
-    def _written(self, table: str, rows: DataFrame) -> str:
+    def _written(self, table: str, rows: DataFrame, *by: str) -> str:
         if self.state != "pending":
             raise ConflictError(f"the transaction is {self.state}")
         folder = f"data/{table}/{uuid.uuid4().hex}"
         self.new.append(folder)
-        rows.write.parquet(f"{self.store.root}/{folder}")
+        rows.write.partitionBy(*by).parquet(f"{self.store.root}/{folder}")
         return folder
 
     def replace(self, table: str, rows: DataFrame) -> DataFrame:
@@ -89,9 +92,19 @@ class Transaction:
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Add rows to a table, new or not, and give them back as written."""
         folder = self._written(table, rows)
-        self.staged[table] = [*(self.staged.get(table) or self.held.get(table, [])), folder]
+        self.staged[table] = [*self._folders(table), folder]
         return self.store.folders([folder])
 
+    def append_parts(self, table: str, rows: DataFrame, by: str) -> None:
+        """Add rows with a folder for each value of `by`, a column that is not kept; the folders can be forgotten one by one."""
+        folder = self._written(table, rows, by)
+        parts = [s.getPath().getName() for s in self.store.fs.listStatus(self.store._path(folder)) if s.isDirectory()]
+        self.staged[table] = [*self._folders(table), *(f"{folder}/{part}" for part in sorted(parts) if part.startswith(f"{by}="))]
+
+    def forget(self, table: str, folders: list[str]) -> None:
+        """Leave folders out of a table, whose rows others have taken over."""
+        self.staged[table] = [f for f in self._folders(table) if f not in set(folders)]
+
     def insert(self, table: str, rows: DataFrame, key: str | None = None) -> None:
         """Append rows; with `key`, a null, repeated or known key refuses them all."""
         known = table in self.staged or table in self.held

@@ -1,76 +1,232 @@
 """Streaming ingestion: each micro-batch is profiled, placed, routed, normalized and appended in one transaction.
 
-Tables of a store that is filled this way: records (key, core fields, raw JSON: the documents), counts and placements (the
-profile; a few rows a field), values (routed scalars), buffer (scalars of fields seen too seldom to be placed), children
-(items of repeating groups), strategies and references (nested values kept apart), batches. What a batch adds goes into new
-folders, so bytes written grow with the batch; only the tables with some rows a field are rewritten.
+Tables of a store that is filled this way:
+
+records      sys_ingested_at, core fields, raw JSON (the document), seq: a number without gaps over all batches
+counts       statistics by path and type; placements: where each field goes; strategies: embedded or referenced
+values       routed scalars; buffer: scalars of fields seen too seldom to be placed, by slots of their path's hash
+children     items of repeating groups: scalar keys in item, nested ones in rest
+references   values that are kept apart; the document has `<field>_ref_collection` in place of the field
+entities     paths of groups and referenced values; batches: a ledger of what each batch or request has added
+changes, tombstones    updates and deletions, see operators.overlay
+
+What a batch adds goes into new folders, so bytes written grow with the batch. Only tables with some rows a field are
+rewritten, and of the buffer the slots of fields that the batch has placed. Totals are observed while the rows are written.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldloom.functions.types import depth, entity_name
 from fieldloom.operators.catalog import latest, shared_entities, with_hints
 from fieldloom.operators.nesting import mode, reference_score
-from fieldloom.operators.paths import repeating, scalar_groups, walk
+from fieldloom.operators.numbering import numbered
+from fieldloom.operators.overlay import without_deleted, without_stale
+from fieldloom.operators.paths import ODD_KEY, depth_of, is_top, quoted, repeating, scalar_groups, top_of, walk
 from fieldloom.operators.placement import place
 from fieldloom.operators.profile import field_stats, merge_counts, type_counts
 from fieldloom.sources.events import enrich
-from fieldloom.sources.store import SnapshotStore
+from fieldloom.sources.store import SnapshotStore, Transaction
 
 CORE = ("username", "sys_ingested_at", "t_stamp")
 HINT = "frequently_updated boolean, shared boolean, unbounded boolean, expected_max_items int"
+#: Parts of the buffer by the hash of the path; a drain rewrites the parts of the fields that were placed.
+BUFFER_SLOTS = 64
+#: Columns of the ledger beside batch_id and kind.
+COUNTERS = ("accepted", "rejected", "children", "references", "routed", "buffered", "drained", "updated", "deleted")
+#: Tables whose rows belong to a record, by the column that names it and the one with the path they come from.
+OWNED = {"records": ("sys_ingested_at", None), "children": ("parent_sys_ingested_at", "path"), "references": ("parent_sys_ingested_at", "entity_path"), "values": ("record_key", "path"), "buffer": ("record_key", "path")}
+
+
+def live(store: SnapshotStore, table: str, version: int | None = None) -> DataFrame:
+    """The rows of a table that neither a deletion nor a later change of their field has made void."""
+    manifest, (key, path) = store.manifest(version), OWNED[table]
+    rows = without_deleted(store.read(table, version), key, store.read("tombstones", version) if "tombstones" in manifest else None)
+    return without_stale(rows, key, top_of(F.col(path)), store.read("changes", version) if "changes" in manifest else None) if path else rows
+
+
+def observed(change: Transaction, table: str, rows: DataFrame, seen: dict[str, int], counter: str) -> DataFrame:
+    """Append rows and add their number, observed in the same pass, to a counter."""
+    watch = Observation()
+    out = change.append(table, rows.observe(watch, F.count(F.lit(1)).alias("n")))
+    seen[counter] += watch.get.get("n", 0)
+    return out
+
+
+def note(change: Transaction, batch_id: int | None, kind: str, seen: dict[str, int]) -> None:
+    """Put a batch or request into the ledger."""
+    row = [(batch_id, kind, *(seen.get(c, 0) for c in COUNTERS))]
+    change.append("batches", change.store.spark.createDataFrame(row, "batch_id long, kind string, " + ", ".join(f"{c} long" for c in COUNTERS)).coalesce(1))
 
 
-def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: DataFrame | None = None) -> None:
-    """Add parsed events (raw, v, rejected) to the store; a batch that is in stays in once.
+def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: DataFrame | None = None, kind: str = "batch") -> dict[str, int]:
+    """Add parsed events (raw, v, rejected) to the store and give back what was counted; a batch that is in stays in once.
 
     Records of later batches sort behind those of earlier ones. Field statistics are merged, not recomputed. A field that
     was placed keeps its place. `hints` are (path, hint struct) of a registered schema.
     """
     known = store.manifest()
-    if "batches" in known and not store.read("batches").where(F.col("batch_id") == batch_id).isEmpty():
-        return
-    change = store.begin()
+    ledger = store.read("batches") if "batches" in known else None
+    if ledger is not None and not ledger.where((F.col("batch_id") == batch_id) & (F.col("kind") == kind)).isEmpty():
+        return {}
+    before = ledger.agg(F.sum("accepted")).first()[0] if ledger is not None else 0
+    change, seen = store.begin(), dict.fromkeys(COUNTERS, 0)
     try:
-        numbered = batch.where("not rejected").withColumn("number", F.monotonically_increasing_id())
-        named = enrich(numbered, F.concat(F.lit(f"{batch_id:08d}."), F.lpad(F.col("number").cast("string"), 16, "0")))
-        place_in_batch = F.lit(batch_id).cast("long") * (1 << 33) + F.col("number") % (1 << 33)
-        records = change.append("records", named.select(F.col("record_key").alias("sys_ingested_at"), "username", "t_stamp", "raw", place_in_batch.alias("seq")))
+        watch = Observation()
+        sizes = [F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected"), F.max(F.when(~F.col("rejected"), depth_of(F.col("raw")))).alias("levels")]
+        fresh = batch.observe(watch, *sizes).where("not rejected").withColumn("number", F.monotonically_increasing_id())
+        named = enrich(fresh, F.concat(F.lit(f"{kind[0] if kind != 'batch' else ''}{batch_id:08d}."), F.lpad(F.col("number").cast("string"), 16, "0")))
+        staged = change.scratch(named.select(F.col("record_key").alias("sys_ingested_at"), "username", "t_stamp", "raw", "number"))
+        found = watch.get
+        seen["accepted"], seen["rejected"] = found.get("accepted") or 0, found.get("rejected") or 0
+        records = numbered(staged, "number", "seq", before)
         parsed = records.select(F.struct("sys_ingested_at", "seq").alias("record_key"), F.parse_json("raw").alias("v"))
-        nodes = change.scratch(walk(parsed).select("record_key.*", "path", "type", "value").withColumnRenamed("sys_ingested_at", "record_key"))
+        nodes = change.scratch(node_rows(parsed, found.get("levels") or 0))
 
         counts = type_counts(nodes)
         counts = change.replace("counts", merge_counts(store.read("counts"), counts) if "counts" in known else counts)
-        totals = batch.agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        totals = change.append("batches", totals)
-        total = (store.read("batches") if "batches" in known else totals.limit(0)).unionByName(totals).agg(F.sum("accepted")).first()[0]
-        placed = change.replace("placements", sticky(store.read("placements") if "placements" in known else None, place(field_stats(counts, total))))
-
-        groups = scalar_groups(nodes)
-        change.append("children", child_rows(nodes, groups))
-        waiting = scalars(nodes, groups)
-        waiting = store.read("buffer").unionByName(waiting) if "buffer" in known else waiting
-        routed, rest = drain(waiting, placed)
-        change.append("values", routed)
-        change.replace("buffer", rest)
-        judged = strategies(nodes, hints)
-        change.append("references", reference_rows(nodes, judged))
+        held = store.read("placements") if "placements" in known else None
+        placed = change.replace("placements", sticky(held, place(field_stats(counts, before + seen["accepted"]))))
+
+        judged = change.scratch(strategies(parsed, nodes, hints))
+        change.append("records", documents(records, judged).select("sys_ingested_at", "username", "t_stamp", "raw", "seq"))
+        derive(change, nodes, judged, placed, seen)
+        if held is not None and "buffer" in known:
+            drain_slots(change, placed, placed.join(held.where("backend <> 'Buffer'"), "path", "left_anti"), seen)
         newest = latest(judged.select("path", "score", "reasons", "mode", "seq"), "path", "seq")
         if "strategies" in known:
             newest = latest(store.read("strategies").unionByName(newest), "path", "seq")
         change.replace("strategies", newest)
+        note(change, batch_id, kind, seen)
+        change.commit()
+        return seen
+    except BaseException:
+        change.abort()
+        raise
+
+
+def node_rows(parsed: DataFrame, levels: int) -> DataFrame:
+    """(record_key, seq, path, type, value) of all nodes. Of nested values only items of lists outside of lists are kept."""
+    item = F.col("path").rlike(r"\A[^\[]*\[[0-9]+\]\z|\A\[['\"].*['\"]\]\[[0-9]+\]\z")
+    value = F.when(~F.col("type").isin("dict", "list") | item, F.col("value"))
+    return walk(parsed, levels).select("record_key.*", "path", "type", value.alias("value")).withColumnRenamed("sys_ingested_at", "record_key")
+
+
+def derive(change: Transaction, nodes: DataFrame, judged: DataFrame, placed: DataFrame, seen: dict[str, int], number: int = 0, groups: DataFrame | None = None) -> None:
+    """Append what follows from nodes: child rows, references, routed and buffered values, and the paths of groups.
+
+    `number` is that of the change that the nodes come from, 0 for ingested records.
+    """
+    groups = scalar_groups(nodes) if groups is None else groups
+    stamp = F.lit(number).cast("long").alias("change")
+    children = observed(change, "children", child_rows(nodes, groups).select("*", stamp), seen, "children")
+    references = observed(change, "references", reference_rows(judged).select("*", stamp), seen, "references")
+    waiting = scalars(nodes, groups).select("record_key", "path", "type", "text", stamp)
+    routed, rest = drain(waiting, placed)
+    observed(change, "values", routed.select("record_key", "path", "type", "text", "change", "backend"), seen, "routed")
+    stow(change, rest.select("record_key", "path", "type", "text", "change"), seen)
+    paths = children.select("path", F.lit("children").alias("kind")).unionByName(references.select(F.col("entity_path").alias("path"), F.lit("reference").alias("kind"))).distinct()
+    known = change.store.folders(change.held["entities"]).select("path", "kind") if "entities" in change.held else None
+    change.replace("entities", paths if known is None else known.unionByName(paths).distinct())
+
+
+def slot(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUFFER_SLOTS)).cast("int")
+
+
+def stow(change: Transaction, rest: DataFrame, seen: dict[str, int] | None = None) -> None:
+    """Add values to the buffer, each slot in a folder of its own."""
+    if "buffer" not in change.staged and "buffer" not in change.held:
+        change.append("buffer", rest.limit(0))
+    watch = Observation()
+    change.append_parts("buffer", rest.withColumn("slot", slot(F.col("path"))).repartition("slot").observe(watch, F.count(F.lit(1)).alias("n")), "slot")
+    if seen is not None:
+        seen["buffered"] += watch.get.get("n", 0)
+
+
+def slots_of(change: Transaction, paths: DataFrame) -> list[str]:
+    """The folders of the buffer that may hold some paths: the driver gets at most BUFFER_SLOTS numbers."""
+    wanted = {f"slot={r['slot']}" for r in paths.select(slot(F.col("path")).alias("slot")).distinct().collect()}
+    return [f for f in change.held.get("buffer", []) if f.rpartition("/")[2] in wanted]
+
+
+def drain_slots(change: Transaction, placed: DataFrame, paths: DataFrame, seen: dict[str, int]) -> None:
+    """Move buffered values of placed fields among `paths` to the values; only the slots of these paths are read and rewritten."""
+    folders = slots_of(change, paths.where("backend <> 'Buffer'"))
+    if not folders:
+        return
+    moved, rest = drain(change.store.folders(folders), placed)
+    before = seen["routed"]
+    observed(change, "values", moved.select("record_key", "path", "type", "text", "change", "backend"), seen, "routed")
+    seen["drained"] += seen["routed"] - before
+    change.forget("buffer", folders)
+    stow(change, rest.select("record_key", "path", "type", "text", "change"))
+
+
+def drain_placed(store: SnapshotStore) -> int:
+    """Move what the buffer still holds of placed fields, as at start-up or after a field was placed by hand; the number of values."""
+    manifest = store.manifest()
+    if not {"buffer", "placements"} <= set(manifest):
+        return 0
+    waiting = store.read("buffer").select("path").distinct()
+    placed = store.read("placements").join(waiting, "path", "left_semi")
+    change, seen = store.begin(), dict.fromkeys(COUNTERS, 0)
+    try:
+        drain_slots(change, placed, placed, seen)
+        if not seen["drained"]:
+            change.abort()
+            return 0
+        note(change, None, "drain", seen)
         change.commit()
+        return seen["drained"]
     except BaseException:
         change.abort()
         raise
 
 
+def forget_field(store: SnapshotStore, path: str) -> int:
+    """Take a field out of the buffer: only its slot is rewritten. The number of values that went."""
+    change, seen = store.begin(), dict.fromkeys(COUNTERS, 0)
+    try:
+        folders = slots_of(change, store.spark.createDataFrame([(path,)], "path string"))
+        rows = store.folders(folders) if folders else None
+        gone = rows.where(F.col("path") == path).count() if folders else 0
+        if not gone:
+            change.abort()
+            return 0
+        change.forget("buffer", folders)
+        stow(change, rows.where(F.col("path") != path))
+        note(change, None, "forget", seen | {"drained": gone})
+        change.commit()
+        return gone
+    except BaseException:
+        change.abort()
+        raise
+
+
+def set_placement(store: SnapshotStore, path: str, backend: str, reason: str = "set by request") -> None:
+    """Place a field by hand, new or not; it keeps this place, and what the buffer has of it is drained."""
+    if backend not in ("SQL", "MongoDB", "Both", "Buffer"):
+        raise ValueError(f"Unknown backend: {backend}")
+    change = store.begin()
+    try:
+        row = store.spark.createDataFrame([(path, backend, reason, None, None, None, False)], "path string, backend string, reason string, dominant_type string, frequency double, stability double, quarantined boolean")
+        known = store.read("placements") if "placements" in store.manifest() else row.limit(0)
+        same = known.where(F.col("path") == path).select("path", "dominant_type", "frequency", "stability")
+        new = row.select("path", "backend", "reason", "quarantined").join(same, "path", "left").select(*row.columns)
+        change.replace("placements", known.where(F.col("path") != path).select(*row.columns).unionByName(new))
+        change.commit()
+    except BaseException:
+        change.abort()
+        raise
+    drain_placed(store)
+
+
 def sticky(before: DataFrame | None, placed: DataFrame) -> DataFrame:
     """placed (path, ...) where fields that `before` placed anywhere but in the buffer keep that row."""
     columns = ["path", "backend", "reason", "dominant_type", "frequency", "stability", "quarantined"]
@@ -83,49 +239,82 @@ def sticky(before: DataFrame | None, placed: DataFrame) -> DataFrame:
 
 def scalars(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """(record_key, path, type, text): top-level scalars that are neither core fields nor part of a numbered group."""
-    top = nodes.where(~F.col("path").rlike(r"[.\[]") & ~F.col("type").isin("dict", "list") & ~F.col("path").isin(*CORE))
+    top = nodes.where(is_top(F.col("path")) & ~F.col("type").isin("dict", "list") & ~F.col("path").isin(*CORE))
     grouped = groups.select("record_key", F.explode("names").alias("path"))
     return top.join(grouped, ["record_key", "path"], "left_anti").select("record_key", "path", "type", F.try_variant_get("value", "$", "string").alias("text"))
 
 
 def child_rows(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(entity, path, parent_sys_ingested_at, item_index, item): items of repeating groups as JSON; dictionaries keep their scalar
-    keys, scalars become {"value": ...}. Numbered scalars come last and win over a list of the same name."""
+    """(entity, path, parent_sys_ingested_at, item_index, item, rest): items of repeating groups as JSON; dictionaries have their
+    scalar keys in item and the others in rest, scalars become {"value": ...}. Numbered scalars come last and win over a list
+    of the same name. Dictionaries without scalar keys are no rows."""
     found = repeating(nodes).select("record_key", F.col("path").alias("list"), "kind")
     items = nodes.withColumn("list", F.regexp_extract("path", r"\A(.*)\[[0-9]+\]\z", 1)).join(found, ["record_key", "list"])
     index = F.regexp_extract("path", r"\[([0-9]+)\]\z", 1).cast("int")
-    keys = F.map_filter(F.try_variant_get("value", "$", "map<string,variant>"), lambda _, x: ~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"))
-    of_dict = F.when(F.size(keys) > 0, F.to_json(keys))
-    item = F.when(F.col("kind") == "entity", of_dict).otherwise(F.concat(F.lit('{"value":'), F.to_json("value"), F.lit("}")))
-    lists = items.select(F.col("list").alias("path"), "record_key", index.alias("item_index"), item.alias("item")).where("item is not null")
-    numbered = groups.select(F.col("base").alias("path"), "record_key", F.posexplode("texts").alias("item_index", "text"))
-    numbered = numbered.select("path", "record_key", "item_index", F.to_json(F.struct(F.col("text").alias("value"))).alias("item"))
+    nested = lambda x: F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")
+    keys = F.try_variant_get("value", "$", "map<string,variant>")
+    plain, deep = F.map_filter(keys, lambda _, x: ~nested(x)), F.map_filter(keys, lambda _, x: nested(x))
+    item = F.when(F.col("kind") == "entity", F.when(F.size(plain) > 0, F.to_json(plain))).otherwise(F.concat(F.lit('{"value":'), F.to_json("value"), F.lit("}")))
+    rest = F.when((F.col("kind") == "entity") & (F.size(deep) > 0), F.to_json(deep))
+    lists = items.select(F.col("list").alias("path"), "record_key", index.alias("item_index"), item.alias("item"), rest.alias("rest")).where("item is not null")
+    numbered = groups.select(F.col("base").alias("path"), "record_key", F.posexplode("values").alias("item_index", "json"))
+    numbered = numbered.select("path", "record_key", "item_index", F.concat(F.lit('{"value":'), "json", F.lit("}")).alias("item"), F.lit(None).cast("string").alias("rest"))
     rows = lists.join(numbered.select("record_key", "path").distinct(), ["record_key", "path"], "left_anti").unionByName(numbered)
-    return rows.select(F.concat(F.lit("norm_"), entity_name(F.col("path"))).alias("entity"), "path", F.col("record_key").alias("parent_sys_ingested_at"), "item_index", "item")
+    return rows.select(F.concat(F.lit("norm_"), entity_name(F.col("path"))).alias("entity"), "path", F.col("record_key").alias("parent_sys_ingested_at"), "item_index", "item", "rest")
 
 
-def strategies(nodes: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """(record_key, seq, path, value, type, score, reasons, mode) of top-level nested values: embedded or kept apart."""
-    nested = nodes.where(F.col("type").isin("dict", "list"))
-    shared = shared_entities(nested.select("path").distinct()).select(F.col("name").alias("_name"))
-    top = nested.where(~F.col("path").rlike(r"[.\[]")).join(F.broadcast(shared), F.col("path") == F.col("_name"), "left")
+def strategies(parsed: DataFrame, nodes: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """(record_key, seq, path, value, type, score, reasons, mode) of top-level nested values: embedded or kept apart.
+
+    Values are read from the records parsed (record_key, v) themselves and kept only where they are referenced; nodes tell
+    which names occur under several parents.
+    """
+    shared = shared_entities(nodes.where(F.col("type").isin("dict", "list")).select("path").distinct()).select(F.col("name").alias("_name"))
+    entries = parsed.select("record_key.*", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
+    kind = F.schema_of_variant("e.value")
+    top = entries.where(kind.rlike("^(ARRAY|OBJECT)")).select(F.col("sys_ingested_at").alias("record_key"), "seq", F.when(F.col("e.key").rlike(ODD_KEY), quoted(F.col("e.key"))).otherwise(F.col("e.key")).alias("path"), F.col("e.value").alias("value"), F.when(kind.startswith("ARRAY"), "list").otherwise("dict").alias("type"))
+    top = top.join(shared, F.col("path") == F.col("_name"), "left")
     top = with_hints(top, hints) if hints is not None else top.withColumn("hint", F.lit(None).cast(f"struct<{HINT.replace(' ', ': ')}>".replace(",: ", ", ")))
     items = F.try_variant_get("value", "$", "array<variant>")
     holds = F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     score, reasons = reference_score(F.size(F.when(F.col("type") == "list", items)), F.coalesce(holds, F.lit(False)), F.size(F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))), depth(F.col("path")), F.col("_name").isNotNull(), F.col("hint"))
-    return top.select("record_key", "seq", "path", "value", "type", score.alias("score"), reasons.alias("reasons"), mode(score).alias("mode"))
+    return top.select("record_key", "seq", "path", F.when(score >= 2, F.col("value")).alias("value"), "type", score.alias("score"), reasons.alias("reasons"), mode(score).alias("mode"))
+
 
+def collection(path: Column) -> Column:
+    """The name of the collection that has the referenced values of a field."""
+    return F.concat(F.lit("ref_"), entity_name(path))
 
-def reference_rows(nodes: DataFrame, judged: DataFrame) -> DataFrame:
-    """(entity_path, parent_sys_ingested_at, item_index, payload): one document for each item of a referenced list, one for a dictionary."""
+
+def documents(records: DataFrame, judged: DataFrame) -> DataFrame:
+    """records (sys_ingested_at, raw, ...) with `<field>_ref_collection` in raw in place of each field that judged keeps apart.
+
+    Only documents that have such a field are written anew; the others stay letter by letter.
+    """
+    name = top_of(F.col("path"))
+    marks = judged.where("mode = 'reference'").groupBy(F.col("record_key").alias("sys_ingested_at"))
+    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(name, F.lit("_ref_collection")).alias("k"), collection(F.col("path")).alias("v")))).alias("marks"))
+    fields = F.try_variant_get(F.parse_json("raw"), "$", "map<string,variant>")
+    kept = F.map_filter(fields, lambda k, _: ~F.map_contains_key("marks", F.concat(k, F.lit("_ref_collection"))) & ~F.map_contains_key("marks", k))
+    marked = F.transform_values("marks", lambda _, v: F.parse_json(F.to_json(F.array(v))))
+    text = F.to_json(F.map_concat(kept, F.transform_values(marked, lambda _, v: F.variant_get(v, "$[0]", "variant"))))
+    return records.join(marks, "sys_ingested_at", "left").withColumn("raw", F.when(F.col("marks").isNull(), F.col("raw")).otherwise(text)).drop("marks")
+
+
+def reference_rows(judged: DataFrame) -> DataFrame:
+    """(entity_path, parent_sys_ingested_at, item_index, payload, whole): one document for each item of a referenced list, and
+    one that is whole for a dictionary."""
     apart = judged.where("mode = 'reference'")
-    items = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
-    rows = apart.select(F.col("path").alias("entity_path"), F.col("record_key").alias("parent_sys_ingested_at"), F.posexplode(items).alias("item_index", "x"))
-    return rows.select("entity_path", "parent_sys_ingested_at", "item_index", F.to_json("x").alias("payload"))
+    whole = F.col("type") == "dict"
+    items = F.when(whole, F.array("value")).otherwise(F.try_variant_get("value", "$", "array<variant>"))
+    rows = apart.select(F.col("path").alias("entity_path"), F.col("record_key").alias("parent_sys_ingested_at"), whole.alias("whole"), F.posexplode(items).alias("item_index", "x"))
+    return rows.select("entity_path", "parent_sys_ingested_at", "item_index", F.to_json("x").alias("payload"), "whole")
 
 
 def start(store: SnapshotStore, events: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    writer = events.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(store, batch, batch_id)).option("checkpointLocation", checkpoint)
+    """Ingest a stream; what the buffer still holds of placed fields is drained first."""
+    drain_placed(store)
+    writer = events.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(store, batch, batch_id) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
@@ -142,11 +331,18 @@ def drain(buffered: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def totals(store: SnapshotStore) -> DataFrame:
-    """(metric, value): records, rejected, fields, fields by backend, strategies by mode, buffered, routed and child rows."""
-    batches = store.read("batches").agg(F.sum("accepted").alias("records"), F.sum("rejected").alias("rejected"), F.count("*").alias("batches"))
+    """(metric, value): records, rejected, batches, fields, fields by backend, strategies by mode, and rows of each kind.
+
+    Rows were counted while they were written, so only the ledger and the tables with some rows a field are read.
+    """
+    ledger = store.read("batches")
+    sums = ledger.agg(
+        F.sum("accepted").alias("records"), F.sum("rejected").alias("rejected"), F.count_if(F.col("kind").isin("batch", "insert")).alias("batches"), *[F.sum(c).alias(c) for c in ("routed", "children", "references", "drained", "updated", "deleted")],
+        (F.sum("buffered") - F.sum("drained")).alias("buffered"),
+    )
     backends = [F.count_if(F.col("backend") == b).alias(f"fields_{b.lower()}") for b in ("SQL", "MongoDB", "Both", "Buffer")]
-    fields = store.read("placements").agg(F.count("*").alias("fields"), *backends)
+    fields = store.read("placements").agg(F.count("*").alias("fields"), F.count_if(F.col("backend") != "Buffer").alias("decisions"), *backends)
     modes = store.read("strategies").agg(F.count_if(F.col("mode") == "reference").alias("referenced"), F.count_if(F.col("mode") == "embed").alias("embedded"))
-    rows = [store.read(table).agg(F.count("*").alias(name)) for table, name in (("buffer", "buffered"), ("values", "routed"), ("children", "children"), ("references", "references"))]
+    tables = store.read("entities").agg(F.count_if(F.col("kind") == "children").alias("tables"), F.count_if(F.col("kind") == "reference").alias("collections"))
     metrics = lambda part: part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for c in part.columns])).alias("x")).select("x.*")
-    return reduce(DataFrame.unionByName, map(metrics, [batches, fields, modes, *rows]))
+    return reduce(DataFrame.unionByName, map(metrics, [sums, fields, modes, tables]))
