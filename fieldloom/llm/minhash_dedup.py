@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.components import components
+from fieldloom.llm.components import components, looked_up
 from fieldloom.llm.storage import materialize
 
 #: Words of a shingle, and the least similarity in percent of a link: of near_duplicates by its contract, and of keep.
@@ -347,15 +347,18 @@ def looked_through(within: DataFrame, docs: DataFrame, nodes: DataFrame, percent
 def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
     """The components (node, component) of `whole` with more links (a, b) between nodes."""
 
-    def lifted(edges: DataFrame, column: str) -> DataFrame:
-        named = edges.join(whole.toDF(column, "of"), column, "left")
-        return named.withColumn(column, F.coalesce("of", column)).drop("of")
+    def lifted(edges: DataFrame, column: str, other: str) -> DataFrame:
+        named = looked_up(edges, column, other, whole.toDF("key", "found"))
+        return named.withColumn(column, F.coalesce("found", column)).drop("found")
 
     links = materialize(links, "links")
     if links.isEmpty():
         return whole
-    above = components(lifted(lifted(links, "a"), "b")).toDF("component", "top")
-    return whole.join(above, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("top", "component").alias("component"))
+    half = materialize(lifted(links, "a", "b"), "lifted")
+    above = materialize(components(lifted(half, "b", "a")), "above")
+    known = looked_up(whole, "component", "node", above.toDF("key", "found")).select("node", F.coalesce("found", "component").alias("component"))
+    alone = above.toDF("node", "component").join(whole, "node", "left_anti")
+    return materialize(known.unionByName(alone), "whole")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
