@@ -1,11 +1,12 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text's words (ASCII letters and digits and all other signs beyond ASCII, lower-cased) are matched by hand-written signature
-rules (license_rules). Keywords gate a text before any rule runs, and the rules of a priority once more. The rules of one
-priority are one pattern whose alternatives stand in their order, so their detections don't overlap; a detection inside
-another of the same or a higher priority is suppressed. Each word of a gated text carries its place, so a match gives its
-span at once, and no rule matches more than MOST_WORDS words, so only the spans before a span can hold it: time grows with
-the text, however many matches it has. All rules run inside the row: nothing is shuffled and every document has one result.
+rules (license_rules). Keywords gate a text before any rule runs. The rules of one priority are one pattern whose alternatives
+stand in their order and which is tried at every word, so at each word the first rule that matches holds and detections may
+overlap; only one inside another of the same or a higher priority is suppressed. Each word of a gated text carries its place,
+so a match gives its span at once, and no rule matches more than MOST_WORDS words, so only the spans before a span can hold it:
+time grows with the text, however many matches it has. All rules run inside the row: nothing is shuffled and every document
+has one result. Results are written before they are given back, so that a filter on them does not run the rules again.
 
 Null and empty texts have no words; very long texts are scanned whole; of equal spans the first label in the alphabet stays;
 repeated rows are scanned alike; an empty table gives no rows; only doc_id and text are read, so other columns may have any
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.license_rules import MOST_WORDS, SIGNS, rules
+from fieldloom.llm.storage import materialize
 
 #: What stands between words, and the base phrases with their labels.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,8 +43,8 @@ def placed(pattern: str) -> str:
 
 
 def signature(priority: int) -> str:
-    """One pattern for all rules of a priority, in their order."""
-    return rf"(?<= )(?:{'|'.join(placed(rule) for _, rule in rules()[priority])})#\d+(?= )"
+    """One pattern for all rules of a priority, in their order; its group is the detection at a word, and nothing is consumed."""
+    return rf"(?<= )(?=((?:{'|'.join(placed(rule) for _, rule in rules()[priority])})#\d+) )"
 
 
 def label_of(words: Column, priority: int) -> Column:
@@ -80,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
         {
             "n_base": F.when(F.col("_run").isNull(), 0).otherwise(F.size("_cut") - 1).cast("long"),
             "_base": F.array_sort(F.array_compact(F.array(*base))),
-            **{f"_hits{p}": F.regexp_extract_all("_placed", F.lit(signature(p)), F.lit(0)) for p in rules()},
+            **{f"_hits{p}": F.regexp_extract_all("_placed", F.lit(signature(p)), F.lit(1)) for p in rules()},
         }
     )
 
@@ -103,8 +105,9 @@ def scan(docs: DataFrame) -> DataFrame:
     ).withColumn("_kept", F.expr(f"filter(_spans, (x, i) -> not {inside})"))
     labels = F.array_sort(F.array_union("_base", F.expr("transform(_kept, x -> x.label)")))
     score = F.greatest(F.expr("coalesce(array_max(transform(_kept, x -> -x.minus_p)), 0) / 4D"), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0))
-    return out.select(
+    found = out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
         F.expr("transform(_kept, x -> struct(x.start as start, -x.minus_end as `end`, x.label as label, -x.minus_p as priority))").alias("spans"),
     )
+    return materialize(found, "licenses")

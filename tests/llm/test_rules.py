@@ -145,15 +145,17 @@ def test_op4_edges(spark):
 
 
 def scanned(text):
-    """The scan by plain loops: all spans of all rules, then suppression pair by pair."""
+    """The scan by plain loops: every rule at every word, then suppression pair by pair."""
     lower = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     base = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     run, spans = f" {' '.join(words)} ", []
     for priority, of in license_rules.rules().items():
-        for m in re.finditer(rf"(?<= )(?:{'|'.join(rule for _, rule in of)})(?= )", run):
-            label = next(label for label, rule in of if re.fullmatch(rule, m[0]))
-            spans.append((len(run[: m.start()].split()), len(run[: m.end()].split()), label, priority))
+        tried, at = [(label, re.compile(rf"(?:{rule})(?= )")) for label, rule in of], 1
+        for i, word in enumerate(words):
+            if found := next(((label, m) for label, rule in tried if (m := rule.match(run, at))), None):
+                spans.append((i, i + len(found[1][0].split()), found[0], priority))
+            at += len(word) + 1
     order = sorted(spans, key=lambda s: (s[0], -s[1], -s[3], s[2]))
     kept = [s for i, s in enumerate(order) if not any(o[1] >= s[1] and o[3] >= s[3] for o in order[:i])]
     starts = [i for i, _ in base]
@@ -177,6 +179,41 @@ def test_op6(spark, sf_dir):
     assert license_scan.scan(docs.where(F.lit(False))).count() == 0
 
 
+def overlapping_pairs():
+    """Texts in which the plainest forms of two rules of a priority overlap by a word or more."""
+    for of in license_rules.rules().values():
+        forms = set()
+        for label, rule in of:
+            form = rule.replace("[cs]", "c").replace(r"\S+", "x")
+            while (shorter := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", form)) != form:
+                form = shorter
+            if re.fullmatch(rule, form):
+                forms.add((label, form))
+        for one, first in forms:
+            for two, second in forms:
+                a, b = first.split(), second.split()
+                for k in range(1, min(len(a), len(b))):
+                    if one != two and a[-k:] == b[:k]:
+                        yield " ".join(a + b[k:])
+
+
+def test_overlapping_detections_are_kept(spark):
+    known = "redistributions in binary form must reproduce the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+    texts = [known, *sorted(set(overlapping_pairs()))]
+    assert len(texts) > 10
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert sorted((s.start, s.end, s.label, s.priority) for s in rows[i].spans) == scanned(text)[-1], text
+    assert {"bsd", "mit"} <= set(rows[0].labels.split(","))
+    overlap = [1 for r in rows.values() for s in r.spans for o in r.spans if s.priority == o.priority and s.start < o.start < s.end < o.end]
+    assert len(overlap) > 5
+
+
+def test_rules_run_once_under_a_filter(spark):
+    found = license_scan.scan(spark.createDataFrame([(1, "MIT License"), (2, "none")], "doc_id long, text string")).where("labels <> ''")
+    assert [r.doc_id for r in found.collect()] == [1] and "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 HEADERS = {
     "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: ISC": "isc",
     "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: CDDL-1.0": "cddl-1.0", "SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "SPDX-License-Identifier: Zlib": "zlib",
