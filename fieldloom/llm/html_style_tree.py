@@ -11,8 +11,8 @@ other pages of the host lack, so that copies and near copies of one page weigh a
 - A branch's composite importance weighs the presentation and the contents of all its nodes; it is no less than the content
   importance of any one node below, so that what holds an important node stays.
 
-From each page go the contents and whole branches of low importance. A heading, list item or cell inside <article> or <main>
-goes only with what it is in. What a tree can't see is left to lists: kinds of elements that are never main text, whole class
+From each page go the contents and whole branches of low importance first. A heading, list item or cell inside <article> or
+<main> goes only with what it is in. What the tree has left is held against lists: kinds of elements that are never main text, whole class
 tokens and ids (not on what holds an article or <main>; under names that a text's own sections have too only the importance
 decides), and, where a page has <article> or <main>, all that is outside.
 
@@ -39,6 +39,11 @@ from fieldloom.llm.storage import materialize
 #: Branches and single contents below this importance go (a content at 0.1 is on about half of a large host's pages); pages
 #: that are added to those seen, so that a few prove little; weight of presentation in a branch.
 LEAST_BRANCH, LEAST_CONTENT, UNSEEN_PAGES, PRESENTATION = 0.3, 0.1, 2, 0.3
+#: The limit of branches outside <article> and <main>: about two pages for each of its contents. What is only once on a host
+#: has an importance of 0.7 there at least.
+LEAST_OUTSIDE = 0.6
+#: Elements farther down than this are one tree node with the element at this level, so that a node's line has an end.
+DEEPEST = 64
 
 # HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,8 +63,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert dialo
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html"}
 
-# A quote opens a value only after an equals sign; elsewhere it is a sign like others.
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|[^>])*+)>", re.S)
+# A quote opens a value only after an equals sign; elsewhere it is a sign like others. A tag that is not closed before the next
+# one begins is text, so that no search goes on to the end of the page.
+_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)|[^<>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -86,16 +92,21 @@ def traits(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
 
 
 class Element:
-    __slots__ = ("article", "children", "doubtful", "holds", "main", "mute", "named", "never", "parent", "path", "tag", "textless")
+    __slots__ = ("anchor", "article", "children", "depth", "doubtful", "holds", "main", "mute", "named", "never", "noise", "parent", "path", "tag", "textless", "up")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         style, main, never, named, doubtful = traits(tag, attributes)
         inside, article = (parent.main, parent.article) if parent else (False, False)
-        self.tag, self.parent, self.children, self.holds = tag, parent, [], False
-        self.path = path_key(parent.path if parent else 0, tag, style)
+        self.tag, self.parent, self.children, self.holds, self.noise = tag, parent, [], False, False
+        self.depth = parent.depth + 1 if parent else 0
+        if parent is not None and self.depth > DEEPEST:
+            self.path, self.anchor, self.up = parent.path, parent.anchor, parent.up
+        else:
+            self.path, self.anchor = path_key(parent.path if parent else 0, tag, style), self
+            self.up = (self.path, *parent.up) if parent else (self.path,)
         self.main, self.article = inside or main, article or tag == "article"
-        self.textless = tag in TEXTLESS
-        self.mute = self.textless and tag not in BLOCKS
+        self.mute = tag in TEXTLESS and tag not in BLOCKS
+        self.textless = tag in TEXTLESS or (parent is not None and parent.textless)
         heading = tag == "header" and inside
         self.never = never and not heading
         # Names count neither on the outermost article nor on whatever holds it.
@@ -108,33 +119,64 @@ class Element:
                 parent = parent.parent
 
     def line(self) -> Iterator[Element]:
-        """The element and all that it is in, innermost first."""
-        element: Element | None = self
+        """The tree nodes that the element is in, its own or the deepest one first: DEEPEST and one at most."""
+        element: Element | None = self.anchor
         while element is not None:
             yield element
             element = element.parent
 
-    @property
-    def noise(self) -> bool:
-        """Whether the lists take the element, or one that it is in; to be asked when the page has been read."""
-        return any(e.never or (e.named and not e.holds) for e in self.line())
-
     @property
     def bound(self) -> bool:
         """Whether the element and its contents go only with a branch around them."""
         return self.main and not self.doubtful and self.tag in ITEMS
 
 
+class Open:
+    """The elements that are open, with the places of each tag, of block elements and of those that end a search for a tag."""
+
+    def __init__(self, root: Element):
+        self.stack, self.tags, self.blocks, self.scopes, self.muted = [root], {}, [], [], 0
+
+    def push(self, element: Element) -> None:
+        place = len(self.stack)
+        self.stack.append(element)
+        self.tags.setdefault(element.tag, []).append(place)
+        if element.tag in BLOCKS:
+            self.blocks.append(place)
+        if element.tag in SCOPES:
+            self.scopes.append(place)
+        self.muted += element.mute
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element with a tag, 0 if there is none."""
+        return places[-1] if (places := self.tags.get(tag)) else 0
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.tags[element.tag].pop()
+            if element.tag in BLOCKS:
+                self.blocks.pop()
+            if element.tag in SCOPES:
+                self.scopes.pop()
+            self.muted -= element.mute
+
+    @property
+    def block(self) -> Element:
+        return self.stack[self.blocks[-1]] if self.blocks else self.stack[0]
+
+
 def blocks(html: str) -> list[tuple[Element, str]]:
-    """The page's text blocks in order, each with its innermost block element."""
+    """The page's text blocks in order, each with its innermost block element; the time grows with the page, however deep it is."""
     root = Element("", "", None)
-    stack, out, words, at, skipped, muted = [root], [], [], 0, "", 0
+    opened, every, out, words, at, skipped = Open(root), [root], [], [], 0, ""
 
     def close() -> None:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                out.append((next(e for e in reversed(stack) if e.tag in BLOCKS or e is root), text))
+                out.append((opened.block, text))
             words.clear()
 
     for m in _MARKUP.finditer(html):
@@ -143,7 +185,7 @@ def blocks(html: str) -> list[tuple[Element, str]]:
             if not (ending and tag.lower() == skipped):
                 continue
             skipped, at = "", m.start()
-        if m.start() > at and not muted:
+        if m.start() > at and not opened.muted:
             text = html[at : m.start()]
             words.append(unescape(text) if "&" in text else text)
         at = m.end()
@@ -153,30 +195,22 @@ def blocks(html: str) -> list[tuple[Element, str]]:
         if tag == "br":
             words.append(" ")
         elif ending:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            place, inner = opened.last(tag), opened.blocks[-1] if opened.blocks else 0
+            if tag == "p" and not place:
                 close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(e.tag in BLOCKS for e in stack[k:]):
-                        close()
-                    muted -= sum(e.mute for e in stack[k:]) if muted else 0
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break
+            if place and (tag in BLOCKS or inner < place):
+                if inner >= place:
+                    close()
+                opened.cut(place)
         else:
             if tag in BLOCKS:
                 close()
-                ends = CLOSED_BY.get(tag, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p" or stack[k].tag in ends:
-                        muted -= sum(e.mute for e in stack[k:]) if muted else 0
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPES:
-                        break
-            element = Element(tag, attributes, stack[-1])
-            stack[-1].children.append(element.path)
+                place = max(map(opened.last, ("p", *CLOSED_BY.get(tag, ()))))
+                if place > (opened.scopes[-1] if opened.scopes else 0):
+                    opened.cut(place)
+            element = Element(tag, attributes, opened.stack[-1])
+            every.append(element)
+            opened.stack[-1].anchor.children.append(element.path)
             if tag not in VOID and not attributes.endswith("/"):
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -185,12 +219,13 @@ def blocks(html: str) -> list[tuple[Element, str]]:
                         break
                     skipped = tag
                 else:
-                    stack.append(element)
-                    muted += element.mute
-    if not skipped and not muted:
+                    opened.push(element)
+    if not skipped and not opened.muted:
         words.append(unescape(html[at:]))
     close()
-    return [(e, t) for e, t in out if not any(x.textless for x in e.line())]
+    for e in every:
+        e.noise = e.never or (e.named and not e.holds) or (e.parent is not None and e.parent.noise)
+    return [(e, t) for e, t in out if not e.textless]
 
 
 def host_of(url: Column) -> Column:
@@ -217,7 +252,7 @@ def features(pages: DataFrame) -> DataFrame:
                     elements.update((e.path, e) for e in element.line())
                 size.append(sum(len(t) for _, t in found))
                 contents.append([{"path": e.path, "feature": text_key(t), "size": len(t)} for e, t in found])
-                nodes.append([{"path": p, "style": text_key(str(list(dict.fromkeys(e.children)))), "own": own.get(p, 0), "main": e.main and not e.doubtful, "bound": e.bound, "up": [x.path for x in e.line()]} for p, e in elements.items()])
+                nodes.append([{"path": p, "style": text_key(str(list(dict.fromkeys(e.children)))), "own": own.get(p, 0), "main": e.main and not e.doubtful, "bound": e.bound, "up": list(e.up)} for p, e in elements.items()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(size, pa.int64()), pa.array(contents, content), pa.array(nodes, node)],
                 names=["page_id", "url", "tag", "host", "size", "contents", "nodes"],
@@ -234,7 +269,7 @@ def tagged(pages: DataFrame) -> DataFrame:
 
 def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Importance of the contents that several pages of a host have, (host, path, feature, bound, importance), and of all
-    branches, (host, path, bound, importance). `featured` is read several times and should be a written table."""
+    branches, (host, path, bound, main, importance). `featured` is read several times and should be a written table."""
     held = featured.select("tag", "host", F.explode(F.array_distinct("contents")).alias("x")).select("tag", "host", "x.*")
     several = featured.select("host", F.explode(F.array_distinct("contents.feature")).alias("feature")).groupBy("host", "feature").agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialize(held.join(several, ["host", "feature"]), "repeated")
@@ -263,39 +298,53 @@ def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
     below = below.select("host", F.explode("up").alias("path"), "presentation", "own", "lost", F.when(F.col("own") > 0, 1 - F.col("lost") / F.col("own")).alias("alone"))
     composite = PRESENTATION * F.avg("presentation") + (1 - PRESENTATION) * (1 - F.sum("lost") / F.sum("own"))
     branches = below.groupBy("host", "path").agg(F.when(F.sum("own") > 0, F.greatest(composite, F.max("alone"))).otherwise(1.0).alias("importance"))
-    branches = branches.join(nodes.select("host", "path", "bound"), ["host", "path"])
+    branches = branches.join(nodes.select("host", "path", "bound", "main"), ["host", "path"])
     return rated.select("host", "path", "feature", "bound", "importance"), branches
 
 
+def sorted_out(html: str, low: set[tuple[int, int]], branches: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> tuple[list[str], int, int]:
+    """The page's main text block by block, and how many blocks the tree and the lists have taken.
+
+    The tree decides first: contents (path, feature) in `low` and all within the branches at the paths in `branches` go. The
+    lists are asked only about what it has left.
+    """
+    found = blocks(html)
+    cut = {e.anchor for e, _ in found if not branches.isdisjoint(e.up)} if branches else set()
+    left = [(e, t) for e, t in found if e.anchor not in cut and (e.path, text_key(t)) not in low]
+    kept = [(e, t) for e, t in left if not (lists and e.noise)]
+    if lists and any(e.main for e, _ in found if not e.noise):
+        kept = [(e, t) for e, t in kept if e.main]
+    return [t for _, t in kept], len(found) - len(left), len(left) - len(kept)
+
+
 def main_text(html: str, low: set[tuple[int, int]], branches: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> str:
-    """The page's main text without the contents (path, feature) in `low` and the branches at the paths in `branches`;
-    without `lists`, what these leave is all that goes."""
-    found = [(e, t) for e, t in blocks(html) if not (lists and e.noise)]
-    if lists and any(e.main for e, _ in found):
-        found = [(e, t) for e, t in found if e.main]
-    return "\n".join(t for e, t in found if (e.path, text_key(t)) not in low and not any(x.path in branches for x in e.line()))
+    """The page's main text; without `lists`, what the tree leaves."""
+    return "\n".join(sorted_out(html, low, branches, lists)[0])
 
 
 def extract(pages: DataFrame, lists: bool = True) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); without `lists`, by the tree alone."""
+    """(page_id, url, text, n_chars, n_by_tree, n_by_lists) of every row of pages (page_id, url, html), with the numbers of blocks
+    that the tree and the lists have taken; without `lists`, by the tree alone."""
     featured = materialize(features(pages), "features")
     contents, branches = importance(featured)
     # What goes from a host's pages is a short list: a content of low importance is on about half of them, and branches are
     # those of the tree. So the pages need not be shuffled to meet it, unless there are very many hosts.
     low = contents.where((F.col("importance") < LEAST_CONTENT) & ~F.col("bound")).select("host", "path", "feature")
-    high = branches.where((F.col("importance") < LEAST_BRANCH) & ~F.col("bound")).select("host", "path", F.lit(None).cast("long").alias("feature"))
+    high = branches.where((F.col("importance") < F.when(F.col("main"), LEAST_BRANCH).otherwise(LEAST_OUTSIDE)) & ~F.col("bound")).select("host", "path", F.lit(None).cast("long").alias("feature"))
     gone = low.union(high).groupBy("host").agg(F.collect_set(F.struct("path", "feature")).alias("low"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, known = [], {}
+            texts, taken, known = [], [], {}
             for html, host, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if host not in known:
                     marks = low.as_py() or []
                     known[host] = {(x["path"], x["feature"]) for x in marks}, {x["path"] for x in marks if x["feature"] is None}
-                texts.append(main_text(html or "", *known[host], lists))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                kept, *by = sorted_out(html or "", *known[host], lists)
+                texts.append("\n".join(kept))
+                taken.append(by)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *(pa.array([by[i] for by in taken], pa.int64()) for i in (0, 1))], names=["page_id", "url", "text", "n_chars", "n_by_tree", "n_by_lists"])
 
     wide = tagged(pages).join(materialize(gone, "low"), "host", "left")
-    return wide.select("page_id", "url", "html", "host", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return wide.select("page_id", "url", "html", "host", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_by_tree long, n_by_lists long")
