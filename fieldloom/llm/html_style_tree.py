@@ -39,7 +39,7 @@ from fieldloom.llm.storage import materialize
 #: Branches and single contents below this importance go (a content at 0.1 is on about half of a large host's pages); pages
 #: that are added to those seen, so that a few prove little; weight of presentation in a branch.
 LEAST_BRANCH, LEAST_CONTENT, UNSEEN_PAGES, PRESENTATION = 0.3, 0.1, 2, 0.3
-#: The limit of branches outside <article> and <main>: about two pages for each of its contents. What is only once on a host
+#: The limit of branches that neither are in an <article> or <main> nor hold one: about two pages for each of its contents. What is only once on a host
 #: has an importance of 0.7 there at least.
 LEAST_OUTSIDE = 0.6
 #: Elements farther down than this are one tree node with the element at this level, so that a node's line has an end.
@@ -269,7 +269,7 @@ def tagged(pages: DataFrame) -> DataFrame:
 
 def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Importance of the contents that several pages of a host have, (host, path, feature, bound, importance), and of all
-    branches, (host, path, bound, main, importance). `featured` is read several times and should be a written table."""
+    branches, (host, path, bound, main, importance), where main says that an article or <main> is in or around the branch. `featured` is read several times and should be a written table."""
     held = featured.select("tag", "host", F.explode(F.array_distinct("contents")).alias("x")).select("tag", "host", "x.*")
     several = featured.select("host", F.explode(F.array_distinct("contents.feature")).alias("feature")).groupBy("host", "feature").agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialize(held.join(several, ["host", "feature"]), "repeated")
@@ -295,10 +295,10 @@ def importance(featured: DataFrame) -> tuple[DataFrame, DataFrame]:
     share = F.when(F.col("main"), F.col("importance")).otherwise(1 / F.greatest(F.lit(1.0), F.col("n")))
     lost = rated.groupBy("host", "path").agg(F.sum(F.col("n") * (1 - share)).alias("lost"))
     below = nodes.join(lost, ["host", "path"], "left").withColumn("lost", F.coalesce("lost", F.lit(0.0)))
-    below = below.select("host", F.explode("up").alias("path"), "presentation", "own", "lost", F.when(F.col("own") > 0, 1 - F.col("lost") / F.col("own")).alias("alone"))
+    below = below.select("host", F.explode("up").alias("path"), "presentation", "own", "lost", "main", F.when(F.col("own") > 0, 1 - F.col("lost") / F.col("own")).alias("alone"))
     composite = PRESENTATION * F.avg("presentation") + (1 - PRESENTATION) * (1 - F.sum("lost") / F.sum("own"))
-    branches = below.groupBy("host", "path").agg(F.when(F.sum("own") > 0, F.greatest(composite, F.max("alone"))).otherwise(1.0).alias("importance"))
-    branches = branches.join(nodes.select("host", "path", "bound", "main"), ["host", "path"])
+    branches = below.groupBy("host", "path").agg(F.when(F.sum("own") > 0, F.greatest(composite, F.max("alone"))).otherwise(1.0).alias("importance"), F.max("main").alias("main"))
+    branches = branches.join(nodes.select("host", "path", "bound"), ["host", "path"])
     return rated.select("host", "path", "feature", "bound", "importance"), branches
 
 
