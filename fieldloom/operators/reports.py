@@ -12,28 +12,30 @@ def coverage(stats: DataFrame) -> DataFrame:
     return stats.select("path", share.alias("coverage"), F.when(share < 100, "optional").otherwise("required").alias("cardinality"))
 
 
-#: A value's place is worked out within ranges of about this many distinct values of a group.
+#: Sketches are off by one row in this many at most, and some four times as many rows of a group are sorted.
 VALUES_PER_RANGE = 50_000
 
 
 def at_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """(by, at): the value at 1-based rank max(1, int(share n)) of each group's sorted values.
 
-    Values are counted first; their counts are added up by ranges of values, and only then within the one range that holds
-    the rank. So no task has all values of a group.
+    Quantile sketches, merged over all tasks, give two bounds close around the rank, whatever the values look like; rows below
+    them are only counted, and just those between are sorted. A sketch is off by one row in VALUES_PER_RANGE at most, so only
+    in a group with few rows can its bounds miss the rank, and there all values are sorted.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    spread = counts.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total"), F.count("*").alias("distinct"))
-    place = (F.col(value) - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1)
-    ranges = F.ceil(F.col("distinct") / VALUES_PER_RANGE)
-    dealt = counts.join(spread, by).withColumn("range", F.least(F.floor(place * ranges), ranges - 1))
-    sums = dealt.groupBy(by, "range").agg(F.sum("n").alias("of"), F.first("total").alias("total"))
-    before = F.coalesce(F.sum("of").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.greatest(F.lit(1), F.floor(F.col("total") * share))
-    held = sums.withColumns({"before": before, "rank": rank}).where((F.col("before") < F.col("rank")) & (F.col("before") + F.col("of") >= F.col("rank")))
-    inside = dealt.join(held.select(by, "range", "before", "rank"), [by, "range"])
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(by).orderBy(value))
-    return inside.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy(by).agg(F.min(value).alias("at"))
+    counted = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"))
+    off = 2.0 / VALUES_PER_RANGE
+    around = F.percentile_approx("_v", [max(0.0, share - off), min(1.0, share + off)], VALUES_PER_RANGE)
+    bounds = counted.groupBy(by).agg(around.alias("_bounds"), F.count("*").alias("_n"))
+    bounds = bounds.select(F.col(by).alias("_by"), F.col("_bounds")[0].alias("_low"), F.col("_bounds")[1].alias("_high"), F.greatest(F.lit(1), F.floor(F.col("_n") * share)).alias("_rank"))
+    joined = counted.join(bounds, F.col(by).eqNullSafe(F.col("_by")))
+    sums = joined.groupBy("_by", "_low", "_high", "_rank").agg(F.count_if(F.col("_v") < F.col("_low")).alias("_below"), F.count_if(F.col("_v") <= F.col("_high")).alias("_upto"))
+    held = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
+    sums = sums.select(F.col("_by").alias("_of"), "_rank", F.when(held, F.col("_low")).alias("_from"), F.when(held, F.col("_high")).alias("_to"), F.when(held, F.col("_below")).otherwise(0).alias("_before"))
+    between = counted.join(sums, F.col(by).eqNullSafe(F.col("_of"))).where(F.col("_from").isNull() | ((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))))
+    values = between.groupBy(by, "_v", "_rank", "_before").agg(F.count("*").alias("_times"))
+    upto = F.col("_before") + F.sum("_times").over(Window.partitionBy(by).orderBy("_v"))
+    return values.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_rank")).groupBy(by).agg(F.min("_v").alias("at"))
 
 
 def timings(rows: DataFrame, by: str, value: str) -> DataFrame:

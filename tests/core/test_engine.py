@@ -167,3 +167,16 @@ def test_ranks_pages_and_running_counts(spark, monkeypatch):
     assert [(r.k, r.has_more) for r in reports.page(keys, ["k"], 5, after=(26,)).collect()] == [(k, False) for k in range(27, 30)]
     nodes = spark.createDataFrame([("p" if i % 3 else "q", i) for i in range(1, 40)], "path string, seq long")
     assert all(r.so_far == sum(1 for i in range(1, r.seq + 1) if ("p" if i % 3 else "q") == r.path) for r in profile.running(nodes).collect())
+
+
+def test_ranks_of_uneven_values(spark, monkeypatch):
+    """Heavy tails, ties and one far value: of a large group only what is near the rank is sorted."""
+    monkeypatch.setattr(reports, "VALUES_PER_RANGE", 100)
+    n = 20_000
+    rows = spark.range(n).select((F.col("id") % 2).alias("g"), F.when(F.col("id") == 7, 1e9).when(F.col("id") % 2 == 0, F.floor(F.col("id") / 4) % 50).otherwise(F.pow(F.lit(1.001), F.col("id"))).cast("double").alias("v"))
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.g, []).append(r.v)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r["at"] for r in reports.at_rank(rows, "g", "v", share).collect()}
+        assert got == {g: sorted(v)[max(1, int(len(v) * share)) - 1] for g, v in values.items()}
