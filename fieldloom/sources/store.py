@@ -86,8 +86,9 @@ class Transaction:
 
     def scratch(self, rows: DataFrame) -> DataFrame:
         """Rows as written to a folder that goes when the transaction ends."""
-        self.passing.append(self._written("scratch", rows))
-        return self.store.folders(self.passing[-1:])
+        folder = self._written("scratch", rows)
+        self.passing.append(folder)
+        return self.store.folders([folder])
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Add rows to a table, new or not, and give them back as written."""

@@ -16,6 +16,8 @@ rewritten, and of the buffer the slots of fields that the batch has placed. Tota
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -58,6 +60,12 @@ def observed(change: Transaction, table: str, rows: DataFrame, seen: dict[str, i
     return out
 
 
+def together(*writes: Callable[[], object]) -> list:
+    """The results of several writes that do not need one another, run at the same time so that small jobs fill the cluster."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        return [f.result() for f in [pool.submit(w) for w in writes]]
+
+
 def note(change: Transaction, batch_id: int | None, kind: str, seen: dict[str, int]) -> None:
     """Put a batch or request into the ledger."""
     row = [(batch_id, kind, *(seen.get(c, 0) for c in COUNTERS))]
@@ -88,20 +96,24 @@ def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: D
         parsed = records.select(F.struct("sys_ingested_at", "seq").alias("record_key"), F.parse_json("raw").alias("v"))
         nodes = change.scratch(node_rows(parsed, found.get("levels") or 0))
 
-        counts = type_counts(nodes)
-        counts = change.replace("counts", merge_counts(store.read("counts"), counts) if "counts" in known else counts)
         held = store.read("placements") if "placements" in known else None
-        placed = change.replace("placements", sticky(held, place(field_stats(counts, before + seen["accepted"]))))
 
-        judged = change.scratch(strategies(parsed, nodes, hints))
-        change.append("records", documents(records, judged).select("sys_ingested_at", "username", "t_stamp", "raw", "seq"))
-        derive(change, nodes, judged, placed, seen)
-        if held is not None and "buffer" in known:
-            drain_slots(change, placed, placed.join(held.where("backend <> 'Buffer'"), "path", "left_anti"), seen)
+        def profiled() -> DataFrame:
+            counts = type_counts(nodes)
+            counts = change.replace("counts", merge_counts(store.read("counts"), counts) if "counts" in known else counts)
+            return change.replace("placements", sticky(held, place(field_stats(counts, before + seen["accepted"]))))
+
+        placed, judged = together(profiled, lambda: change.scratch(strategies(parsed, nodes, hints)))
         newest = latest(judged.select("path", "score", "reasons", "mode", "seq"), "path", "seq")
         if "strategies" in known:
             newest = latest(store.read("strategies").unionByName(newest), "path", "seq")
-        change.replace("strategies", newest)
+        together(
+            lambda: change.append("records", documents(records, judged).select("sys_ingested_at", "username", "t_stamp", "raw", "seq")),
+            lambda: change.replace("strategies", newest),
+            lambda: derive(change, nodes, judged, placed, seen),
+        )
+        if held is not None and "buffer" in known:
+            drain_slots(change, placed, placed.join(held.where("backend <> 'Buffer'"), "path", "left_anti"), seen)
         note(change, batch_id, kind, seen)
         change.commit()
         return seen
@@ -124,12 +136,14 @@ def derive(change: Transaction, nodes: DataFrame, judged: DataFrame, placed: Dat
     """
     groups = scalar_groups(nodes) if groups is None else groups
     stamp = F.lit(number).cast("long").alias("change")
-    children = observed(change, "children", child_rows(nodes, groups).select("*", stamp), seen, "children")
-    references = observed(change, "references", reference_rows(judged).select("*", stamp), seen, "references")
     waiting = scalars(nodes, groups).select("record_key", "path", "type", "text", stamp)
     routed, rest = drain(waiting, placed)
-    observed(change, "values", routed.select("record_key", "path", "type", "text", "change", "backend"), seen, "routed")
-    stow(change, rest.select("record_key", "path", "type", "text", "change"), seen)
+    children, references, *_ = together(
+        lambda: observed(change, "children", child_rows(nodes, groups).select("*", stamp), seen, "children"),
+        lambda: observed(change, "references", reference_rows(judged).select("*", stamp), seen, "references"),
+        lambda: observed(change, "values", routed.select("record_key", "path", "type", "text", "change", "backend"), seen, "routed"),
+        lambda: stow(change, rest.select("record_key", "path", "type", "text", "change"), seen),
+    )
     paths = children.select("path", F.lit("children").alias("kind")).unionByName(references.select(F.col("entity_path").alias("path"), F.lit("reference").alias("kind"))).distinct()
     known = change.store.folders(change.held["entities"]).select("path", "kind") if "entities" in change.held else None
     change.replace("entities", paths if known is None else known.unionByName(paths).distinct())

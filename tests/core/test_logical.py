@@ -111,7 +111,7 @@ def test_update_is_read_back(store):
     ask = lambda data, filters: requests.execute(store, {"operation": "update", "filters": filters, "data": data})
     assert ask({"age": 99, "fresh": {"a": [1]}}, {"username": "u1"})["updated"] == 1
     row = get(store, ["age", "fresh"], {"username": "u1"})[0]
-    assert (row["age"], row["fresh"]) == (99, '{"a":[1]}') and get(store, ["fresh.a"], {"username": "u1"})[0]["fresh.a"] == "[1]"
+    assert (row["age"], row["fresh"]) == (99, '{"a":[1]}') and get(store, ["fresh.a"], {"username": "u1"})[0]["fresh.a"] == ['{"value":1}']
     assert [r["username"] for r in get(store, ["age"], {"age": 99})] == ["u1"] and get(store, ["age"], {"age": 1}) == []
     assert get(store, ["age"], {"username": "u2"})[0]["age"] == 2
     assert ask({"profile.bio": "new", "profile.more.deep": 1}, {"username": "u4"})["updated"] == 1
