@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import RequestError, predicate
+from fieldloom.functions.types import detect_type, numbered_name
 from fieldloom.operators.overlay import changed_fields, without_deleted
-from fieldloom.operators.paths import ODD_KEY, is_top, quoted, scalar_groups, top_of, walk
+from fieldloom.operators.paths import ODD_KEY, depth, is_top, quoted, scalar_groups, top_of
+from fieldloom.operators.profile import type_counts
 from fieldloom.plans import fields as planner
 from fieldloom.plans.fields import Field
 from fieldloom.sources.store import SnapshotStore
@@ -318,7 +320,7 @@ def derive_changes(store: SnapshotStore, change, new: DataFrame, base: int, numb
     key = F.when(F.col("path").rlike(ODD_KEY), quoted(F.col("path"))).otherwise(F.col("path"))
     fields = new.groupBy(KEY, "seq").agg(F.map_from_entries(F.collect_list(F.struct("path", F.parse_json("value").alias("v")))).alias("m"))
     parsed = fields.select(F.struct(KEY, "seq").alias("record_key"), F.parse_json(F.to_json("m")).alias("v"))
-    nodes = change.scratch(ingest.node_rows(parsed, parsed_depth(parsed)))
+    nodes = change.scratch(ingest.node_rows(parsed, depth(parsed)))
     groups, bases = touched_groups(store, new, base)
     judged = change.scratch(ingest.strategies(parsed, nodes).where(~F.col("path").isin(*CORE)))
     stamped = new.select(KEY, "path", "value", F.lit(number).cast("long").alias("change"), F.lit(False).alias("mark"))
@@ -327,16 +329,8 @@ def derive_changes(store: SnapshotStore, change, new: DataFrame, base: int, numb
     ingest.derive(change, nodes, judged, store.read("placements", base), seen, number, groups)
 
 
-def parsed_depth(parsed: DataFrame) -> int:
-    from fieldloom.operators.paths import depth
-
-    return depth(parsed)
-
-
 def touched_groups(store: SnapshotStore, new: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
     """Groups of numbered scalars of the records hit, with the changes, that a change belongs to; and (name, base) of the changed names."""
-    from fieldloom.functions.types import numbered_name
-
     stem, digits = numbered_name(F.col("path"))
     bases = new.select("path").distinct().select(F.col("path").alias("name"), stem.alias("base"), digits.alias("digits")).where("base <> ''").select("name", "base")
     held = without_deleted(store.read("records", base), KEY, store.read("tombstones", base) if "tombstones" in store.manifest(base) else None)
@@ -347,8 +341,6 @@ def touched_groups(store: SnapshotStore, new: DataFrame, base: int) -> tuple[Dat
     everything = stored.unionByName(new.select(KEY, "seq", "path", "value", F.lit(base + 1).cast("long").alias("change")))
     stem_, _ = numbered_name(F.col("path"))
     mine = everything.withColumn("base", stem_).join(bases.select("base").distinct(), "base", "left_semi").groupBy(KEY, "path").agg(F.max_by("value", "change").alias("value"))
-    from fieldloom.functions.types import detect_type
-
     value = F.parse_json("value")
     nodes = mine.select(F.col(KEY).alias("record_key"), "path", value.alias("value"), detect_type(value).alias("type"))
     return scalar_groups(nodes), bases
@@ -426,6 +418,8 @@ def compact(store: SnapshotStore) -> int:
             else:
                 change.replace(table, rows.withColumn("change", F.lit(0).cast("long")))
         change.replace("records", folded(store, base))
+        if "changes" in manifest:
+            change.replace("counts", store.read("counts", base).unionByName(counts_of_changes(store, base)))
         for table in ("changes", "tombstones"):
             if table in manifest:
                 change.replace(table, store.read(table, base).limit(0))
@@ -435,6 +429,16 @@ def compact(store: SnapshotStore) -> int:
         raise
 
 
+def counts_of_changes(store: SnapshotStore, base: int) -> DataFrame:
+    """Statistics (path, type, n, ...) of paths that only updates have set, so that the catalog knows them once changes are folded."""
+    last = store.read("changes", base).where("not mark").groupBy(KEY, "path").agg(F.max_by("value", "change").alias("value"))
+    fields = last.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", F.parse_json("value").alias("v")))).alias("m"))
+    parsed = fields.select(F.struct(KEY, F.lit(0).cast("long").alias("seq")).alias("record_key"), F.parse_json(F.to_json("m")).alias("v"))
+    counts = store.read("counts", base)
+    new = type_counts(ingest.node_rows(parsed, depth(parsed))).join(counts.select("path").distinct(), "path", "left_anti")
+    return new.select(*counts.columns)
+
+
 def folded(store: SnapshotStore, base: int) -> DataFrame:
     """Records that are not deleted, with changed fields in their documents; fields kept apart keep their mark."""
     manifest = store.manifest(base)
