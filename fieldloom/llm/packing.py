@@ -5,7 +5,9 @@ dynamic programme over a bitset; the combination is removed as often as the coun
 repeating the search would do. The search needs only the number of pieces of each length, at most `capacity` numbers, so
 its plan stays small whatever the input; pieces are numbered within their length and mapped to bins by Spark.
 
-Null texts count as empty (one end id). Repeated documents are packed each for itself. An empty table has no pieces.
+Null texts count as empty (one end id). Very long texts are encoded whole and cut into pieces. Bins that fill equally well
+take the longest pieces first, and pieces of one length are interchangeable, so ties change no bin's fill. Repeated documents
+are packed each for itself. An empty table has no pieces. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

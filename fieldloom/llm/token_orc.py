@@ -2,7 +2,9 @@
 
 Writers sort by document id, so row-index and stripe statistics prune ranges and the Bloom filters on the id column
 prune point reads; stripes are read in parallel. Null texts count as empty; repeated ids keep all their rows, in order of
-their text's hash; a null id comes first; an empty table gives no rows. Columns besides id and text are not written.
+their text's hash; a null id comes first; an empty table gives no rows. Columns besides id and text are not written. Very long
+texts are encoded and written whole. As files follow the order of ids, all rows of one id, and all of the null id, are written
+by one task: ids are taken to be nearly unique.
 """
 
 from __future__ import annotations
