@@ -2,6 +2,11 @@
 
 Each stage takes what the one before kept, and all but the last return the columns of documents. Results are written to
 the shared folder between stages, so a lost executor costs no stage.
+
+A null or empty text fails the base rule and goes in the first stage; a null id or any other null column is kept as it is,
+and a null language has no cutoffs of its own. Very long texts are judged and packed whole. Of repeated rows and copies one
+stays, the one with the least id. Ties are settled by ids, so runs agree. An empty table gives no rows, and documents may have
+any further columns, of whatever name: they travel along to the last stage.
 """
 
 from __future__ import annotations
