@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.types import detect_type
+from fieldloom.operators.paths import ODD_KEY, depth, quoted
+
 SAMPLES, SAMPLE_LENGTH = 8, 120
 
 
@@ -22,6 +25,33 @@ def type_counts(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
 
 
+def record_counts(records: DataFrame, levels: int | None = None) -> DataFrame:
+    """type_counts of records (seq, v VARIANT) themselves: what a record counts for is settled within its row.
+
+    Nodes are neither exploded nor shuffled; only the counts of each task are. A row holds one level of its record at a time.
+    """
+    of = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+    dot = lambda path: F.concat(path, F.when(path != "", ".").otherwise(""))
+
+    def below(node: Column) -> Column:
+        path, value, kind = node["path"], node["value"], F.schema_of_variant(node["value"])
+        keyed = lambda k: F.when(k.rlike(ODD_KEY), F.concat(path, quoted(k))).otherwise(F.concat(dot(path), k))
+        of_dict = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: of(keyed(e["key"]), e["value"]))
+        of_list = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: of(F.concat(path, F.lit("[]")), x))
+        return F.when(kind.startswith("OBJECT"), of_dict).when(kind.startswith("ARRAY"), of_list)
+
+    typed = lambda node: F.struct(node["path"].alias("path"), detect_type(node["value"]).alias("type"))
+    rows = records.select("seq", F.array(of(F.lit(""), F.col("v"))).alias("level"), F.array().cast("array<struct<path:string,type:string>>").alias("seen"))
+    for _ in range(depth(records) if levels is None else levels):
+        rows = rows.select("seq", "seen", F.flatten(F.filter(F.transform("level", below), lambda x: x.isNotNull())).alias("level"))
+        rows = rows.select("seq", "level", F.array_distinct(F.concat("seen", F.transform("level", typed))).alias("seen"))
+    rows = rows.select("seq", F.array_sort("seen").alias("seen"))
+    same = lambda x, i: F.coalesce(F.get("seen", i)["path"] == x["path"], F.lit(False))
+    settled = F.transform("seen", lambda x, i: F.struct(x["path"].alias("path"), F.when(same(x, i - 1) | same(x, i + 1), "mixed").otherwise(x["type"]).alias("type")))
+    once = rows.select("seq", F.explode(F.array_distinct(settled)).alias("x")).select("seq", "x.*")
+    return once.groupBy("path", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
+
+
 def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Statistics of two sets of records together."""
     return a.unionByName(b).groupBy("path", "type").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))

@@ -167,8 +167,8 @@ STATS = f"""WITH c AS (SELECT path, type, count(*) AS n FROM ({PROFILED}) GROUP
 
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = paths.walk(event_records(spark, sf_dir), 2).withColumn("seq", F.col("record_key"))
-    return profile.field_stats(profile.type_counts(nodes), table(spark, sf_dir, "events").count())
+    records = event_records(spark, sf_dir).withColumnRenamed("record_key", "seq")
+    return profile.field_stats(profile.record_counts(records, 2), table(spark, sf_dir, "events").count())
 
 
 @query(STATS + " SELECT path, appearances, dominant_type, round(frequency, 4) AS frequency, round(stability, 4) AS stability, round(drift, 6) AS drift, round(null_ratio, 6) AS null_ratio FROM f")

@@ -10,6 +10,19 @@ def test_records_of_equal_place_count_apart(spark):
     assert {(r.type, r.n) for r in profile.type_counts(nodes.drop("record_key")).collect()} == {("mixed", 1)}
 
 
+def test_counts_within_rows_are_those_of_nodes(spark):
+    texts = ['{"a": [1, "x", 2], "b": [{"c": 1, "d.e": null}, {"c": 2.5}], "": {"it\'s": [[1], [true]]}}', '{"a": [], "b": [{"c": 1}], "e": "2024-01-15T10:30:00"}', "{}", "[1, {\"k\": 2}]", '{"a": 1}', '{"a": 1}']
+    records = spark.createDataFrame(list(enumerate(texts)), "seq long, raw string").select("seq", F.col("seq").alias("record_key"), F.parse_json("raw").alias("v"))
+    nodes = paths.walk(records).withColumn("seq", F.col("record_key"))
+    want = {tuple(r) for r in profile.type_counts(nodes).collect()}
+    got = profile.record_counts(records)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+    assert {(r.path, r.type) for r in got.where("path in ('a[]', 'b[].c')").collect()} == {("a[]", "mixed"), ("b[].c", "mixed"), ("b[].c", "integer")}
+    assert profile.record_counts(records.limit(0)).isEmpty()
+    plan = profile.record_counts(records, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_iso_times(spark):
     texts = {"1970-01-02T00:00:00": 86400, "1970-01-02T00:00:00Z": 86400, "1970-01-02T02:00:00+02:00": 86400, "1970-01-01T00:00:01.5": 1, "soon": None, "": None, None: None}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", iso_time(F.col("t")).alias("s")).collect()
