@@ -20,6 +20,7 @@ from fieldloom.operators.overlay import changed_fields, without_deleted
 from fieldloom.operators.paths import ODD_KEY, depth, is_top, quoted, scalar_groups, top_of
 from fieldloom.operators.profile import type_counts
 from fieldloom.plans import fields as planner
+from fieldloom.plans import layout
 from fieldloom.plans.fields import Field
 from fieldloom.sources.store import SnapshotStore
 from fieldloom.streaming import ingest
@@ -61,10 +62,10 @@ def top_fields(store: SnapshotStore, version: int | None = None) -> list[str]:
     return sorted(r["path"] for r in tops.distinct().collect() if r["path"] not in CORE)
 
 
-def base_rows(store: SnapshotStore, tops: list[str], version: int | None) -> tuple[DataFrame, dict[str, Column]]:
-    """(key, username, t_stamp, seq, doc, ...) of all records, and the VARIANT of each first key, with its newest change."""
+def base_rows(store: SnapshotStore, tops: list[str], version: int | None, records: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """(key, username, t_stamp, seq, doc, ...) of all records, or of those given, and the VARIANT of each first key, with its newest change."""
     manifest = store.manifest(version)
-    rows = without_deleted(store.read("records", version), KEY, store.read("tombstones", version) if "tombstones" in manifest else None)
+    rows = without_deleted(store.read("records", version) if records is None else records, KEY, store.read("tombstones", version) if "tombstones" in manifest else None)
     rows = rows.select(KEY, "username", "t_stamp", "seq", F.parse_json("raw").alias("doc"))
     at = {top: F.try_variant_get("doc", planner.json_path([top]), "variant") for top in tops}
     if "changes" not in manifest:
@@ -175,10 +176,7 @@ def entity_columns(store: SnapshotStore, path: str, version: int | None = None)
 
 def child_table(store: SnapshotStore, entity: str, version: int | None = None) -> DataFrame:
     """(parent_sys_ingested_at, item_index, ...): the rows of a group with a typed column for each catalogued scalar of its items."""
-    path = entity_path(store, entity, version)
-    item = F.parse_json("item")
-    typed = [F.try_variant_get(item, planner.json_path([name]), kind).alias(name) for name, kind in entity_columns(store, path, version).items() if name not in ("parent_sys_ingested_at", "item_index")]
-    return ingest.live(store, "children", version).where(F.col("path") == path).select("parent_sys_ingested_at", "item_index", *typed)
+    return layout.child_rows(store, entity_path(store, entity, version), version)
 
 
 def describe(store: SnapshotStore, version: int | None = None) -> DataFrame:

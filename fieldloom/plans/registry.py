@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.predicates import predicate
 from fieldloom.functions.types import detect_type, identifier, iso_time, numbered_name, sql_type, string_type
 from fieldloom.operators import catalog, nesting, paths, placement, profile, reports
-from fieldloom.plans import logical, requests
+from fieldloom.plans import layout, logical, requests
 from fieldloom.sources import events
 from fieldloom.sources.store import scratch_store
 from fieldloom.streaming import ingest
@@ -509,6 +509,18 @@ def typed_child_rows(spark, sf_dir):
     return rows.groupBy("l_partkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("SELECT 'o' || o_orderkey AS username, o_orderstatus AS status, count(l_orderkey) AS n, coalesce(sum(l_partkey), 0)::BIGINT AS parts, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL")
+def nested_typed_rows(spark, sf_dir):
+    """Records with the typed rows of a group, laid out in buckets by parent and put together without a shuffle; some are deleted since."""
+    store = ingested_orders(spark, sf_dir)
+    layout.lay_out(store, 8)
+    answered(store, {"operation": "delete", "filters": {"status": "P"}})
+    rows = layout.nested(store, "lines", ["status"])
+    parts = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["l_partkey"])
+    quantity = F.aggregate("items", F.lit(0.0), lambda a, x: a + x["l_quantity"])
+    return rows.select("username", "status", F.size("items").cast("long").alias("n"), parts.alias("parts"), F.round(quantity, 2).alias("quantity"))
+
+
 @query("""WITH f AS (SELECT c_custkey // 8 AS f, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT -1 - c_nationkey, count(*) FROM customer GROUP BY c_nationkey)
  SELECT 'records' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'buffered', coalesce(sum(n), 0)::BIGINT FROM f WHERE n < 10 UNION ALL SELECT 'routed', coalesce(sum(n), 0)::BIGINT FROM f WHERE n >= 10 UNION ALL SELECT 'fields_buffer', count(*) FROM f WHERE n < 10""")
 def buffered_totals(spark, sf_dir):

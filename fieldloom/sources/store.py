@@ -11,7 +11,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,27 @@ class SnapshotStore:
         """The rows of some folders of a table; columns that one lacks are null there."""
         return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{name}" for name in names))
 
+    def buckets(self, folder: str, by: str) -> DataFrame:
+        """The rows of a folder that was written in buckets of `by`, so that joins and groups by it need no shuffle."""
+        name, count = bucketed_name(folder)
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.folders([folder]).schema)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {count} BUCKETS LOCATION '{self.qualified(folder)}'")
+        return self.spark.table(name)
+
+    def qualified(self, folder: str) -> str:
+        return self.fs.makeQualified(self._path(folder)).toString()
+
     def begin(self) -> Transaction:
         return Transaction(self)
 
 
+def bucketed_name(folder: str) -> tuple[str, int]:
+    """The session's table for a folder `.../<hexadecimal>.<buckets>`, and the number of buckets."""
+    name, count = folder.rpartition("/")[2].split(".")
+    return f"fieldloom_{name}", int(count)
+
+
 class Transaction:
     """Changes that become visible together or not at all. States: pending, prepared, committed, aborted."""
 
@@ -84,9 +101,9 @@ class Transaction:
         self.staged[table] = [self._written(table, rows)]
         return self.store.folders(self.staged[table])
 
-    def scratch(self, rows: DataFrame) -> DataFrame:
-        """Rows as written to a folder that goes when the transaction ends."""
-        folder = self._written("scratch", rows)
+    def scratch(self, rows: DataFrame, *by: str) -> DataFrame:
+        """Rows as written to a folder that goes when the transaction ends, with a folder in it for each value of `by`."""
+        folder = self._written("scratch", rows, *by)
         self.passing.append(folder)
         return self.store.folders([folder])
 
@@ -102,6 +119,20 @@ class Transaction:
         parts = [s.getPath().getName() for s in self.store.fs.listStatus(self.store._path(folder)) if s.isDirectory()]
         self.staged[table] = [*self._folders(table), *(f"{folder}/{part}" for part in sorted(parts) if part.startswith(f"{by}="))]
 
+    def append_buckets(self, table: str, rows: DataFrame, by: str, order: list[str], buckets: int) -> None:
+        """Add rows in buckets of `by`, one file each and sorted, as a folder for SnapshotStore.buckets; none if there are no rows."""
+        if self.state != "pending":
+            raise ConflictError(f"the transaction is {self.state}")
+        folder, watch = f"data/laid/{uuid.uuid4().hex}.{buckets}", Observation()
+        self.new.append(folder)
+        spread = rows.observe(watch, F.count(F.lit(1)).alias("n")).repartition(buckets, by).sortWithinPartitions(*order)
+        spread.write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", self.store.qualified(folder)).saveAsTable(bucketed_name(folder)[0])
+        if watch.get.get("n", 0):
+            self.staged[table] = [*self._folders(table), folder]
+            return
+        self.store.spark.sql(f"DROP TABLE {bucketed_name(folder)[0]}")
+        self.store.fs.delete(self.store._path(folder), True)
+
     def forget(self, table: str, folders: list[str]) -> None:
         """Leave folders out of a table, whose rows others have taken over."""
         self.staged[table] = [f for f in self._folders(table) if f not in set(folders)]

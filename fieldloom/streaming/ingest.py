@@ -45,10 +45,10 @@ COUNTERS = ("accepted", "rejected", "children", "references", "routed", "buffere
 OWNED = {"records": ("sys_ingested_at", None), "children": ("parent_sys_ingested_at", "path"), "references": ("parent_sys_ingested_at", "entity_path"), "values": ("record_key", "path"), "buffer": ("record_key", "path")}
 
 
-def live(store: SnapshotStore, table: str, version: int | None = None) -> DataFrame:
-    """The rows of a table that neither a deletion nor a later change of their field has made void."""
+def live(store: SnapshotStore, table: str, version: int | None = None, folders: list[str] | None = None) -> DataFrame:
+    """The rows of a table, or of some of its folders, that neither a deletion nor a later change of their field has made void."""
     manifest, (key, path) = store.manifest(version), OWNED[table]
-    rows = without_deleted(store.read(table, version), key, store.read("tombstones", version) if "tombstones" in manifest else None)
+    rows = without_deleted(store.folders(folders) if folders else store.read(table, version), key, store.read("tombstones", version) if "tombstones" in manifest else None)
     return without_stale(rows, key, top_of(F.col(path)), store.read("changes", version) if "changes" in manifest else None) if path else rows
 
 
