@@ -29,6 +29,20 @@ def with_hints(entities: DataFrame, hints: DataFrame) -> DataFrame:
     return entities.withColumn("_last", last).join(whole, "path", "left").join(part, "_last", "left").select(*entities.columns, F.coalesce("_whole", "_part").alias("hint"))
 
 
+def entity_hints(schemas: DataFrame) -> DataFrame:
+    """(path, hint) of schemas (schema_json): what their `entities` say of each path, if it is a dictionary.
+
+    A flag holds only where it is `true`, and a number of items is taken only where it is whole.
+    """
+    entities = F.try_variant_get(F.try_parse_json("schema_json"), "$.entities", "map<string,variant>")
+    rows = schemas.select(F.explode(F.map_entries(entities)).alias("e")).select("e.*").where(F.schema_of_variant("value").startswith("OBJECT"))
+    of = lambda name, kind, cast: F.when(F.schema_of_variant(F.try_variant_get("value", f"$.{name}", "variant")) == kind, F.try_variant_get("value", f"$.{name}", cast))
+    flags = [F.coalesce(of(name, "BOOLEAN", "boolean"), F.lit(False)).alias(name) for name in ("frequently_updated", "shared", "unbounded")]
+    most = of("expected_max_items", "BIGINT", "long")
+    items = F.when(most.isNotNull(), F.least(most, F.lit(2**31 - 1))).cast("int").alias("expected_max_items")
+    return rows.select(F.col("key").alias("path"), F.struct(*flags, items).alias("hint"))
+
+
 def shared_entities(nested: DataFrame) -> DataFrame:
     """(name, parents): names of nested values (path) that occur below more than one parent."""
     plain = F.regexp_replace("path", r"\[[0-9]+\]", "")

@@ -85,9 +85,8 @@ def group_items(store: SnapshotStore, path: str, keys: DataFrame | None, version
     """
     children = ingest.live(store, "children", version).where(F.col("path") == path)
     deep = F.map_concat(F.try_variant_get(F.parse_json("item"), "$", "map<string,variant>"), F.try_variant_get(F.parse_json("rest"), "$", "map<string,variant>"))
-    scalar = F.col("item").startswith('{"value":') & F.col("rest").isNull()
     item = F.when(F.col("rest").isNull(), F.col("item")).otherwise(F.to_json(deep))
-    rows = children.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(False).alias("apart"), F.lit(False).alias("whole"), "item_index", F.when(scalar, item).otherwise(item).alias("json"))
+    rows = children.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(False).alias("apart"), F.lit(False).alias("whole"), "item_index", item.alias("json"))
     payloads = ingest.live(store, "references", version).where(top_of(F.col("entity_path")) == path)
     rows = rows.unionByName(payloads.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(True).alias("apart"), "whole", "item_index", F.col("payload").alias("json")))
     if keys is not None:
@@ -320,7 +319,7 @@ def derive_changes(store: SnapshotStore, change, new: DataFrame, base: int, numb
     parsed = fields.select(F.struct(KEY, "seq").alias("record_key"), F.parse_json(F.to_json("m")).alias("v"))
     nodes = change.scratch(ingest.node_rows(parsed, depth(parsed)))
     groups, bases = touched_groups(store, new, base)
-    judged = change.scratch(ingest.strategies(parsed, nodes).where(~F.col("path").isin(*CORE)))
+    judged = change.scratch(ingest.strategies(parsed, nodes, ingest.registered_hints(store, base)).where(~F.col("path").isin(*CORE)))
     stamped = new.select(KEY, "path", "value", F.lit(number).cast("long").alias("change"), F.lit(False).alias("mark"))
     marks = new.join(bases, new["path"] == bases["name"]).select(KEY, F.col("base").alias("path"), F.lit(None).cast("string").alias("value"), F.lit(number).cast("long").alias("change"), F.lit(True).alias("mark")).distinct()
     change.append("changes", stamped.unionByName(marks))

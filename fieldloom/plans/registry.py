@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.predicates import predicate
 from fieldloom.functions.types import detect_type, identifier, iso_time, numbered_name, sql_type, string_type
 from fieldloom.operators import catalog, nesting, paths, placement, profile, reports
-from fieldloom.plans import layout, logical, requests
+from fieldloom.plans import control, layout, logical, requests
 from fieldloom.sources import events
 from fieldloom.sources.store import scratch_store
 from fieldloom.streaming import ingest
@@ -373,10 +373,12 @@ def stream_ingest_total(spark, sf_dir):
     return store.read("batches").agg((F.sum("accepted") + F.sum("rejected")).alias("records"), F.sum("accepted").alias("accepted"))
 
 
-def ingested(spark: SparkSession, records: DataFrame, batches: int = 2):
-    """A new store with records (id, v VARIANT), ingested in batches by the remainder of their id."""
+def ingested(spark: SparkSession, records: DataFrame, batches: int = 2, schemas: tuple[dict, ...] = ()):
+    """A new store with records (id, v VARIANT), ingested in batches by the remainder of their id; before each, a schema is registered."""
     store = scratch_store(spark)
     for k in range(batches):
+        if k < len(schemas):
+            control.register_schema(store, schemas[k])
         mine = records.where(F.pmod("id", F.lit(batches)) == k).select(F.to_json("v").alias("raw"), "v", F.lit(False).alias("rejected"))
         ingest.ingest_batch(store, mine, k)
     return store
@@ -413,13 +415,13 @@ def read_nested_field(spark, sf_dir):
     return answer["data"].groupBy(F.col("`props.k`").alias("k")).agg(F.count("*").alias("n"))
 
 
-def ingested_orders(spark: SparkSession, sf_dir: str, *more):
-    """Orders as records with their lines as a list, ingested; `more` are further columns of the records."""
+def ingested_orders(spark: SparkSession, sf_dir: str, *more, schemas: tuple[dict, ...] = ()):
+    """Orders as records with their lines as a list, ingested; `more` are further columns of the records, schemas those of the batches."""
     item = F.struct("l_linenumber", "l_partkey", "l_quantity", F.array(F.struct(F.col("l_suppkey").alias("key"))).alias("suppliers"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("lines"))
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     record = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("username"), F.col("o_orderstatus").alias("status"), "lines", *more)
-    return ingested(spark, rows.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(record)).alias("v")))
+    return ingested(spark, rows.select(F.col("o_orderkey").alias("id"), F.parse_json(F.to_json(record)).alias("v")), schemas=schemas)
 
 
 @query("SELECT 'o' || o_orderkey AS username, count(l_orderkey) AS n, coalesce(sum(l_partkey), 0)::BIGINT AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL")
@@ -545,6 +547,32 @@ def describe_store(spark, sf_dir):
     return logical.describe(ingested_orders(spark, sf_dir))
 
 
+LISTS = "WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)"
+
+
+@query(f"{LISTS} SELECT (k % 2)::INT AS batch, n > 3 AS long, count(*) AS n, count(*) FILTER (n > 3 OR k % 2 = 1) AS referenced FROM l GROUP BY ALL")
+def registered_schemas(spark, sf_dir):
+    """Lists that are kept apart as the schema says that was active when they came; flags that are no booleans say nothing."""
+    store = ingested_orders(spark, sf_dir, schemas=({"entities": {"lines": {"unbounded": "yes", "shared": 1}}}, {"entities": {"lines": {"expected_max_items": 11}}}))
+    kept = store.read("references").select(F.col("parent_sys_ingested_at").alias("key")).distinct().withColumn("kept", F.lit(1))
+    rows = store.read("children").groupBy(F.col("parent_sys_ingested_at").alias("key")).agg(F.count("*").alias("items")).join(kept, "key", "left")
+    batch = F.regexp_extract("key", r"\.([0-9]{8})\.[0-9]+$", 1).cast("int")
+    return rows.groupBy(batch.alias("batch"), (F.col("items") > 3).alias("long")).agg(F.count("*").alias("n"), F.count("kept").alias("referenced"))
+
+
+@query(f"{LISTS} SELECT 'records' AS name, 'root' AS kind, '' AS path, count(*) AS instances FROM orders UNION ALL SELECT 'norm_lines', 'children', 'lines', coalesce(sum(n), 0)::BIGINT FROM l UNION ALL SELECT 'ref_lines', 'reference', 'lines', coalesce(sum(n), 0)::BIGINT FROM l WHERE n > 3")
+def store_parts(spark, sf_dir):
+    """The root, child tables and collections of an ingested store, with their rows."""
+    return control.parts(ingested_orders(spark, sf_dir))
+
+
+@query("SELECT least(count(*), 30) AS n, count(*) > 30 AS has_more, least(count(*), 30) AS users FROM orders WHERE ('o' || o_orderkey) LIKE 'o1%'")
+def records_of_page(spark, sf_dir):
+    """A page of records of users whose name begins so, and whether there are more."""
+    page = control.records_page(ingested_orders(spark, sf_dir), limit=30, username="O1")
+    return page.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("has_more"), F.lit(False)).alias("has_more"), F.count_distinct("username").alias("users"))
+
+
 @query("SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R') AS lines")
 def delete_entity_rows(spark, sf_dir):
     """A delete that names an entity takes that entity's rows and leaves the records."""

@@ -9,6 +9,7 @@ children     items of repeating groups: scalar keys in item, nested ones in rest
 references   values that are kept apart; the document has `<field>_ref_collection` in place of the field
 entities     paths of groups and referenced values; batches: a ledger of what each batch or request has added
 changes, tombstones    updates and deletions, see operators.overlay
+schemas      registered schemas by version, see plans.control
 
 What a batch adds goes into new folders, so bytes written grow with the batch. Only tables with some rows a field are
 rewritten, and of the buffer the slots of fields that the batch has placed. Totals are observed while the rows are written.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldloom.functions.types import depth, entity_name
-from fieldloom.operators.catalog import latest, shared_entities, with_hints
+from fieldloom.operators.catalog import active_schema, entity_hints, latest, shared_entities, with_hints
 from fieldloom.operators.nesting import mode, reference_score
 from fieldloom.operators.numbering import numbered
 from fieldloom.operators.overlay import without_deleted, without_stale
@@ -76,13 +77,14 @@ def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: D
     """Add parsed events (raw, v, rejected) to the store and give back what was counted; a batch that is in stays in once.
 
     Records of later batches sort behind those of earlier ones. Field statistics are merged, not recomputed. A field that
-    was placed keeps its place. `hints` are (path, hint struct) of a registered schema.
+    was placed keeps its place. `hints` are (path, hint struct), those of the store's active schema if none are given.
     """
     known = store.manifest()
     ledger = store.read("batches") if "batches" in known else None
     if ledger is not None and not ledger.where((F.col("batch_id") == batch_id) & (F.col("kind") == kind)).isEmpty():
         return {}
     before = ledger.agg(F.sum("accepted")).first()[0] if ledger is not None else 0
+    hints = registered_hints(store) if hints is None else hints
     change, seen = store.begin(), dict.fromkeys(COUNTERS, 0)
     try:
         watch = Observation()
@@ -122,6 +124,11 @@ def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: D
         raise
 
 
+def registered_hints(store: SnapshotStore, version: int | None = None) -> DataFrame | None:
+    """(path, hint) of the active schema, as long as that schema has entities; None without a schema."""
+    return entity_hints(active_schema(store.read("schemas", version))) if "schemas" in store.manifest(version) else None
+
+
 def node_rows(parsed: DataFrame, levels: int) -> DataFrame:
     """(record_key, seq, path, type, value) of all nodes. Of nested values only items of lists outside of lists are kept."""
     item = F.col("path").rlike(r"\A[^\[]*\[[0-9]+\]\z|\A\[['\"].*['\"]\]\[[0-9]+\]\z")
@@ -288,7 +295,10 @@ def strategies(parsed: DataFrame, nodes: DataFrame, hints: DataFrame | None = No
     kind = F.schema_of_variant("e.value")
     top = entries.where(kind.rlike("^(ARRAY|OBJECT)")).select(F.col("sys_ingested_at").alias("record_key"), "seq", F.when(F.col("e.key").rlike(ODD_KEY), quoted(F.col("e.key"))).otherwise(F.col("e.key")).alias("path"), F.col("e.value").alias("value"), F.when(kind.startswith("ARRAY"), "list").otherwise("dict").alias("type"))
     top = top.join(shared, F.col("path") == F.col("_name"), "left")
-    top = with_hints(top, hints) if hints is not None else top.withColumn("hint", F.lit(None).cast(f"struct<{HINT.replace(' ', ': ')}>".replace(",: ", ", ")))
+    if hints is not None:
+        top = with_hints(top.withColumn("_at", F.col("path")).withColumn("path", top_of(F.col("path"))), hints).withColumn("path", F.col("_at"))
+    else:
+        top = top.withColumn("hint", F.lit(None).cast(f"struct<{HINT.replace(' ', ': ')}>".replace(",: ", ", ")))
     items = F.try_variant_get("value", "$", "array<variant>")
     holds = F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     score, reasons = reference_score(F.size(F.when(F.col("type") == "list", items)), F.coalesce(holds, F.lit(False)), F.size(F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))), depth(F.col("path")), F.col("_name").isNotNull(), F.col("hint"))
@@ -345,7 +355,7 @@ def drain(buffered: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def totals(store: SnapshotStore) -> DataFrame:
-    """(metric, value): records, rejected, batches, fields, fields by backend, strategies by mode, and rows of each kind.
+    """(metric, value): records, rejected, batches, fields, fields by backend, strategies by mode, schema versions, and rows of each kind.
 
     Rows were counted while they were written, so only the ledger and the tables with some rows a field are read.
     """
@@ -358,5 +368,7 @@ def totals(store: SnapshotStore) -> DataFrame:
     fields = store.read("placements").agg(F.count("*").alias("fields"), F.count_if(F.col("backend") != "Buffer").alias("decisions"), *backends)
     modes = store.read("strategies").agg(F.count_if(F.col("mode") == "reference").alias("referenced"), F.count_if(F.col("mode") == "embed").alias("embedded"))
     tables = store.read("entities").agg(F.count_if(F.col("kind") == "children").alias("tables"), F.count_if(F.col("kind") == "reference").alias("collections"))
+    schemas = store.read("schemas") if "schemas" in store.manifest() else None
+    versions = (ledger.limit(0) if schemas is None else schemas).agg(F.count("*").alias("versions"))
     metrics = lambda part: part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for c in part.columns])).alias("x")).select("x.*")
-    return reduce(DataFrame.unionByName, map(metrics, [sums, fields, modes, tables]))
+    return reduce(DataFrame.unionByName, map(metrics, [sums, fields, modes, tables, versions]))
