@@ -2,19 +2,26 @@
 
 A text is cut where its pre-tokenizer would cut it anyway (white space for the word vocabulary, in front of a space for
 the byte-level one), so the ids of the pieces, joined, are the ids of the text. Pieces are kept in a dictionary of
-bounded size; what is missing is encoded by the library in joined runs, with a separator that no plain piece holds.
+bounded size. Of what is missing, words of plain letters go to the library's model one by one, as each is one pre-token;
+all else is encoded by the library in joined runs, with a separator that no plain piece holds.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Most entries of a worker's dictionary; beyond it the dictionary is emptied and fills again.
-CACHE_ENTRIES = 1_000_000
+from fieldloom.llm.bpe_trie import byte_signs
+
+#: Most entries of a worker's dictionary. It has two halves: when the newer one is full it takes the place of the older
+#: one, out of which pieces that are wanted again come back.
+CACHE_ENTRIES = 500_000
 #: Longer pieces are encoded each time they occur.
 CACHED_LENGTH = 48
 JOINED = 4000
@@ -24,27 +31,41 @@ _PLAIN = re.compile(r"[!-~À-įı-ɏ]+")
 _LOWERED = re.compile(r"[\x00-ɏ]*")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
-
-
-def _raw(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+_BYTE_SIGNS = str.maketrans({chr(b): s for b, s in enumerate(byte_signs())})
+_TOKEN_ID = attrgetter("id")
+_PROBES = ["a", "the", "Zahl", "été", "straßenbahn", "ĳŉ"]
+_WIDE_GAP = re.compile(r"[ \n]\s|\s[ \n]")
 
 
 class _Cached:
-    """Shared by both vocabularies: the dictionary and the library behind it."""
+    """Shared by both vocabularies: the dictionaries and the library behind them."""
 
     separator, lead = "\n", ""
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
-        self.chunks: dict[str, bytes] = {}
+        #: The ids of pieces by what stands in front of them, and those of signs at the end of a word.
+        self.chunks: dict[str, dict[str, bytes]] = {"": {}, self.lead: {}}
+        self.older: dict[str, dict[str, bytes]] = {"": {}, self.lead: {}}
         self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        #: Whether the model by itself gives a word's ids, as it does where nothing else is put around words.
+        self.direct = self.words(_PROBES, self.lead) == self.library([self.lead + p for p in _PROBES])
+
+    def signs(self, word: str) -> str:
+        """A word in the model's signs, which stand for bytes."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+
+    def words(self, words: Iterable[str], lead: str) -> list[bytes]:
+        """The ids of words of plain letters, each of which is one pre-token and goes to the library's model at once."""
+        tokenize, before = self.model.tokenize, self.signs(lead).replace(" ", "Ġ")
+        return [array("I", map(_TOKEN_ID, tokenize(before + self.signs(w)))).tobytes() for w in words]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [_raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, pieces: list[str], lead: str) -> list[bytes]:
         """The ids of each piece with `lead` in front."""
@@ -62,43 +83,48 @@ class _Cached:
         return out
 
     def joined(self, run: list[str], lead: str) -> list[bytes]:
+        """The ids of plain pieces, encoded as one text and cut at the separators."""
         if not run:
             return []
-        text = lead + (self.separator + lead).join(run)
-        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.frombuffer(self.library([lead + (self.separator + lead).join(run)])[0], "<u4")
         at = np.flatnonzero(ids == self.separator_id)
         if len(at) != len(run) - 1:
             return self.library([lead + p for p in run])
         raw, ends = ids.tobytes(), at.tolist()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)])]
 
-    def filled(self, wanted: set[str]):
+    def filled(self, wanted: set[str], lead: str):
         """A lookup that has all of `wanted`. A word and the signs after it are pre-tokens of their own, so they are
         encoded apart and each of them once."""
-        chunks = self.chunks
-        missing = [p for p in wanted if p not in chunks]
-        if len(chunks) + len(missing) > CACHE_ENTRIES:
-            chunks.clear()
-            missing = list(wanted)
-        short, long, signed = [], [], []
+        if len(self.chunks[lead]) > CACHE_ENTRIES // 2:
+            self.older[lead], self.chunks[lead] = self.chunks[lead], {}
+        chunks, older = self.chunks[lead], self.older[lead]
+        missing = wanted.difference(chunks)
+        if older:
+            again = missing.intersection(older)
+            chunks.update([(p, older[p]) for p in again])
+            missing -= again
+        words, short, long, signed, direct = set(), [], [], [], self.direct
         for p in missing:
             if len(p) > CACHED_LENGTH:
                 long.append(p)
-            elif (word := p.rstrip(_SIGNS)) is not p and word.isalpha() and _PLAIN.fullmatch(p):
-                signed.append((p, word, p[len(word) :]))
-            else:
+            elif not direct or not (word := p.rstrip(_SIGNS)).isalpha() or not _PLAIN.fullmatch(word):
                 short.append(p)
-        words = {word for _, word, _ in signed}.difference(chunks, short)
+            elif word is p:
+                words.add(p)
+            else:
+                signed.append((p, word, p[len(word) :]))
+        words.update({word for _, word, _ in signed}.difference(chunks))
         if len(self.tails) > CACHE_ENTRIES // 10:
             self.tails.clear()
-        tails = [t for t in {tail for _, _, tail in signed} if t not in self.tails]
+        tails = list({tail for _, _, tail in signed}.difference(self.tails))
         self.tails.update(zip(tails, self.pieces(tails, "")))
-        short += words
-        chunks.update(zip(short, self.pieces(short, self.lead)))
+        chunks.update(zip(short, self.pieces(short, lead)))
+        chunks.update(zip(words, self.words(words, lead)))
         chunks.update([(p, chunks[word] + self.tails[tail]) for p, word, tail in signed])
         if not long:
             return chunks.__getitem__
-        once = dict(zip(long, self.pieces(long, self.lead)))
+        once = dict(zip(long, self.pieces(long, lead)))
         return lambda p: once[p] if p in once else chunks[p]
 
 
@@ -108,12 +134,15 @@ class WordVocabulary(_Cached):
     #: A sign outside the plain pieces that is one token by itself is chosen from these.
     SIGNS = "—–…•“”♥★→©€™"
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, tokenizer: Tokenizer):
+        super().__init__(path, tokenizer)
         one = ((s, self.tokenizer.encode(s, add_special_tokens=False).ids) for s in self.SIGNS)
         sign, ids = next(((s, i) for s, i in one if len(i) == 1 and not _PLAIN.fullmatch(s)), (" ", [-1]))
         self.separator, self.separator_id = f" {sign} ", ids[0]
 
+    def signs(self, word: str) -> str:
+        return super().signs(word.lower())
+
     def lowered(self, text: str) -> str:
         """The text in lower case, as the vocabulary's normalizer has it, where that is plain."""
         lower = text.lower()
@@ -122,7 +151,7 @@ class WordVocabulary(_Cached):
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [None if _CONTROL_SPACE.search(t) else self.lowered(t).split() for t in texts]
-        get = self.filled(set().union(*(c for c in cut if c)))
+        get = self.filled(set().union(*(c for c in cut if c)), "")
         return [self.library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
@@ -131,33 +160,31 @@ class ByteVocabulary(_Cached):
 
     lead = " "
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.separator_id = self.tokenizer.encode(self.separator, add_special_tokens=False).ids[0]
-        self.line_break = _raw([self.separator_id])
+    def __init__(self, path: str, tokenizer: Tokenizer):
+        super().__init__(path, tokenizer)
+        self.line_break = self.library([self.separator])[0]
+        self.separator_id = int(np.frombuffer(self.line_break, "<u4")[0])
 
     def cut(self, text: str) -> list[list[str]] | None:
         """Lines of words that are held apart by single spaces and line breaks; None if the text isn't such."""
         if not text or _CONTROL_SPACE.search(text) or text != text.strip():
             return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        for words in lines:
-            if "" in words or any(w[-1].isspace() or w[0].isspace() for w in words):
-                return None
-        return lines
+        # As many words as single spaces and line breaks give: there is no other white space to look at.
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 and _WIDE_GAP.search(text):
+            return None
+        return [line.split(" ") for line in text.split("\n")]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [self.cut(t) for t in texts]
-        get = self.filled(set().union(*(words[1:] for lines in cut if lines for words in lines)))
-        heads = list({words[0] for lines in cut if lines for words in lines})
-        first = dict(zip(heads, self.pieces(heads, "")))
+        get = self.filled(set().union(*(words[1:] for lines in cut if lines for words in lines)), self.lead)
+        first = self.filled({words[0] for lines in cut if lines for words in lines}, "")
         odd = iter(self.library([t for t, lines in zip(texts, cut) if not lines]))
-        return [self.line_break.join([first[w[0]] + b"".join(map(get, w[1:])) for w in lines]) if lines else next(odd) for lines in cut]
+        return [self.line_break.join([first(w[0]) + b"".join(map(get, w[1:])) for w in lines]) if lines else next(odd) for lines in cut]
 
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> WordVocabulary | ByteVocabulary:
     """The encoder for a tokenizer file; a Python worker keeps it from task to task."""
-    model = Tokenizer.from_file(path).model
-    return (WordVocabulary if getattr(model, "end_of_word_suffix", None) else ByteVocabulary)(path)
+    tokenizer = Tokenizer.from_file(path)
+    return (WordVocabulary if getattr(tokenizer.model, "end_of_word_suffix", None) else ByteVocabulary)(path, tokenizer)

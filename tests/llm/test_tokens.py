@@ -111,3 +111,25 @@ def test_op8_edges(spark, tmp_path):
     assert rows == [(None, 0, 3), (1, 3, 1), (2, 4, 2), (2, 6, 2)]
     token_orc.write_tokens(docs.where(F.lit(False)), str(tmp_path / "e"), path)
     assert token_orc.checksums(token_orc.read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_full_dictionary_keeps_frequent_words(name, monkeypatch):
+    """Words of letters go to the model once; a full dictionary lets rare ones go and no ids change."""
+    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 40)
+    encoder = pretokens.WordVocabulary if name.startswith("word") else pretokens.ByteVocabulary
+    encoder = encoder(public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name)))
+    assert encoder.direct
+    for k in range(30):
+        texts = [f"Often été, often word{'abcdefghij'[k % 10] * k} né{k}\nStraße über çà Ǆ ŉ {t}" for t in ODD]
+        assert encoder.encode(texts) == encoder.library(texts)
+        assert all(len(kept) < 200 for half in (encoder.chunks, encoder.older) for kept in half.values())
+    sent = []
+    monkeypatch.setattr(encoder, "words", lambda words, lead: sent.extend(words) or type(encoder).words(encoder, words, lead))
+    encoder.encode(["x often often"])
+    assert "often" not in sent
+
+
+def test_texts_are_encoded_in_small_groups():
+    """Large groups took an executor's memory in the pipeline."""
+    assert packing.TEXTS_TOGETHER <= 256 and pretokens.CACHE_ENTRIES <= 500_000
