@@ -27,10 +27,14 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 48
 #: Texts encoded together; their new words share one trie.
-TEXTS_TOGETHER = 2048
+TEXTS_TOGETHER = 512
 NEVER = 1 << 60
+#: Signs at the end of a prefix by which the lengths of its possible last tokens are looked up.
+ENDING = 3
 
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
+# Up to U+024F lower case and NFC leave one letter for each, but for U+0130, whose lower case ends in a mark.
+_PLAIN = re.compile(r"[\x00-įı-ɏ]*")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -68,6 +72,10 @@ class TrieEncoder:
         self.final = {t.removesuffix(self.end): i for t, i in ids.items() if t.endswith(self.end)}
         self.follows: dict[int, bool] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.raw_of = {i: np.uint32(i).astype("<u4").tobytes() for i in self.text_of}
+        self.bytes_of = {i: t.encode() for i, t in self.text_of.items()}
+        #: Lengths of the tokens that end in the same signs, longest first.
+        self.endings = [self.by_ending(self.inner), self.by_ending(self.final)]
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of `token` as it is built, each with the rank of the merge that uses it up."""
@@ -93,11 +101,29 @@ class TrieEncoder:
             self.follows[key] = known
         return known
 
-    def last_token(self, word: str, depth: int, path: list[tuple[int, int]], table: dict[str, int]) -> tuple[int, int]:
+    def by_ending(self, table: dict[str, int]) -> dict[str, list[int]]:
+        """For the last ENDING signs of tokens (all signs of shorter ones), the lengths that tokens so ending have."""
+        sizes: dict[str, set[int]] = {}
+        for t in table:
+            sizes.setdefault(t[-ENDING:], set()).add(len(t))
+        return {e: sorted({n for k in range(len(e)) for n in sizes.get(e[k:], ()) if k == 0 or n == len(e) - k}, reverse=True) for e in sizes}
+
+    def last_token(self, word: str, depth: int, path: list[tuple[int, int]], table: dict[str, int], endings: dict[str, list[int]]) -> tuple[int, int]:
         """The last token of word[:depth] and its length, from those of the shorter prefixes in `path`."""
-        for size in range(min(self.longest, depth), 0, -1):
+        at, follows = max(0, depth - ENDING), self.follows
+        while at < depth - 1 and word[at:depth] not in endings:
+            at += 1
+        for size in endings.get(word[at:depth], ()):
+            if size > depth:
+                continue
             token = table.get(word[depth - size : depth])
-            if token is not None and (size == depth or self.may_follow(path[depth - size][0], token)):
+            if token is None:
+                continue
+            if size == depth:
+                return token, size
+            left = path[depth - size][0]
+            fits = follows.get(left << 20 | token)
+            if fits or fits is None and self.may_follow(left, token):
                 return token, size
         raise ValueError(f"no token ends {word[:depth]!r}")
 
@@ -111,8 +137,8 @@ class TrieEncoder:
                 shared += 1
             del path[shared + 1 :]
             for depth in range(shared + 1, len(word)):
-                path.append(self.last_token(word, depth, path, self.inner))
-            token, size = self.last_token(word, len(word), path, self.final)
+                path.append(self.last_token(word, depth, path, self.inner, self.endings[0]))
+            token, size = self.last_token(word, len(word), path, self.final, self.endings[1])
             at, found = len(word) - size, [token]
             while at:
                 token, size = path[at]
@@ -141,13 +167,20 @@ class TrieEncoder:
         parts = [self.words(p) for p in missing]
         encoded = self.encode_words({w for ws in parts for w in ws if isinstance(w, str)})
         once: dict[str, tuple[bytes, bytes]] = {}
+        raw_of, bytes_of = self.raw_of, self.bytes_of
         for piece, ws in zip(missing, parts):
             found = [t for w in ws for t in ([w] if isinstance(w, int) else encoded[w])]
-            (self.known if len(piece) <= CACHED_LENGTH else once)[piece] = np.asarray(found, "<u4").tobytes(), " ".join([self.text_of[t] for t in found]).encode()
+            (self.known if len(piece) <= CACHED_LENGTH else once)[piece] = b"".join([raw_of[t] for t in found]), b" ".join([bytes_of[t] for t in found])
         return once
 
+    def lowered(self, text: str) -> str:
+        """A text of plain letters in lower case, so that its capitalized words are not pieces of their own."""
+        lower = text.lower()
+        return lower if _PLAIN.fullmatch(text) and not self.special.search(text) and not self.special.search(lower) else text
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+        texts = [self.lowered(t) for t in texts]
         cut = [[p for p in _SPACE.split(t) if p] if _CONTROL_SPACE.search(t) else t.split() for t in texts]
         once, known, out = self.learn(set().union(*cut)), self.known, []
         for pieces in cut:

@@ -133,3 +133,16 @@ def test_full_dictionary_keeps_frequent_words(name, monkeypatch):
 def test_texts_are_encoded_in_small_groups():
     """Large groups took an executor's memory in the pipeline."""
     assert packing.TEXTS_TOGETHER <= 256 and pretokens.CACHE_ENTRIES <= 500_000
+
+
+def test_trie_shares_words_in_any_case():
+    """Capitalized words of plain texts are no pieces of their own; ids and decoded text stay the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, trie = Tokenizer.from_file(path), bpe_trie.TrieEncoder(path)
+    text = "Été ÉTÉ été STRASSE Strasse strasse " + " ".join(t for t in ODD if bpe_trie._PLAIN.fullmatch(t)).replace("\x1c", "")
+    want = library.encode(text, add_special_tokens=False).ids
+    [(ids, decoded)] = trie.encode([text])
+    assert ids == np.asarray(want, "<u4").tobytes() and decoded.decode() == library.decode(want, skip_special_tokens=False)
+    trie = bpe_trie.TrieEncoder(path)
+    trie.encode(["Été ÉTÉ été STRASSE Strasse strasse"])
+    assert len(trie.known) == 2
