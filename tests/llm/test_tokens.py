@@ -146,3 +146,9 @@ def test_trie_shares_words_in_any_case():
     trie = bpe_trie.TrieEncoder(path)
     trie.encode(["Été ÉTÉ été STRASSE Strasse strasse"])
     assert len(trie.known) == 2
+
+
+def test_token_files_encode_in_small_groups():
+    from fieldloom.llm import token_orc
+
+    assert token_orc.TEXTS_TOGETHER <= 256
