@@ -24,7 +24,7 @@ from fieldloom.llm.pretokens import vocabulary
 from fieldloom.llm.storage import materialize
 
 #: Texts encoded together; few, so that their words and ids stay in the processor's cache and need little memory.
-TEXTS_TOGETHER = 128
+TEXTS_TOGETHER = 256
 #: Pieces of one length are numbered in this many blocks at least, more for large inputs.
 BLOCKS, ROWS_PER_BLOCK = 64, 100_000
 RANK_BITS = 44

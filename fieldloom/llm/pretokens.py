@@ -1,13 +1,15 @@
 """Encoding whole texts with a `tokenizers` file, each distinct word once per Python worker.
 
-A text is cut where its pre-tokenizer would cut it anyway (white space for the word vocabulary, in front of a space for
-the byte-level one), so the ids of the pieces, joined, are the ids of the text. Pieces are kept in a dictionary of
-bounded size. Of what is missing, words of plain letters go to the library's model one by one, as each is one pre-token;
-all else is encoded by the library in joined runs, with a separator that no plain piece holds.
+A text is cut where its pre-tokenizer would cut it anyway: in front of a space or line break that follows no other white
+space, and between a letter and the signs after it. So the ids of the pieces, joined, are the ids of the text. The cuts of
+a group of texts are found on their bytes at once, its distinct pieces by Arrow's dictionary encoding, and the ids of texts
+are gathered from those of the pieces. Pieces are kept in a dictionary of bounded size. Of what is missing, words of plain
+letters go to the library's model one by one, as each is one pre-token; all else is encoded by the library.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable
@@ -15,6 +17,7 @@ from functools import lru_cache
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from fieldloom.llm.bpe_trie import byte_signs
@@ -24,34 +27,36 @@ from fieldloom.llm.bpe_trie import byte_signs
 CACHE_ENTRIES = 500_000
 #: Longer pieces are encoded each time they occur.
 CACHED_LENGTH = 48
-JOINED = 4000
+#: Long texts are encoded in groups of about so many signs; a text is never cut.
+SIGNS_TOGETHER = 4_000_000
 
 # U+0130 is left out: its lower case ends in a mark that the pre-tokenizer takes together with the signs after it.
 _PLAIN = re.compile(r"[!-~À-įı-ɏ]+")
-_LOWERED = re.compile(r"[\x00-ɏ]*")
-_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 _BYTE_SIGNS = str.maketrans({chr(b): s for b, s in enumerate(byte_signs())})
 _TOKEN_ID = attrgetter("id")
 _PROBES = ["a", "the", "Zahl", "été", "straßenbahn", "ĳŉ"]
-_WIDE_GAP = re.compile(r"[ \n]\s|\s[ \n]")
+#: Of the two-byte signs from U+00C0 to U+023F all are letters but for these two, and U+0130 ends in a mark as said.
+_NO_LETTERS = [sign.encode() for sign in "×÷İ"]
+_BLANK, _LETTER, _SIGN, _HIGH = 1, 2, 4, 8
+#: What a byte is: a space or line break, an ASCII letter or digit, another visible ASCII sign, part of a longer sign.
+_KINDS = np.array([_HIGH if b > 127 else _BLANK if b in (10, 32) else 0 if b < 33 or b == 127 else _LETTER if chr(b).isalnum() else _SIGN for b in range(256)], np.uint8)
 
 
 class _Cached:
     """Shared by both vocabularies: the dictionaries and the library behind them."""
 
-    separator, lead = "\n", ""
+    lead = ""
 
     def __init__(self, path: str, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
-        #: The ids of pieces by what stands in front of them, and those of signs at the end of a word.
-        self.chunks: dict[str, dict[str, bytes]] = {"": {}, self.lead: {}}
-        self.older: dict[str, dict[str, bytes]] = {"": {}, self.lead: {}}
-        self.tails: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The ids of pieces: of words with what stands in front of them, and of all others.
+        self.chunks: dict[str, dict[str, bytes]] = {"words": {}, "others": {}}
+        self.older: dict[str, dict[str, bytes]] = {"words": {}, "others": {}}
         self.model = self.tokenizer.model
+        self.line_break = self.library(["\n"])[0]
         #: Whether the model by itself gives a word's ids, as it does where nothing else is put around words.
         self.direct = self.words(_PROBES, self.lead) == self.library([self.lead + p for p in _PROBES])
 
@@ -67,124 +72,133 @@ class _Cached:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str], lead: str) -> list[bytes]:
-        """The ids of each piece with `lead` in front."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), JOINED):
-            run = pieces[at : at + JOINED]
-            together = "".join(run)
-            if not _PLAIN.fullmatch(together) or self.special.search(together):
-                plain = [_PLAIN.fullmatch(p) is not None and not self.special.search(p) for p in run]
-                good = iter(self.joined([p for p, ok in zip(run, plain) if ok], lead))
-                bad = iter(self.library([lead + p for p, ok in zip(run, plain) if not ok]))
-                out += [next(good if ok else bad) for ok in plain]
-            else:
-                out += self.joined(run, lead)
+    def starts(self, texts: list[str], raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start in `raw`, their bytes, in which text k starts at offsets[k]."""
+        data = np.frombuffer(raw, np.uint8)
+        kinds = _KINDS[data]
+        cut = (kinds & _BLANK).view(bool)
+        cut[1:] &= data[:-1] > 32
+        # A sign after a letter or after a part of a longer one: the kinds' bits lie beside each other.
+        signs = np.zeros(len(data), bool)
+        is_sign = kinds[1:] & _SIGN
+        signs[1:] = is_sign & (kinds[:-1] << 1)
+        after_high = np.flatnonzero(is_sign & (kinds[:-1] >> 1)) + 1
+        if len(after_high):
+            first, second = data[after_high - 2], data[after_high - 1]
+            signs[after_high] = (first >= 0xC3) & (first <= 0xC8)
+            for sign in _NO_LETTERS:
+                signs[after_high] &= (first != sign[0]) | (second != sign[1])
+        for special in self.special:
+            if special.encode() in raw:
+                for k, text in enumerate(texts):
+                    if special in text:
+                        signs[offsets[k] : offsets[k + 1]] = False
+        cut |= signs
+        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > SIGNS_TOGETHER:
+                out += self.together(group)
+                group, size = [], 0
+        return out + self.together(group)
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text of a group."""
+        encoded = [t.encode() for t in texts]
+        raw, offsets = b"".join(encoded), np.cumsum([0, *map(len, encoded)])
+        if not raw:
+            return [b""] * len(texts)
+        starts = self.starts(texts, raw, offsets)
+        bounds = np.append(starts, len(raw))
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
+        which, pieces = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.filled(pieces)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes, first = lengths[which], (np.cumsum(lengths) - lengths)[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)].tobytes()
+        edges = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        result = [out[a:b] for a, b in zip(edges, edges[1:])]
+        # White space other than ASCII's, in front of a cut: there the text is encoded as a whole.
+        wide = [k for k, p in enumerate(pieces) if p[-1] > "\x7f" and p[-1].isspace()]
+        if wide:
+            whole = np.unique(np.searchsorted(offsets, starts[np.isin(which, wide)], "right") - 1).tolist()
+            for k, again in zip(whole, self.library([texts[k] for k in whole])):
+                result[k] = again
+        return result
+
+    def filled(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        for kind, newer in self.chunks.items():
+            if len(newer) > CACHE_ENTRIES // 2:
+                self.older[kind], self.chunks[kind] = newer, {}
+        out = list(map(self.chunks["words"].get, pieces))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for kind, kept in (("others", self.chunks["others"]), *self.older.items()):
+            again = {p: kept[p] for k in missing if (p := pieces[k]) in kept} if kept else {}
+            if again:
+                self.chunks[kind].update(again)
+                missing = self.put(again, pieces, missing, out)
+        if missing:
+            self.put(self.encoded([pieces[k] for k in missing]), pieces, missing, out)
         return out
 
-    def joined(self, run: list[str], lead: str) -> list[bytes]:
-        """The ids of plain pieces, encoded as one text and cut at the separators."""
-        if not run:
-            return []
-        ids = np.frombuffer(self.library([lead + (self.separator + lead).join(run)])[0], "<u4")
-        at = np.flatnonzero(ids == self.separator_id)
-        if len(at) != len(run) - 1:
-            return self.library([lead + p for p in run])
-        raw, ends = ids.tobytes(), at.tolist()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)])]
-
-    def filled(self, wanted: set[str], lead: str):
-        """A lookup that has all of `wanted`. A word and the signs after it are pre-tokens of their own, so they are
-        encoded apart and each of them once."""
-        if len(self.chunks[lead]) > CACHE_ENTRIES // 2:
-            self.older[lead], self.chunks[lead] = self.chunks[lead], {}
-        chunks, older = self.chunks[lead], self.older[lead]
-        missing = wanted.difference(chunks)
-        if older:
-            again = missing.intersection(older)
-            chunks.update([(p, older[p]) for p in again])
-            missing -= again
-        words, short, long, signed, direct = set(), [], [], [], self.direct
-        for p in missing:
-            if len(p) > CACHED_LENGTH:
-                long.append(p)
-            elif not direct or not (word := p.rstrip(_SIGNS)).isalpha() or not _PLAIN.fullmatch(word):
-                short.append(p)
-            elif word is p:
-                words.add(p)
+    def put(self, ids: dict[str, bytes], pieces: list[str], missing: list[int], out: list[bytes]) -> list[int]:
+        """Set the ids of missing pieces; returns what is still missing."""
+        left = []
+        for k in missing:
+            out[k] = ids.get(pieces[k])
+            if out[k] is None:
+                left.append(k)
+        return left
+
+    def encoded(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that are in no dictionary. They are kept, if the pieces are not too long."""
+        words: dict[str, list[str]] = {" ": [], "\n": [], "": []}
+        others = []
+        for piece in missing:
+            front = piece[0] if piece[0] in words else ""
+            word = piece[1:] if front else piece
+            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)) and self.direct:
+                words[front].append(word)
             else:
-                signed.append((p, word, p[len(word) :]))
-        words.update({word for _, word, _ in signed}.difference(chunks))
-        if len(self.tails) > CACHE_ENTRIES // 10:
-            self.tails.clear()
-        tails = list({tail for _, _, tail in signed}.difference(self.tails))
-        self.tails.update(zip(tails, self.pieces(tails, "")))
-        chunks.update(zip(short, self.pieces(short, lead)))
-        chunks.update(zip(words, self.words(words, lead)))
-        chunks.update([(p, chunks[word] + self.tails[tail]) for p, word, tail in signed])
-        if not long:
-            return chunks.__getitem__
-        once = dict(zip(long, self.pieces(long, lead)))
-        return lambda p: once[p] if p in once else chunks[p]
+                others.append(piece)
+        ids = dict(zip(others, self.library(others)))
+        self.keep("others", ids)
+        for front, some in words.items():
+            got = self.words(some, self.lead if front == " " else "")
+            got = dict(zip([front + w for w in some] if front else some, [self.line_break + g for g in got] if front == "\n" else got))
+            self.keep("words", got)
+            ids.update(got)
+        return ids
+
+    def keep(self, kind: str, ids: dict[str, bytes]) -> None:
+        self.chunks[kind].update(ids if max(map(len, ids), default=0) <= CACHED_LENGTH else [i for i in ids.items() if len(i[0]) <= CACHED_LENGTH])
 
 
 class WordVocabulary(_Cached):
     """For vocabularies that drop white space and mark word ends."""
 
-    #: A sign outside the plain pieces that is one token by itself is chosen from these.
-    SIGNS = "—–…•“”♥★→©€™"
-
-    def __init__(self, path: str, tokenizer: Tokenizer):
-        super().__init__(path, tokenizer)
-        one = ((s, self.tokenizer.encode(s, add_special_tokens=False).ids) for s in self.SIGNS)
-        sign, ids = next(((s, i) for s, i in one if len(i) == 1 and not _PLAIN.fullmatch(s)), (" ", [-1]))
-        self.separator, self.separator_id = f" {sign} ", ids[0]
-
     def signs(self, word: str) -> str:
         return super().signs(word.lower())
 
-    def lowered(self, text: str) -> str:
-        """The text in lower case, as the vocabulary's normalizer has it, where that is plain."""
-        lower = text.lower()
-        return lower if _LOWERED.fullmatch(text) and not self.special.search(lower) else text
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [None if _CONTROL_SPACE.search(t) else self.lowered(t).split() for t in texts]
-        get = self.filled(set().union(*(c for c in cut if c)), "")
-        return [self.library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
-
 
 class ByteVocabulary(_Cached):
     """For byte-level vocabularies, which keep white space; a single space belongs to the word after it."""
 
     lead = " "
 
-    def __init__(self, path: str, tokenizer: Tokenizer):
-        super().__init__(path, tokenizer)
-        self.line_break = self.library([self.separator])[0]
-        self.separator_id = int(np.frombuffer(self.line_break, "<u4")[0])
-
-    def cut(self, text: str) -> list[list[str]] | None:
-        """Lines of words that are held apart by single spaces and line breaks; None if the text isn't such."""
-        if not text or _CONTROL_SPACE.search(text) or text != text.strip():
-            return None
-        # As many words as single spaces and line breaks give: there is no other white space to look at.
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 and _WIDE_GAP.search(text):
-            return None
-        return [line.split(" ") for line in text.split("\n")]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
-        get = self.filled(set().union(*(words[1:] for lines in cut if lines for words in lines)), self.lead)
-        first = self.filled({words[0] for lines in cut if lines for words in lines}, "")
-        odd = iter(self.library([t for t, lines in zip(texts, cut) if not lines]))
-        return [self.line_break.join([first(w[0]) + b"".join(map(get, w[1:])) for w in lines]) if lines else next(odd) for lines in cut]
-
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> WordVocabulary | ByteVocabulary:
     """The encoder for a tokenizer file; a Python worker keeps it from task to task."""
+    # Spark has a worker on every core, so the library starts no threads of its own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
     return (WordVocabulary if getattr(tokenizer.model, "end_of_word_suffix", None) else ByteVocabulary)(path, tokenizer)

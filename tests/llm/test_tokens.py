@@ -152,3 +152,39 @@ def test_token_files_encode_in_small_groups():
     from fieldloom.llm import token_orc
 
     assert token_orc.TEXTS_TOGETHER <= 256
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_are_cut_at_wide_gaps_and_signs(name, monkeypatch):
+    """Neither gaps nor signs after words make the library encode known words again."""
+    encoder = pretokens.WordVocabulary if name.startswith("word") else pretokens.ByteVocabulary
+    encoder = encoder(public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name)))
+    encoder.encode(["one two, three!\n\nfour  one &&& été###\n", "two three four one été"])
+    sent = []
+    monkeypatch.setattr(encoder, "words", lambda words, lead: sent.extend(words) or type(encoder).words(encoder, words, lead))
+    monkeypatch.setattr(encoder, "tokenizer", Sent(encoder.tokenizer, sent))
+    texts = ["one, two### three### four!", "one  été\n\nfour  two\n", "one été! two###\n"]
+    got = encoder.encode(texts)
+    assert not {"one", "two", "three", "été"} & set(sent) and max(map(len, sent), default=0) < 7
+    assert got == encoder.library(texts)
+
+
+class Sent:
+    """A tokenizer that notes what it is given."""
+
+    def __init__(self, tokenizer, sent):
+        self.tokenizer, self.sent = tokenizer, sent
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cuts_at_every_kind_of_sign(name, monkeypatch):
+    encoder = pretokens.vocabulary(public_tokenizers.path(name))
+    signs = [chr(c) for c in [*range(0x250), *range(0x300, 0x310), 0x1680, *range(0x2000, 0x2070), 0x3000, 0x4E00, 0xFEFF]]
+    texts = [t for s in signs for t in (f"é{s},'s x", f"a{s} b {s}{s}\n\n{s}, a", f"{s}<|endoftext|>{s} .")]
+    assert encoder.encode(texts) == encoder.library(texts)
+    monkeypatch.setattr(pretokens, "SIGNS_TOGETHER", 20)
+    assert encoder.encode([*texts[:50], "", "a" * 100, ""]) == encoder.library([*texts[:50], "", "a" * 100, ""])
