@@ -188,3 +188,13 @@ def test_cuts_at_every_kind_of_sign(name, monkeypatch):
     assert encoder.encode(texts) == encoder.library(texts)
     monkeypatch.setattr(pretokens, "SIGNS_TOGETHER", 20)
     assert encoder.encode([*texts[:50], "", "a" * 100, ""]) == encoder.library([*texts[:50], "", "a" * 100, ""])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_signs_are_no_entries_of_their_own(name):
+    encoder = pretokens.WordVocabulary if name.startswith("word") else pretokens.ByteVocabulary
+    encoder = encoder(public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name)))
+    words, signs = [f"é{a}{b}" for a in "abcde" for b in "vwxyz"], [a * k for a in "#&.!," for k in range(1, 6)]
+    texts = ["x " + " ".join(w + s for w in words for s in signs)]
+    assert encoder.encode(texts) == encoder.library(texts)
+    assert sum(len(kept) for kept in encoder.chunks.values()) <= 1 + len(words) + len(signs)
