@@ -198,3 +198,17 @@ def test_words_with_signs_are_no_entries_of_their_own(name):
     texts = ["x " + " ".join(w + s for w in words for s in signs)]
     assert encoder.encode(texts) == encoder.library(texts)
     assert sum(len(kept) for kept in encoder.chunks.values()) <= 1 + len(words) + len(signs)
+
+
+def test_words_in_any_case_and_place_are_one_entry():
+    """Where case and white space have no ids, a word goes to the model once; capitals before a mark are left as they are."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = pretokens.WordVocabulary(path, Tokenizer.from_file(path))
+    sent = []
+    encoder.words = lambda words, lead: sent.extend(words) or pretokens.WordVocabulary.words(encoder, words, lead)
+    texts = ["Zahlen zahlen\nZAHLEN  zAhlen\n\n Zahlen, ZAHLEN#", "zahlen"]
+    assert encoder.encode(texts) == encoder.library(texts)
+    assert sent == ["zahlen"]
+    for case in "H\u0331 h\u0331 W\u030a T\u0308x I\u0307 I\u0323\u0307 K \u0308 \n\u0301a", "<|ENDOFTEXT|> A<|endoftext|>A <|EndOfText|>", "X'S I'LL 'TIS ' S", "A\x01 \x02 B\t C \x01 \n#", "A<|endof text|>B", "\n", "  \n ":
+        assert encoder.encode([case]) == encoder.library([case])
+        assert encoder.encode([*texts, case, "", case.lower()]) == encoder.library([*texts, case, "", case.lower()])
