@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,19 +32,35 @@ def string_type(text: Column) -> Column:
     )
 
 
+def as_dict(value: Column) -> Column:
+    """A VARIANT dictionary as a map; null for other values."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def as_list(value: Column) -> Column:
+    """A VARIANT list as an array; null for other values."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) where value is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def detect_type(value: Column) -> Column:
-    """The semantic type of a VARIANT value; any number with a point or exponent is a float, whole ones of any size are integers."""
+    """The semantic type of a VARIANT value; any number with a point or exponent is a float, whole ones of any size are integers.
+
+    Nested values are told by their own kind first, as the schema of one is that of all that it holds.
+    """
     kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    plain = F.create_map(*map(F.lit, ("BIGINT", "integer", "BOOLEAN", "boolean", "DOUBLE", "float", "FLOAT", "float")))
     whole = kind.startswith("DECIMAL") & text.rlike(r"\A-?[0-9]{19,}\z")
+    rest = F.when(kind == "STRING", string_type(text)).when(whole, "integer").when(kind.startswith("DECIMAL"), "float").otherwise("unknown")
     return (
         F.when(value.isNull() | F.is_variant_null(value), "null")
-        .when(kind == "BOOLEAN", "boolean")
-        .when((kind == "BIGINT") | whole, "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
-        .when(kind.startswith("ARRAY"), "list")
-        .when(kind.startswith("OBJECT"), "dict")
-        .when(kind == "STRING", string_type(text))
-        .otherwise("unknown")
+        .when(as_list(value).isNotNull(), "list")
+        .when(as_dict(value).isNotNull(), "dict")
+        .otherwise(F.coalesce(F.try_element_at(plain, kind), rest))
     )
 
 

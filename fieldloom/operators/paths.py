@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.types import detect_type, numbered_name
+from fieldloom.functions.types import as_dict, as_list, bound, detect_type, numbered_name
 
 _STRING, _BRACKET = r'"(?:[^"\\]++|\\.)*+"', r"[^\[\]{}]+"
 
@@ -47,19 +47,42 @@ def walk(records: DataFrame, levels: int | None = None) -> DataFrame:
     stands in brackets and quotes. All levels are visited, or `levels` of them.
     Each level puts a node's children beside the node in one pass, so that a record is parsed once and never shuffled.
     """
-    open_, value, path = F.col("open"), F.col("value"), F.col("path")
-    child = lambda p, x: F.struct(p.alias("path"), x.alias("value"), F.lit(True).alias("open"))
-    below = F.concat(path, F.when(path != "", ".").otherwise(""))
-    step = lambda k: F.when(k.rlike(ODD_KEY), F.concat(path, quoted(k))).otherwise(F.concat(below, k))
-    of_dict = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: child(step(e["key"]), e["value"]))
-    of_list = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x))
-    own = F.array(F.struct(path, value, F.lit(False).alias("open")))
-    kind = F.schema_of_variant(value)
-    expanded = F.when(open_ & kind.startswith("OBJECT"), F.concat(own, of_dict)).when(open_ & kind.startswith("ARRAY"), F.concat(own, of_list)).otherwise(own)
+    nodes = _visited(records, depth(records) if levels is None else levels)
+    return nodes.where("path <> ''").select("record_key", "path", "value", detect_type(F.col("value")).alias("type"))
+
+
+def _visited(records: DataFrame, levels: int, nested: bool = False, into_lists: bool = True) -> DataFrame:
+    """(record_key, path, value) of records and their nodes down to a level: all, or with `nested` dictionaries and lists only."""
+    value, path, place, key = F.col("value"), F.col("path"), F.col("i") - 1, F.get("keys", F.col("i") - 1)
+    keyed = F.when(key.rlike(ODD_KEY), F.concat(path, quoted(key))).otherwise(F.concat(path, F.when(path != "", ".").otherwise(""), key))
+    step = F.when(F.col("keys").isNull(), F.concat(path, F.lit("["), place.cast("string"), F.lit("]"))).otherwise(keyed)
     nodes = records.select("record_key", F.lit("").alias("path"), F.col("v").alias("value"), F.lit(True).alias("open"))
-    for _ in range(depth(records) if levels is None else levels):
-        nodes = nodes.select("record_key", F.explode(expanded).alias("node")).select("record_key", "node.*")
-    return nodes.where("path <> ''").select("record_key", "path", "value", detect_type(value).alias("type"))
+    for _ in range(levels):
+        nodes = nodes.withColumns({"dict": F.when(F.col("open"), as_dict(value)), "list": F.when(F.col("open") & F.lit(into_lists), as_list(value))})
+        below = F.coalesce(F.col("list"), F.map_values("dict"), F.array().cast("array<variant>"))
+        nodes = nodes.select("record_key", "path", F.map_keys("dict").alias("keys"), F.posexplode_outer(F.concat(F.array(value), below)).alias("i", "value"))
+        if nested:
+            nodes = nodes.where((F.col("i") == 0) | as_list(value).isNotNull() | as_dict(value).isNotNull())
+        nodes = nodes.select("record_key", F.when(F.col("i") == 0, path).otherwise(step).alias("path"), "value", (F.col("i") > 0).alias("open"))
+    return nodes.select("record_key", "path", "value")
+
+
+def lists(records: DataFrame, levels: int, into_lists: bool = True) -> DataFrame:
+    """(record_key, path, kind, items): what `repeating` tells of records (record_key, v VARIANT), with the items of each list:
+    structs of value and keys, the map of a dictionary.
+
+    Lists of odd keys, which `repeating` counts among their own items, are none. `levels` are those below which there is no such list; lists within lists are looked for only if asked. A list is judged by
+    its own items, so nothing is shuffled. Here and in ingestion lists are exploded by the outer forms, before which Spark puts
+    no filter that would work them out again.
+    """
+    found = _visited(records, levels, True, into_lists).select("record_key", "path", as_list(F.col("value")).alias("items"))
+    items = F.transform("items", lambda x: F.struct(x.alias("value"), as_dict(x).alias("keys")))
+    entity = lambda of: ~F.contains("path", F.lit("[")) & F.forall(of, lambda x: x["keys"].isNotNull())
+    primitive = lambda of: ~F.exists(of, lambda x: x["keys"].isNotNull() | as_list(x["value"]).isNotNull())
+    named = ~F.col("path").rlike(r"""['"]\]\z""")
+    kind = lambda of: F.when(named & (F.size(of) > 0), F.when(entity(of), "entity").when(primitive(of), "primitive"))
+    judged = bound(items, lambda of: F.struct(of.alias("items"), kind(of).alias("kind")))
+    return found.select("record_key", "path", F.explode_outer(F.array(judged)).alias("x")).select("record_key", "path", "x.kind", "x.items").where("kind is not null")
 
 
 def repeating(nodes: DataFrame) -> DataFrame:

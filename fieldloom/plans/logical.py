@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions.predicates import RequestError, predicate
 from fieldloom.functions.types import detect_type, numbered_name
 from fieldloom.operators.overlay import changed_fields, without_deleted
-from fieldloom.operators.paths import ODD_KEY, depth, is_top, quoted, scalar_groups, top_of
-from fieldloom.operators.profile import type_counts
+from fieldloom.operators.paths import is_top, scalar_groups, top_of
+from fieldloom.operators.profile import text_counts
 from fieldloom.plans import fields as planner
 from fieldloom.plans import layout
 from fieldloom.plans.fields import Field
@@ -314,22 +314,27 @@ def current_top(store: SnapshotStore, top: str, base: int) -> bool:
 
 def derive_changes(store: SnapshotStore, change, new: DataFrame, base: int, number: int, seen: dict[str, int]) -> None:
     """Append changes (key, path, value) with their number, and the rows that follow from them."""
-    key = F.when(F.col("path").rlike(ODD_KEY), quoted(F.col("path"))).otherwise(F.col("path"))
     fields = new.groupBy(KEY, "seq").agg(F.map_from_entries(F.collect_list(F.struct("path", F.parse_json("value").alias("v")))).alias("m"))
-    parsed = fields.select(F.struct(KEY, "seq").alias("record_key"), F.parse_json(F.to_json("m")).alias("v"))
-    nodes = change.scratch(ingest.node_rows(parsed, depth(parsed)))
+    texts = change.scratch(fields.select(KEY, "seq", F.to_json("m").alias("raw")))
+    parsed = texts.select(F.struct(KEY, "seq").alias("record_key"), F.parse_json("raw").alias("v"))
+    counted = change.scratch(text_counts(texts))
     groups, bases = touched_groups(store, new, base)
-    judged = change.scratch(ingest.strategies(parsed, nodes, ingest.registered_hints(store, base)).where(~F.col("path").isin(*CORE)))
+    judged = ingest.strategies(ingest.judging(parsed, counted, ingest.registered_hints(store, base))).where(~F.col("path").isin(*CORE))
     stamped = new.select(KEY, "path", "value", F.lit(number).cast("long").alias("change"), F.lit(False).alias("mark"))
     marks = new.join(bases, new["path"] == bases["name"]).select(KEY, F.col("base").alias("path"), F.lit(None).cast("string").alias("value"), F.lit(number).cast("long").alias("change"), F.lit(True).alias("mark")).distinct()
     change.append("changes", stamped.unionByName(marks))
-    ingest.derive(change, nodes, judged, store.read("placements", base), seen, number, groups)
+    ingest.derive(change, parsed, counted, judged, store.read("placements", base), seen, number, groups)
 
 
-def touched_groups(store: SnapshotStore, new: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
-    """Groups of numbered scalars of the records hit, with the changes, that a change belongs to; and (name, base) of the changed names."""
+def touched_groups(store: SnapshotStore, new: DataFrame, base: int) -> tuple[DataFrame | None, DataFrame]:
+    """Groups of numbered scalars of the records hit, with the changes, that a change belongs to; and (name, base) of the changed names.
+
+    Without a changed name that ends in a number there are no groups, and no record is read for them.
+    """
     stem, digits = numbered_name(F.col("path"))
     bases = new.select("path").distinct().select(F.col("path").alias("name"), stem.alias("base"), digits.alias("digits")).where("base <> ''").select("name", "base")
+    if bases.isEmpty():
+        return None, bases
     held = without_deleted(store.read("records", base), KEY, store.read("tombstones", base) if "tombstones" in store.manifest(base) else None)
     entries = F.explode(F.map_entries(F.try_variant_get(F.parse_json("raw"), "$", "map<string,variant>"))).alias("e")
     stored = held.join(new.select(KEY).distinct(), KEY, "left_semi").select(KEY, "seq", entries).select(KEY, "seq", F.col("e.key").alias("path"), F.to_json("e.value").alias("value"), F.lit(0).cast("long").alias("change"))
@@ -430,9 +435,8 @@ def counts_of_changes(store: SnapshotStore, base: int) -> DataFrame:
     """Statistics (path, type, n, ...) of paths that only updates have set, so that the catalog knows them once changes are folded."""
     last = store.read("changes", base).where("not mark").groupBy(KEY, "path").agg(F.max_by("value", "change").alias("value"))
     fields = last.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", F.parse_json("value").alias("v")))).alias("m"))
-    parsed = fields.select(F.struct(KEY, F.lit(0).cast("long").alias("seq")).alias("record_key"), F.parse_json(F.to_json("m")).alias("v"))
     counts = store.read("counts", base)
-    new = type_counts(ingest.node_rows(parsed, depth(parsed))).join(counts.select("path").distinct(), "path", "left_anti")
+    new = text_counts(fields.select(F.lit(0).cast("long").alias("seq"), F.to_json("m").alias("raw"))).join(counts.select("path").distinct(), "path", "left_anti")
     return new.select(*counts.columns)
 
 

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class ConflictError(RuntimeError):
@@ -50,9 +51,10 @@ class SnapshotStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.folders(self.manifest(version)[table])
 
-    def folders(self, names: list[str]) -> DataFrame:
-        """The rows of some folders of a table; columns that one lacks are null there."""
-        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{name}" for name in names))
+    def folders(self, names: list[str], schema: StructType | None = None) -> DataFrame:
+        """The rows of some folders of a table; columns that one lacks are null there. No file is opened to learn a schema given."""
+        reader = self.spark.read.option("mergeSchema", "true") if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*(f"{self.root}/{name}" for name in names))
 
     def buckets(self, folder: str, by: str) -> DataFrame:
         """The rows of a folder that was written in buckets of `by`, so that joins and groups by it need no shuffle."""
@@ -99,19 +101,19 @@ class Transaction:
     def replace(self, table: str, rows: DataFrame) -> DataFrame:
         """Put rows in place of all that the table has, and give them back as written."""
         self.staged[table] = [self._written(table, rows)]
-        return self.store.folders(self.staged[table])
+        return self.store.folders(self.staged[table], rows.schema)
 
     def scratch(self, rows: DataFrame, *by: str) -> DataFrame:
         """Rows as written to a folder that goes when the transaction ends, with a folder in it for each value of `by`."""
         folder = self._written("scratch", rows, *by)
         self.passing.append(folder)
-        return self.store.folders([folder])
+        return self.store.folders([folder], rows.schema)
 
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Add rows to a table, new or not, and give them back as written."""
         folder = self._written(table, rows)
         self.staged[table] = [*self._folders(table), folder]
-        return self.store.folders([folder])
+        return self.store.folders([folder], rows.schema)
 
     def append_parts(self, table: str, rows: DataFrame, by: str) -> None:
         """Add rows with a folder for each value of `by`, a column that is not kept; the folders can be forgotten one by one."""

@@ -13,6 +13,8 @@ schemas      registered schemas by version, see plans.control
 
 What a batch adds goes into new folders, so bytes written grow with the batch. Only tables with some rows a field are
 rewritten, and of the buffer the slots of fields that the batch has placed. Totals are observed while the rows are written.
+What a record gives is worked out within its row, from the record itself and from what the batch's counts tell of its paths:
+of all that belongs to single records, only groups of numbered scalars are shuffled.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldloom.functions.types import depth, entity_name
+from fieldloom.functions.types import as_dict, as_list, bound, depth, detect_type, entity_name, numbered_name
 from fieldloom.operators.catalog import active_schema, entity_hints, latest, shared_entities, with_hints
 from fieldloom.operators.nesting import mode, reference_score
 from fieldloom.operators.numbering import numbered
 from fieldloom.operators.overlay import without_deleted, without_stale
-from fieldloom.operators.paths import ODD_KEY, depth_of, is_top, quoted, repeating, scalar_groups, top_of, walk
+from fieldloom.operators.paths import ODD_KEY, is_top, lists, quoted, scalar_groups, top_of
 from fieldloom.operators.placement import place
-from fieldloom.operators.profile import field_stats, merge_counts, type_counts
+from fieldloom.operators.profile import field_stats, merge_counts, text_counts
 from fieldloom.sources.events import enrich
 from fieldloom.sources.store import SnapshotStore, Transaction
 
@@ -88,31 +90,28 @@ def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: D
     change, seen = store.begin(), dict.fromkeys(COUNTERS, 0)
     try:
         watch = Observation()
-        sizes = [F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected"), F.max(F.when(~F.col("rejected"), depth_of(F.col("raw")))).alias("levels")]
+        sizes = [F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected")]
         fresh = batch.observe(watch, *sizes).where("not rejected").withColumn("number", F.monotonically_increasing_id())
         named = enrich(fresh, F.concat(F.lit(f"{kind[0] if kind != 'batch' else ''}{batch_id:08d}."), F.lpad(F.col("number").cast("string"), 16, "0")))
         staged = change.scratch(named.select(F.col("record_key").alias("sys_ingested_at"), "username", "t_stamp", "raw", "number"))
         found = watch.get
         seen["accepted"], seen["rejected"] = found.get("accepted") or 0, found.get("rejected") or 0
         records = numbered(staged, "number", "seq", before)
-        parsed = records.select(F.struct("sys_ingested_at", "seq").alias("record_key"), F.parse_json("raw").alias("v"))
-        nodes = change.scratch(node_rows(parsed, found.get("levels") or 0))
-
+        parsed = parsed_records(records)
+        counted = change.scratch(text_counts(records))
         held = store.read("placements") if "placements" in known else None
-
-        def profiled() -> DataFrame:
-            counts = type_counts(nodes)
-            counts = change.replace("counts", merge_counts(store.read("counts"), counts) if "counts" in known else counts)
-            return change.replace("placements", sticky(held, place(field_stats(counts, before + seen["accepted"]))))
-
-        placed, judged = together(profiled, lambda: change.scratch(strategies(parsed, nodes, hints)))
-        newest = latest(judged.select("path", "score", "reasons", "mode", "seq"), "path", "seq")
+        new = counted.drop("nested")
+        counts = change.replace("counts", merge_counts(store.read("counts"), new) if "counts" in known else new)
+        placed = change.replace("placements", sticky(held, place(field_stats(counts, before + seen["accepted"]))))
+        judged = strategies(judging(parsed, counted, hints))
+        ends = records.join(F.broadcast(counted.where("nested").select(F.col("last_seen").alias("seq")).distinct()), "seq", "left_semi")
+        newest = latest(strategies(judging(parsed_records(ends), counted, hints)).select("path", "score", "reasons", "mode", "seq"), "path", "seq")
         if "strategies" in known:
             newest = latest(store.read("strategies").unionByName(newest), "path", "seq")
         together(
-            lambda: change.append("records", documents(records, judged).select("sys_ingested_at", "username", "t_stamp", "raw", "seq")),
+            lambda: change.append("records", documents(records, counted, hints).select("sys_ingested_at", "username", "t_stamp", "raw", "seq")),
             lambda: change.replace("strategies", newest),
-            lambda: derive(change, nodes, judged, placed, seen),
+            lambda: derive(change, parsed, counted, judged, placed, seen, all_placed=placed.where("backend = 'Buffer'").isEmpty()),
         )
         if held is not None and "buffer" in known:
             drain_slots(change, placed, placed.join(held.where("backend <> 'Buffer'"), "path", "left_anti"), seen)
@@ -124,29 +123,29 @@ def ingest_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, hints: D
         raise
 
 
+def parsed_records(records: DataFrame) -> DataFrame:
+    return records.select(F.struct("sys_ingested_at", "seq").alias("record_key"), F.parse_json("raw").alias("v"))
+
+
 def registered_hints(store: SnapshotStore, version: int | None = None) -> DataFrame | None:
     """(path, hint) of the active schema, as long as that schema has entities; None without a schema."""
     return entity_hints(active_schema(store.read("schemas", version))) if "schemas" in store.manifest(version) else None
 
 
-def node_rows(parsed: DataFrame, levels: int) -> DataFrame:
-    """(record_key, seq, path, type, value) of all nodes. Of nested values only items of lists outside of lists are kept."""
-    item = F.col("path").rlike(r"\A[^\[]*\[[0-9]+\]\z|\A\[['\"].*['\"]\]\[[0-9]+\]\z")
-    value = F.when(~F.col("type").isin("dict", "list") | item, F.col("value"))
-    return walk(parsed, levels).select("record_key.*", "path", "type", value.alias("value")).withColumnRenamed("sys_ingested_at", "record_key")
-
+def derive(change: Transaction, parsed: DataFrame, counted: DataFrame, judged: DataFrame, placed: DataFrame, seen: dict[str, int], number: int = 0, groups: DataFrame | None = None, all_placed: bool = False) -> None:
+    """Append what follows from records parsed (record_key, v): child rows, references, routed and buffered values, and the paths
+    of groups. `counted` are the text_counts of the same records, and `judged` their strategies.
 
-def derive(change: Transaction, nodes: DataFrame, judged: DataFrame, placed: DataFrame, seen: dict[str, int], number: int = 0, groups: DataFrame | None = None) -> None:
-    """Append what follows from nodes: child rows, references, routed and buffered values, and the paths of groups.
-
-    `number` is that of the change that the nodes come from, 0 for ingested records.
+    `number` is that of the change that the records come from, 0 for ingested ones; with `all_placed` no field waits.
     """
-    groups = scalar_groups(nodes) if groups is None else groups
+    levels, into_lists, numbered_names = list_depths(counted)
+    groups = scalar_groups(top_fields(parsed).withColumn("type", detect_type(F.col("value")))) if groups is None and numbered_names and not number else groups
     stamp = F.lit(number).cast("long").alias("change")
-    waiting = scalars(nodes, groups).select("record_key", "path", "type", "text", stamp)
+    waiting = scalars(parsed, groups).select("record_key", "path", "type", "text", stamp)
     routed, rest = drain(waiting, placed)
+    rest = rest.limit(0) if all_placed else rest
     children, references, *_ = together(
-        lambda: observed(change, "children", child_rows(nodes, groups).select("*", stamp), seen, "children"),
+        lambda: observed(change, "children", child_rows(parsed, groups, levels, into_lists).select("*", stamp), seen, "children"),
         lambda: observed(change, "references", reference_rows(judged).select("*", stamp), seen, "references"),
         lambda: observed(change, "values", routed.select("record_key", "path", "type", "text", "change", "backend"), seen, "routed"),
         lambda: stow(change, rest.select("record_key", "path", "type", "text", "change"), seen),
@@ -258,51 +257,91 @@ def sticky(before: DataFrame | None, placed: DataFrame) -> DataFrame:
     return held.unionByName(placed.join(held.select("path"), "path", "left_anti"))
 
 
-def scalars(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def list_depths(counted: DataFrame) -> tuple[int, bool, bool]:
+    """What text_counts tell of lists and numbers: a level below which there is no repeating list, whether one may be within
+    another list, and whether there may be groups of numbered scalars."""
+    path, odd = F.col("path"), r"""\[['"]"""
+    steps = F.size(F.split(path, r"\.")) + F.regexp_count(path, F.lit(odd)) + F.regexp_count(path, F.lit(r"\[\]"))
+    inner = path.endswith("[]") & F.contains(F.left(path, F.length(path) - 2), F.lit("[]"))
+    scalar = inner & (~F.col("type").isin("dict", "list"))
+    listed, base = F.col("nested") & F.col("type").isin("list", "mixed"), numbered_name(path)[0]
+    found = counted.agg(
+        F.max(F.when(listed & ~F.contains(path, F.lit("[]")), steps)).alias("outer"), F.max(F.when(listed, steps)).alias("all"), F.bool_or(scalar).alias("inner"), F.count_if((base != "") & ~F.col("type").isin("dict", "list")).alias("numbers"), F.bool_or(path.startswith("[]") | path.rlike(r"""\[['"].*\[\].*['"]\]""")).alias("odd")
+    ).first()
+    inside = bool(found["inner"] or found["odd"])
+    return (found["all"] if inside else found["outer"]) or 0, inside, found["numbers"] > 1
+
+
+def top_fields(parsed: DataFrame) -> DataFrame:
+    """(record_key, seq, path, value): the fields of records themselves that are neither dictionaries nor lists nor core fields."""
+    fields = parsed.select("record_key.*", F.explode_outer(as_dict(F.col("v"))).alias("key", "value")).where(F.col("key").isNotNull() & ~F.col("key").isin(*CORE))
+    fields = fields.where(as_list(F.col("value")).isNull() & as_dict(F.col("value")).isNull())
+    return fields.select(F.col("sys_ingested_at").alias("record_key"), "seq", F.when(F.col("key").rlike(ODD_KEY), quoted(F.col("key"))).otherwise(F.col("key")).alias("path"), "value")
+
+
+def scalars(parsed: DataFrame, groups: DataFrame | None) -> DataFrame:
     """(record_key, path, type, text): top-level scalars that are neither core fields nor part of a numbered group."""
-    top = nodes.where(is_top(F.col("path")) & ~F.col("type").isin("dict", "list") & ~F.col("path").isin(*CORE))
-    grouped = groups.select("record_key", F.explode("names").alias("path"))
-    return top.join(grouped, ["record_key", "path"], "left_anti").select("record_key", "path", "type", F.try_variant_get("value", "$", "string").alias("text"))
+    top = top_fields(parsed).where(is_top(F.col("path")))
+    if groups is not None:
+        top = top.join(groups.select("record_key", F.explode("names").alias("path")), ["record_key", "path"], "left_anti")
+    return top.select("record_key", "path", detect_type(F.col("value")).alias("type"), F.try_variant_get("value", "$", "string").alias("text"))
 
 
-def child_rows(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def child_rows(parsed: DataFrame, groups: DataFrame | None, levels: int, into_lists: bool = True) -> DataFrame:
     """(entity, path, parent_sys_ingested_at, item_index, item, rest): items of repeating groups as JSON; dictionaries have their
     scalar keys in item and the others in rest, scalars become {"value": ...}. Numbered scalars come last and win over a list
-    of the same name. Dictionaries without scalar keys are no rows."""
-    found = repeating(nodes).select("record_key", F.col("path").alias("list"), "kind")
-    items = nodes.withColumn("list", F.regexp_extract("path", r"\A(.*)\[[0-9]+\]\z", 1)).join(found, ["record_key", "list"])
-    index = F.regexp_extract("path", r"\[([0-9]+)\]\z", 1).cast("int")
-    nested = lambda x: F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")
-    keys = F.try_variant_get("value", "$", "map<string,variant>")
-    plain, deep = F.map_filter(keys, lambda _, x: ~nested(x)), F.map_filter(keys, lambda _, x: nested(x))
-    item = F.when(F.col("kind") == "entity", F.when(F.size(plain) > 0, F.to_json(plain))).otherwise(F.concat(F.lit('{"value":'), F.to_json("value"), F.lit("}")))
-    rest = F.when((F.col("kind") == "entity") & (F.size(deep) > 0), F.to_json(deep))
-    lists = items.select(F.col("list").alias("path"), "record_key", index.alias("item_index"), item.alias("item"), rest.alias("rest")).where("item is not null")
-    numbered = groups.select(F.col("base").alias("path"), "record_key", F.posexplode("values").alias("item_index", "json"))
-    numbered = numbered.select("path", "record_key", "item_index", F.concat(F.lit('{"value":'), "json", F.lit("}")).alias("item"), F.lit(None).cast("string").alias("rest"))
-    rows = lists.join(numbered.select("record_key", "path").distinct(), ["record_key", "path"], "left_anti").unionByName(numbered)
+    of the same name. Dictionaries without scalar keys are no rows. `levels` and `into_lists` are those of paths.lists."""
+    nested = lambda x: as_list(x).isNotNull() | as_dict(x).isNotNull()
+    split = lambda keys, deep: F.struct(F.when(F.size(deep) == 0, keys).otherwise(F.map_filter(keys, lambda k, _: ~F.map_contains_key(deep, k))).alias("plain"), deep.alias("deep"))
+    text = lambda part: F.when(F.size(part) > 0, F.to_json(part))
+    row = lambda item, rest: F.struct(item.alias("item"), rest.alias("rest"))
+    of_dict = lambda x: bound(bound(F.map_filter(x["keys"], lambda _, y: nested(y)), lambda deep: split(x["keys"], deep)), lambda of: row(text(of["plain"]), text(of["deep"])))
+    of_scalar = lambda x: row(F.concat(F.lit('{"value":'), F.to_json(x["value"]), F.lit("}")), F.lit(None).cast("string"))
+    each = F.when(F.col("kind") == "entity", F.transform("items", of_dict)).otherwise(F.transform("items", of_scalar))
+    items = lists(parsed, levels, into_lists).select("path", F.col("record_key.sys_ingested_at").alias("record_key"), F.posexplode_outer(each).alias("item_index", "x"))
+    rows = items.select("path", "record_key", "item_index", "x.item", "x.rest").where("item is not null")
+    if groups is not None:
+        numbered = groups.select(F.col("base").alias("path"), "record_key", F.posexplode("values").alias("item_index", "json"))
+        numbered = numbered.select("path", "record_key", "item_index", F.concat(F.lit('{"value":'), "json", F.lit("}")).alias("item"), F.lit(None).cast("string").alias("rest"))
+        rows = rows.join(numbered.select("record_key", "path").distinct(), ["record_key", "path"], "left_anti").unionByName(numbered)
     return rows.select(F.concat(F.lit("norm_"), entity_name(F.col("path"))).alias("entity"), "path", F.col("record_key").alias("parent_sys_ingested_at"), "item_index", "item", "rest")
 
 
-def strategies(parsed: DataFrame, nodes: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """(record_key, seq, path, value, type, score, reasons, mode) of top-level nested values: embedded or kept apart.
+def judging(parsed: DataFrame, counted: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """parsed (record_key, v, ...) with `judged`: path, value, type, score, reasons and mode of each top-level nested value,
+    embedded or kept apart; values are there only where they are referenced.
 
-    Values are read from the records parsed (record_key, v) themselves and kept only where they are referenced; nodes tell
-    which names occur under several parents.
+    A name is shared if it occurs under several parents among the paths of `counted`. Those names and the hints have a row a
+    field, and stand beside each record, which is judged by itself.
     """
-    shared = shared_entities(nodes.where(F.col("type").isin("dict", "list")).select("path").distinct()).select(F.col("name").alias("_name"))
-    entries = parsed.select("record_key.*", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
-    kind = F.schema_of_variant("e.value")
-    top = entries.where(kind.rlike("^(ARRAY|OBJECT)")).select(F.col("sys_ingested_at").alias("record_key"), "seq", F.when(F.col("e.key").rlike(ODD_KEY), quoted(F.col("e.key"))).otherwise(F.col("e.key")).alias("path"), F.col("e.value").alias("value"), F.when(kind.startswith("ARRAY"), "list").otherwise("dict").alias("type"))
-    top = top.join(shared, F.col("path") == F.col("_name"), "left")
+    nested = counted.where("nested").select(F.regexp_replace("path", r"\[\](?=[.\[]|\z)", "").alias("path")).distinct()
+    shared = shared_entities(nested).select("name").join(nested.where(is_top(F.col("path"))).select(F.col("path").alias("name")), "name", "left_semi")
+    rows = parsed.crossJoin(F.broadcast(shared.agg(F.collect_list("name").alias("_shared"))))
+    kind = f"struct<{HINT.replace(' ', ': ').replace(',: ', ', ')}>"
+    hint = lambda _: F.lit(None).cast(kind)
     if hints is not None:
-        top = with_hints(top.withColumn("_at", F.col("path")).withColumn("path", top_of(F.col("path"))), hints).withColumn("path", F.col("_at"))
-    else:
-        top = top.withColumn("hint", F.lit(None).cast(f"struct<{HINT.replace(' ', ': ')}>".replace(",: ", ", ")))
-    items = F.try_variant_get("value", "$", "array<variant>")
-    holds = F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    score, reasons = reference_score(F.size(F.when(F.col("type") == "list", items)), F.coalesce(holds, F.lit(False)), F.size(F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))), depth(F.col("path")), F.col("_name").isNotNull(), F.col("hint"))
-    return top.select("record_key", "seq", "path", F.when(score >= 2, F.col("value")).alias("value"), "type", score.alias("score"), reasons.alias("reasons"), mode(score).alias("mode"))
+        once = hints.dropDuplicates(["path"])
+        rows = rows.crossJoin(F.broadcast(once.agg(F.map_from_entries(F.collect_list(F.struct("path", "hint"))).alias("_hints"))))
+        last = lambda name: F.element_at(F.split(F.regexp_replace(name, r"\[[0-9]+\]", ""), r"\."), -1)
+        hint = lambda name: F.coalesce(F.try_element_at("_hints", name), F.try_element_at("_hints", last(name)))
+    of = lambda **columns: F.struct(*[c.alias(name) for name, c in columns.items()])
+    fields = F.transform(F.map_entries(as_dict(F.col("v"))), lambda e: of(key=e["key"], value=e["value"], items=as_list(e["value"]), keys=as_dict(e["value"])))
+    fields = F.filter(fields, lambda x: x["items"].isNotNull() | x["keys"].isNotNull())
+    holds = lambda x: F.coalesce(F.exists(x["items"], lambda y: as_dict(y).isNotNull()), F.lit(False))
+    sized = F.transform(fields, lambda x: of(path=F.when(x["key"].rlike(ODD_KEY), quoted(x["key"])).otherwise(x["key"]), value=x["value"], n_items=F.size(x["items"]), holds=holds(x), n_keys=F.size(x["keys"]), hint=hint(x["key"])))
+
+    def scored(x: Column) -> Column:
+        n_items, n_keys = F.when(x["n_items"] >= 0, x["n_items"]), F.when(x["n_keys"] >= 0, x["n_keys"])
+        score, reasons = reference_score(n_items, x["holds"], n_keys, depth(x["path"]), F.array_contains("_shared", x["path"]), x["hint"])
+        return of(path=x["path"], value=x["value"], type=F.when(n_items.isNotNull(), "list").otherwise("dict"), score=score, reasons=reasons)
+
+    of_mode = lambda x: of(path=x["path"], value=F.when(x["score"] >= 2, x["value"]), type=x["type"], score=x["score"], reasons=x["reasons"], mode=mode(x["score"]))
+    return rows.select(*parsed.columns, F.transform(F.transform(sized, scored), of_mode).alias("judged"))
+
+
+def strategies(judged: DataFrame) -> DataFrame:
+    """(record_key, seq, path, value, type, score, reasons, mode) of top-level nested values, one row each."""
+    return judged.select("record_key.*", F.explode_outer("judged").alias("x")).where("x is not null").select(F.col("sys_ingested_at").alias("record_key"), "seq", "x.*")
 
 
 def collection(path: Column) -> Column:
@@ -310,19 +349,18 @@ def collection(path: Column) -> Column:
     return F.concat(F.lit("ref_"), entity_name(path))
 
 
-def documents(records: DataFrame, judged: DataFrame) -> DataFrame:
-    """records (sys_ingested_at, raw, ...) with `<field>_ref_collection` in raw in place of each field that judged keeps apart.
+def documents(records: DataFrame, counted: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """records (sys_ingested_at, raw, ...) with `<field>_ref_collection` in raw in place of each field that is judged to be kept apart.
 
     Only documents that have such a field are written anew; the others stay letter by letter.
     """
-    name = top_of(F.col("path"))
-    marks = judged.where("mode = 'reference'").groupBy(F.col("record_key").alias("sys_ingested_at"))
-    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(name, F.lit("_ref_collection")).alias("k"), collection(F.col("path")).alias("v")))).alias("marks"))
-    fields = F.try_variant_get(F.parse_json("raw"), "$", "map<string,variant>")
-    kept = F.map_filter(fields, lambda k, _: ~F.map_contains_key("marks", F.concat(k, F.lit("_ref_collection"))) & ~F.map_contains_key("marks", k))
-    marked = F.transform_values("marks", lambda _, v: F.parse_json(F.to_json(F.array(v))))
-    text = F.to_json(F.map_concat(kept, F.transform_values(marked, lambda _, v: F.variant_get(v, "$[0]", "variant"))))
-    return records.join(marks, "sys_ingested_at", "left").withColumn("raw", F.when(F.col("marks").isNull(), F.col("raw")).otherwise(text)).drop("marks")
+    judged = judging(records.withColumn("v", F.parse_json("raw")), counted, hints)
+    apart = F.filter("judged", lambda x: x["mode"] == "reference")
+    marks = F.map_from_entries(F.transform(apart, lambda x: F.struct(F.concat(top_of(x["path"]), F.lit("_ref_collection")).alias("k"), collection(x["path"]).alias("v"))))
+    kept = lambda of: F.map_filter(as_dict(F.col("v")), lambda k, _: ~F.map_contains_key(of, F.concat(k, F.lit("_ref_collection"))) & ~F.map_contains_key(of, k))
+    marked = lambda of: F.transform_values(of, lambda _, v: F.variant_get(F.parse_json(F.to_json(F.array(v))), "$[0]", "variant"))
+    text = lambda of: F.when(F.size(of) == 0, F.col("raw")).otherwise(F.to_json(F.map_concat(kept(of), marked(of))))
+    return judged.withColumn("raw", bound(marks, text)).select(*records.columns)
 
 
 def reference_rows(judged: DataFrame) -> DataFrame:
@@ -331,7 +369,7 @@ def reference_rows(judged: DataFrame) -> DataFrame:
     apart = judged.where("mode = 'reference'")
     whole = F.col("type") == "dict"
     items = F.when(whole, F.array("value")).otherwise(F.try_variant_get("value", "$", "array<variant>"))
-    rows = apart.select(F.col("path").alias("entity_path"), F.col("record_key").alias("parent_sys_ingested_at"), whole.alias("whole"), F.posexplode(items).alias("item_index", "x"))
+    rows = apart.select(F.col("path").alias("entity_path"), F.col("record_key").alias("parent_sys_ingested_at"), whole.alias("whole"), F.posexplode_outer(items).alias("item_index", "x")).where("item_index is not null")
     return rows.select("entity_path", "parent_sys_ingested_at", "item_index", F.to_json("x").alias("payload"), "whole")
 
 
