@@ -201,7 +201,7 @@ def nested(store: SnapshotStore, entity: str, names: list[str] | None = None, ve
             if of is not None:
                 rows = rows.join(listed(of, name), KEY, "left")
                 lists.append(F.coalesce(F.col(name), F.array().cast(empty)))
-        items = F.array_sort(F.concat(*lists)) if lists else F.array().cast(empty)
+        items = F.sort_array(F.concat(*lists)) if lists else F.array().cast(empty)
         return rows.select(KEY, "username", "t_stamp", *[logical.field_column(f, tops, []).alias(n) for n, f in plans.items()], items.alias("items"))
 
     parts = [part(store.buckets(g.records, KEY), laid_rows(store, g, path, columns, version)) for g in known.values() if g.records]

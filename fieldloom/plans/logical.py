@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.predicates import RequestError, predicate
-from fieldloom.functions.types import detect_type, numbered_name
+from fieldloom.functions.types import bound, detect_type, numbered_name
 from fieldloom.operators.overlay import changed_fields, without_deleted
 from fieldloom.operators.paths import is_top, scalar_groups, top_of
 from fieldloom.operators.profile import text_counts
@@ -84,17 +84,16 @@ def group_items(store: SnapshotStore, path: str, keys: DataFrame | None, version
     Payloads kept apart are taken where a record has them, else its child rows; whole is that of a dictionary kept apart.
     """
     children = ingest.live(store, "children", version).where(F.col("path") == path)
-    deep = F.map_concat(F.try_variant_get(F.parse_json("item"), "$", "map<string,variant>"), F.try_variant_get(F.parse_json("rest"), "$", "map<string,variant>"))
-    item = F.when(F.col("rest").isNull(), F.col("item")).otherwise(F.to_json(deep))
-    rows = children.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(False).alias("apart"), F.lit(False).alias("whole"), "item_index", item.alias("json"))
+    both = F.concat(F.left("item", F.length("item") - 1), F.lit(","), F.substring("rest", 2, 1 << 30))
+    item = F.when(F.col("rest").isNull(), F.col("item")).otherwise(both)
+    rows = children.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(True).alias("near"), F.lit(False).alias("whole"), "item_index", item.alias("json"))
     payloads = ingest.live(store, "references", version).where(top_of(F.col("entity_path")) == path)
-    rows = rows.unionByName(payloads.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(True).alias("apart"), "whole", "item_index", F.col("payload").alias("json")))
+    rows = rows.unionByName(payloads.select(F.col("parent_sys_ingested_at").alias(KEY), F.lit(False).alias("near"), "whole", "item_index", F.col("payload").alias("json")))
     if keys is not None:
         rows = rows.join(keys.select(KEY), KEY, "left_semi")
-    of = lambda apart: F.array_sort(F.collect_list(F.when(F.col("apart") == apart, F.struct("item_index", "json"))))
-    grouped = rows.groupBy(KEY).agg(of(True).alias("far"), of(False).alias("near"), F.bool_or("whole").alias("whole"))
-    chosen = F.when(F.size("far") > 0, F.col("far")).otherwise(F.col("near"))
-    return grouped.select(KEY, F.transform(chosen, lambda x: x["json"]).alias("items"), "whole")
+    grouped = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("near", "item_index", "json"))).alias("all"), F.bool_or("whole").alias("whole"))
+    chosen = lambda of: F.transform(F.filter(of, lambda x: x["near"] == F.get(of, F.lit(0))["near"]), lambda x: x["json"])
+    return grouped.select(KEY, bound(F.col("all"), chosen).alias("items"), "whole")
 
 
 def field_column(field: Field, tops: dict[str, Column], groups: list[str]) -> Column:
